@@ -1,0 +1,512 @@
+"""Sensitive-span detection per rule variant: a table with a text column → the same table with a
+column of spans.
+
+`employer`, `name`/`names`, `amounts`, `keep` name columns of the same row (the declared values of
+the profile the text belongs to). Only projections are added, so nothing is shuffled.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from veilspan.functions import fixed as V
+from veilspan.functions import numbers as N
+from veilspan.functions import spans as S
+from veilspan.functions.regexes import WS, rx
+from veilspan.functions.text import fold, js_trim, quote_regex, squeeze
+from veilspan.operators import money as M
+from veilspan.session import let
+
+Rule = S.Rule
+
+
+def _finish(d: DataFrame, base: list[str], names: list[str], out: str) -> DataFrame:
+    return d.select(*base, F.concat(*[F.coalesce(F.col(n), S.empty()) for n in names]).alias(out))
+
+
+# ================================================================== variant A
+def phrase_pattern(phrase: Column) -> Column:
+    """Pattern for a declared name: accents and case folded, ≤ 3 other characters between its words."""
+    p = js_trim(fold(phrase))
+    for _ in range(3):
+        p = F.regexp_replace(F.regexp_replace(p, rx(r"[,\s]+$"), ""), V.A_LEGAL_SUFFIX, "")
+    words = F.filter(F.split(p, r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+    body = F.array_join(words, r"[^\p{L}\p{N}]{0,3}")
+    return F.when(body != "", F.concat(F.lit(r"(?<![\p{L}\p{N}])"), body, F.lit(r"(?![\p{L}\p{N}])")))
+
+
+def with_candidates_a(
+    df: DataFrame,
+    text: str,
+    out: str,
+    employer: str | None = None,
+    amounts: str | None = None,
+    names: str | None = None,
+) -> DataFrame:
+    """Every span variant A's rules produce, before overlaps are resolved."""
+    base = df.columns
+    t, known, folded, pats = (S.tmp(x) for x in ("t", "known", "fold", "pats"))
+    none = F.array().cast("array<double>")
+    amounts_col = F.coalesce(F.filter(F.col(amounts), lambda a: a > 0), none) if amounts else none
+    d = df.select("*", S.plain(F.col(text)).alias(t), amounts_col.alias(known))
+    extra = []
+    if employer or names:
+        phrases = []
+        if employer:
+            ok = js_trim(F.coalesce(F.col(employer), F.lit(""))) != ""
+            d = d.select("*", F.when(ok, phrase_pattern(F.col(employer))).alias(pats + "e"))
+            phrases.append(("employer", pats + "e"))
+        if names:
+            listed = F.filter(F.col(names), lambda n: F.length(js_trim(n)) >= 3)
+            d = d.select("*", F.filter(F.transform(listed, phrase_pattern), lambda p: p.isNotNull()).alias(pats + "l"))
+            d = d.select("*", F.when(F.size(pats + "l") > 0, F.array_join(F.col(pats + "l"), "|")).alias(pats + "n"))
+            phrases.append(("name", pats + "n"))
+        d = d.select("*", fold(F.col(t)).alias(folded))
+
+        def original(kind):
+            return lambda m: S.span(
+                m["start"], m["end"], kind, "declared", F.substring(F.col(t), m["start"] + 1, m["end"] - m["start"])
+            )
+
+        extra = [
+            Rule(k, "declared", F.col(p), 0, F.col(p).isNotNull(), None, original(k), folded) for k, p in phrases
+        ]
+
+    tc, kc = F.col(t), F.col(known)
+    digits = tc.rlike(r"\d")
+    has_known = F.size(kc) > 0
+
+    def valued(s):
+        """Known amounts become "salary"; trailing blanks do not belong to the span."""
+        raw = F.regexp_replace(s["raw"], WS + "+$", "")
+        hit = let(N.parse_amount_a(raw), lambda v: F.exists(kc, lambda k: F.abs(k - v) < 0.5))
+        kind = F.when(has_known & F.coalesce(hit, F.lit(False)), "salary").otherwise("money")
+        return S.span(s["start"], s["start"] + F.length(raw), kind, s["rule"], raw)
+
+    def counts(s):
+        """Years are no money unless known; the catch-all number rule only finds known amounts."""
+        year = (s["rule"] == "bare") & s["raw"].rlike(r"^\d{4}$") & s["raw"].try_cast("int").between(*V.A_YEARS)
+        return (s["kind"] == "salary") | ((s["rule"] != "any") & ~F.coalesce(year, F.lit(False)))
+
+    glued = F.concat(
+        F.lit(r"(?<!\d)(?:"),
+        F.array_join(F.transform(kc, lambda k: N.half_up(k).cast("long").cast("string")), "|"),
+        F.lit(r")(?!\d)"),
+    )
+    unit = tc.rlike("(?iu)quetzal|d[óo]lares|usd|gtq")
+    scale = tc.rlike(rx(r"(?iu)\d\s?(?:k|mil)"))
+    money = [
+        Rule("money", "prefix", V.A_MONEY_PREFIX, 0, digits),
+        Rule("money", "suffix", V.A_MONEY_SUFFIX, 0, digits & unit),
+        Rule("money", "scale", V.A_MONEY_SCALE, 0, digits & scale),
+        Rule("money", "grouped", V.A_GROUPED, 0, digits),
+        Rule("money", "bare", V.A_BARE, 0, digits),
+    ]
+    other = [
+        Rule("email", "email", V.A_EMAIL, 0, F.contains(tc, F.lit("@"))),
+        Rule("dpi", "dpi", V.A_DPI, 0, digits),
+        Rule("nit", "nit_labeled", V.A_NIT_LABELED, 0, digits & tc.rlike("(?i)nit")),
+        Rule("nit", "nit_bare", V.A_NIT_BARE, 0, digits & F.contains(tc, F.lit("-"))),
+        Rule("phone", "phone", V.A_PHONE, 0, digits),
+        Rule("money", "words", V.A_MONEY_WORDS, 0, tc.rlike("(?iu)mil")),
+    ]
+    if amounts:
+        money.append(Rule("money", "any", V.A_ANY_NUMBER, 0, has_known & digits))
+        other.append(Rule("salary", "glued", glued, 0, has_known & digits))
+    d, cols = S.with_spans(d, t, money + other + extra)
+    numbers, rest = cols[: len(money)], cols[len(money):]
+    allm = S.tmp("amounts")
+    d = _finish(d, [*base, known, *rest], numbers, allm)
+    d = d.select(*base, *rest, F.filter(F.transform(F.col(allm), valued), counts).alias(allm))
+    return _finish(d, base, [allm, *rest], out)
+
+
+def find_a(df, text, out, employer=None, amounts=None, names=None) -> DataFrame:
+    """Variant A: earliest span wins."""
+    c = S.tmp("cand")
+    return S.first_wins(with_candidates_a(df, text, c, employer, amounts, names), c, out, V.A_PRIORITY)
+
+
+# ================================================================== variant B
+def _clean_employer_b(employer: Column) -> Column:
+    return js_trim(F.regexp_replace(fold(js_trim(employer)), V.B_LEGAL_SUFFIX, ""))
+
+
+def employer_pattern_b(employer: Column) -> Column:
+    e = _clean_employer_b(employer)
+    body = F.array_join(F.transform(F.split(e, WS + "+", -1), quote_regex), rx(r"[\s\-]+"))
+    return F.when(F.length(e) >= 3, F.concat(F.lit(r"(?<![\p{L}\d])"), body, F.lit(r"(?![\p{L}\d])")))
+
+
+def distinctive_tokens_b(employer: Column) -> Column:
+    return F.filter(
+        F.split(_clean_employer_b(employer), rx(r"[\s,.\-]+"), -1),
+        lambda t: (F.length(t) >= 4) & ~t.isin(*V.B_GENERIC_EMPLOYER),
+    )
+
+
+def _stage_b(d: DataFrame, kind: str, pattern, work: str, out: str, guard: Column, folded: str | None = None):
+    """One detector: its spans on the current text, and the text masked for the next one."""
+    d, (s,) = S.with_spans(
+        d, folded or work, [Rule(kind, kind, pattern, 0, guard)], [S.tmp("found")]
+    )
+    if folded is None:
+        d = d.select("*", F.when(guard, S.mask(F.col(work), pattern)).otherwise(F.col(work)).alias(out))
+    else:
+        d = d.select("*", F.coalesce(F.col(s), S.empty()).alias(s + "f")).drop(s)
+        s = s + "f"
+        d = S.apply_tags(d, work, s, out, _filler)
+    return d, s
+
+
+def _filler(s):
+    return F.repeat(F.lit("░"), s["end"] - s["start"])
+
+
+def find_b(
+    df: DataFrame,
+    text: str,
+    out: str,
+    employer: str | None = None,
+    amounts: str | None = None,
+    currency_words: bool = False,
+) -> DataFrame:
+    """Variant B: detectors run one after another, what one found is masked for the next."""
+    base = df.columns
+    w = S.tmp("w")
+    d = df.select("*", S.plain(F.col(text)).alias(w))
+    found = []
+    for kind, pattern in (("email", V.B_EMAIL), ("dpi", V.B_DPI), ("nit", V.B_NIT), ("phone", V.B_PHONE)):
+        nxt = S.tmp("w")
+        guard = F.contains(F.col(w), F.lit("@")) if kind == "email" else F.col(w).rlike(r"\d")
+        d, s = _stage_b(d, kind, pattern, w, nxt, guard)
+        d = d.drop(w)
+        found.append(s)
+        w = nxt
+
+    ms, spans, known = S.tmp("ms"), S.tmp("money"), S.tmp("known")
+    none = F.array().cast("array<double>")
+    amounts_col = F.coalesce(F.filter(F.col(amounts), lambda a: a > 0), none) if amounts else none
+    d = M.with_mentions_b(d.select("*", amounts_col.alias(known)), w, ms)
+
+    def wanted(m):
+        near = F.exists(
+            F.col(known),
+            lambda k: F.abs(m["value"] - k) <= F.greatest(F.lit(V.B_KNOWN_ABS), F.abs(k) * V.B_KNOWN_REL),
+        )
+        return ~F.contains(m["raw"], F.lit("░")) & (m["is_money"] | near)
+
+    d = d.select("*", M.mention_spans(F.filter(F.col(ms), wanted), "money").alias(spans)).drop(ms, known)
+    nxt, solo = S.tmp("w"), S.tmp("solo")
+    d = S.first_wins(d.select("*", F.col(spans).alias(solo)), solo, solo + "d", {"money": 0})
+    d = S.apply_tags(d, w, solo + "d", nxt, _filler).drop(w, solo + "d")
+    found.append(spans)
+    w = nxt
+
+    if employer:
+        one, many = S.tmp("pat"), S.tmp("pat")
+        d = d.select(
+            "*", employer_pattern_b(F.col(employer)).alias(one), distinctive_tokens_b(F.col(employer)).alias(many)
+        )
+        tokens = F.concat(
+            F.lit(r"(?<![\p{L}\d])(?:"), F.array_join(F.transform(F.col(many), quote_regex), "|"), F.lit(r")(?![\p{L}\d])")
+        )
+        d = d.select("*", F.when(F.size(many) > 0, tokens).alias(many + "p")).drop(many)
+        for p in (one, many + "p"):
+            nxt, fo = S.tmp("w"), S.tmp("fold")
+            d = d.select("*", fold(F.col(w)).alias(fo))
+            d, s = _stage_b(d, "employer", F.col(p), w, nxt, F.col(p).isNotNull(), fo)
+            # spans were cut from the folded text: take the characters of the original
+            d = d.drop(w, fo)
+            found.append(s)
+            w = nxt
+    if currency_words:
+        d, (s,) = S.with_spans(d, w, [Rule("currency_word", "currency_word", V.B_CURRENCY_WORD)], [S.tmp("found")])
+        found.append(s)
+    d = _finish(d, base, found, out)
+    t = F.col(text)
+    return d.select(
+        *base,
+        F.transform(
+            F.array_sort(F.col(out)),
+            lambda s: S.span(
+                s["start"], s["end"], s["kind"], s["rule"], F.substring(t, s["start"] + 1, s["end"] - s["start"])
+            ),
+        ).alias(out),
+    )
+
+
+# ================================================================== variant C
+def clean_company(name: Column) -> Column:
+    """Company name for matching: no parentheses, no legal suffix, folded, only letters/digits/&."""
+    s = F.regexp_replace(F.regexp_replace(name, r"\(.*?\)", " "), V.C_CORPORATE_SUFFIX, "")
+    return squeeze(F.regexp_replace(fold(s), rx(r"[^a-z0-9&\s]"), " "))
+
+
+def with_employer_matcher(df: DataFrame, employer: str, out: str) -> DataFrame:
+    """Add struct<full, acronym, aliases, distinctive> of a declared employer (NULL when blank)."""
+    full, words = S.tmp("full"), S.tmp("words")
+    d = df.select("*", clean_company(F.coalesce(F.col(employer), F.lit(""))).alias(full))
+    d = d.select("*", F.filter(F.split(F.col(full), " ", -1), lambda w: ~w.isin(*V.C_STOP)).alias(words))
+    aliases = F.filter(
+        F.transform(F.regexp_extract_all(F.col(employer), F.lit(r"\(([^)]+)\)"), F.lit(1)), clean_company),
+        lambda a: a != "",
+    )
+    initials = F.array_join(F.transform(F.col(words), lambda w: F.substring(w, 1, 1)), "")
+    return d.select(
+        *df.columns,
+        F.when(
+            F.col(full) != "",
+            F.struct(
+                F.col(full).alias("full"),
+                F.when(F.size(words) >= 2, initials).alias("acronym"),
+                aliases.alias("aliases"),
+                F.filter(F.col(words), lambda w: (F.length(w) >= 5) & ~w.isin(*V.C_GENERIC)).alias("distinctive"),
+            ),
+        ).alias(out),
+    )
+
+
+def _close(a: Column, b: Column, limit: Column) -> Column:
+    """Edit distance within `limit`; cheap tests first."""
+    return (a == b) | (
+        (limit > 0) & (F.abs(F.length(a) - F.length(b)) <= limit) & (F.levenshtein(a, b) <= limit)
+    )
+
+
+def token_rule(guard: Column | None = None) -> Rule:
+    def make(m):
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), fold(m["raw"]).alias("norm")
+        )
+
+    return Rule("token", "token", V.C_TOKEN, 0, guard, None, make)
+
+
+def with_employer_spans_c(df: DataFrame, text: str, employer: str, out: str) -> DataFrame:
+    """Declared employer: exact, with typos, written together, as an acronym, by distinctive word."""
+    base = df.columns
+    m, toks, acr, norms = (S.tmp(x) for x in ("m", "toks", "acr", "norms"))
+    d = with_employer_matcher(df, employer, m)
+    mc, tc = F.col(m), F.col(text)
+    letters = F.filter(F.split(F.upper(mc["acronym"]), "", -1), lambda x: x != "")
+    pattern = F.concat(
+        F.lit(r"(?<![\p{L}\p{N}])"), F.array_join(F.transform(letters, quote_regex), r"\.?"), F.lit(r"\.?(?![\p{L}\p{N}])")
+    )
+    d = d.select("*", F.when(F.length(mc["acronym"]) >= 2, pattern).alias(acr))
+    d, (a_spans, _) = S.with_spans(
+        d,
+        text,
+        [
+            Rule("employer", "employer_acronym", F.col(acr), 0, F.col(acr).isNotNull()),
+            token_rule(mc.isNotNull()),
+        ],
+        [acr + "s", toks],
+    )
+    phrases, k = S.tmp("phr"), F.col(toks)
+    d = d.select(
+        "*",
+        F.transform(
+            F.concat(F.array(mc["full"]), mc["aliases"]),
+            lambda p: F.struct(
+                p.alias("p"),
+                F.replace(p, F.lit(" "), F.lit("")).alias("c"),
+                F.size(F.split(p, " ", -1)).alias("n"),
+                F.when(F.length(p) >= 8, F.greatest(F.lit(1), F.floor(F.length(p) / 8).cast("int"))).otherwise(0).alias("lim"),
+            ),
+        ).alias(phrases),
+        F.transform(k, lambda x: x["norm"]).alias(norms),
+    )
+    nc = F.col(norms)
+
+    def window(ph):
+        def at(x, i):
+            end = F.get(k, i + ph["n"] - 1)["end"]
+            cand = F.array_join(F.slice(nc, i + 1, ph["n"]), " ")
+            return F.when(
+                end.isNotNull() & _close(cand, ph["p"], ph["lim"]),
+                F.struct(x["start"].alias("s"), end.alias("e"), (cand == ph["p"]).alias("same")),
+            )
+
+        return F.transform(
+            F.filter(F.transform(k, at), lambda w: w.isNotNull()),
+            lambda w: S.span(
+                w["s"], w["e"], "employer", F.when(w["same"], "employer_exact").otherwise("employer_fuzzy"),
+                F.substring(tc, w["s"] + 1, w["e"] - w["s"]),
+            ),
+        )
+
+    def together(ph):
+        near = F.when(F.length(ph["c"]) >= 10, 1).otherwise(0)
+        use = (ph["n"] > 1) & (F.length(ph["c"]) >= 6)
+        return F.transform(
+            F.filter(k, lambda x: use & _close(x["norm"], ph["c"], near)),
+            lambda x: S.span(x["start"], x["end"], "employer", "employer_compact", x["raw"]),
+        )
+
+    def distinctive(x):
+        return x["raw"].rlike(r"^\p{Lu}") & F.exists(
+            mc["distinctive"], lambda w: _close(x["norm"], w, F.when(F.length(w) >= 7, 1).otherwise(0))
+        )
+
+    single = F.transform(
+        F.filter(k, distinctive), lambda x: S.span(x["start"], x["end"], "employer", "employer_token", x["raw"])
+    )
+    parts = [
+        F.flatten(F.transform(F.col(phrases), window)),
+        F.flatten(F.transform(F.col(phrases), together)),
+        F.col(a_spans),
+        single,
+    ]
+    return d.select(*base, F.concat(*[F.coalesce(p, S.empty()) for p in parts]).alias(out))
+
+
+_NOT_NAME_HEAD = "^(?:(?:" + "|".join(V.C_NOT_NAMES) + r")(?:[ \t]+|$))+"
+_VETO = list(dict.fromkeys(V.C_NOT_NAMES + V.C_JOB_WORDS))
+
+
+def people_rules() -> list[Rule]:
+    """People introduced by a role or a title."""
+
+    def by_role(m):
+        name = F.get(m["g"], F.lit(0))
+        n = F.length(F.regexp_replace(fold(name), _NOT_NAME_HEAD, ""))
+        return S.span(m["end"] - n, m["end"], "person_name", "person_role", F.right(name, n))
+
+    def by_title(m):
+        words = F.split(fold(F.get(m["g"], F.lit(0))), r"[ \t]+", -1)
+        job = F.exists(words, lambda w: w.isin(*_VETO))
+        return F.when(~job, S.span(m["start"], m["end"], "person_name", "person_title", m["raw"]))
+
+    return [
+        Rule("person_name", "person_role", V.C_PERSON_ROLE, 1, None, lambda s: s["end"] > s["start"], by_role),
+        Rule("person_name", "person_title", V.C_PERSON_TITLE, 1, None, lambda s: s.isNotNull(), by_title),
+    ]
+
+
+def own_name_pattern(name: Column) -> Column:
+    """The author's own declared name as a sequence of words (over folded text)."""
+    words = F.transform(F.split(fold(js_trim(name)), WS + "+", -1), quote_regex)
+    return F.when(
+        F.length(js_trim(name)) >= 3,
+        F.concat(
+            F.lit(r"(?<![\p{L}\p{N}&])"), F.array_join(words, r"[^\p{L}\p{N}&]+"), F.lit(r"(?![\p{L}\p{N}&])")
+        ),
+    )
+
+
+def _real_phone(s):
+    d = F.regexp_replace(s["raw"], r"\D", "")
+    a = F.substring(d, F.length(d) - 7, F.lit(4)).try_cast("int")
+    b = F.right(d, F.lit(4)).try_cast("int")
+    return ~(a.between(*V.C_YEARS) & b.between(*V.C_YEARS) & s["raw"].rlike("[-–]"))
+
+
+def contact_rules(text: str) -> list[Rule]:
+    t = F.col(text)
+    digits = t.rlike(r"\d")
+
+    def labeled(m):
+        g = F.get(m["g"], F.lit(0))
+        at = m["start"] + F.instr(m["raw"], g) - 1
+        return S.span(at, at + F.length(g), "nit", "nit_labeled", g)
+
+    return [
+        Rule("email", "email", V.C_EMAIL, 0, F.contains(t, F.lit("@"))),
+        Rule("dpi", "dpi_4_5_4", V.C_DPI, 0, digits),
+        Rule("nit", "nit_labeled", V.C_NIT_LABELED, 1, digits & t.rlike("(?i)nit"), None, labeled),
+        Rule("nit", "nit_shape", V.C_NIT_SHAPE, 0, digits & F.contains(t, F.lit("-"))),
+        Rule("phone", "phone_gt", V.C_PHONE, 0, digits, _real_phone),
+    ]
+
+
+def address_rules(text: str) -> list[Rule]:
+    t = F.col(text)
+    guards = {
+        "address_zona": "(?iu)zona",
+        "address_street_numbered": "(?iu)calle|avenida|av[.]",
+        "address_street_named": "[Cc]alle|[Aa]venida|[Aa]v[.]|[Dd]iagonal|[Bb]ul|[Bb]oul|[Bb]lvd|[Cc]alza|[Cc]arret",
+        "address_km": "(?iu)km|kil[oó]metro",
+        "address_area": "[Cc]olonia|[Cc]ol[.]|[Rr]esiden|[Cc]ondom|[Bb]arrio|[Aa]ldea|[Ll]otif|[Cc]ant",
+        "address_unit": "(?iu)casa|apto|apartamento|lote|manzana",
+        "address_house_number": "(?iu)zona",
+    }
+    return [Rule("address", rule, p, 0, t.rlike(guards[rule])) for rule, p in V.C_ADDRESS.items()]
+
+
+def with_candidates_c(
+    df: DataFrame,
+    text: str,
+    out: str,
+    employer: str | None = None,
+    own_name: str | None = None,
+    keep: str | None = None,
+) -> DataFrame:
+    """Every span of variant C's rules, public strings and existing tags already taken out."""
+    base = df.columns
+    t, folded, ms, emp, covers, allc = (S.tmp(x) for x in ("t", "fold", "ms", "emp", "cov", "all"))
+    d = df.select("*", S.plain(F.col(text)).alias(t))
+    rules = contact_rules(t) + address_rules(t) + people_rules()
+    cover_rules = [Rule("tag", "tag", V.C_TAG_PATTERN, 0, F.col(t).rlike(r"[\[{]"))]
+    if own_name or keep:
+        cols = [fold(F.col(t)).alias(folded)]
+        if own_name:
+            cols.append(own_name_pattern(F.col(own_name)).alias(folded + "n"))
+        if keep:
+            needles = F.filter(
+                F.transform(F.col(keep), lambda k: fold(js_trim(k))), lambda n: n.isNotNull() & (F.length(n) >= 3)
+            )
+            cols.append(needles.alias(folded + "k"))
+        d = d.select("*", *cols)
+    if own_name:
+        p = folded + "n"
+
+        def own(m):
+            raw = F.substring(F.col(t), m["start"] + 1, m["end"] - m["start"])
+            return S.span(m["start"], m["end"], "person_name", "own_name", raw)
+
+        rules.append(Rule("person_name", "own_name", F.col(p), 0, F.col(p).isNotNull(), None, own, folded))
+    if keep:
+        k = folded + "k"
+        d = d.select(
+            "*",
+            F.when(F.size(k) > 0, F.array_join(F.transform(F.col(k), quote_regex), "|")).alias(k + "p"),
+        )
+        cover_rules.append(Rule("keep", "keep", F.col(k + "p"), 0, F.col(k + "p").isNotNull(), None, None, folded))
+    d, names = S.with_spans(d, t, rules + cover_rules)
+    hits, cov = names[: len(rules)], names[len(rules):]
+    d = M.with_mentions_c(d, t, ms)
+    if employer:
+        d = with_employer_spans_c(d, t, employer, emp)
+    parts = [F.coalesce(F.col(n), S.empty()) for n in hits] + [M.mention_spans(F.col(ms), "salary")]
+    parts += [F.col(emp)] if employer else []
+    d = d.select(
+        *base,
+        F.concat(*parts).alias(allc),
+        F.concat(*[F.coalesce(F.col(n), S.empty()) for n in cov]).alias(covers),
+    )
+    kept = F.when(F.size(covers) == 0, F.col(allc)).otherwise(S.drop_inside(F.col(allc), F.col(covers)))
+    return d.select(*base, kept.alias(out))
+
+
+def find_c(df, text, out, employer=None, own_name=None, keep=None) -> DataFrame:
+    """Variant C: overlapping spans merge into their union."""
+    c = S.tmp("cand")
+    return S.union_merge(with_candidates_c(df, text, c, employer, own_name, keep), c, out, V.C_PRIORITY, text)
+
+
+# ================================================================== generic pack (volume tables)
+GENERIC = (
+    ("email", V.G_EMAIL, "@"), ("phone", V.G_PHONE, "+1 ("), ("id16", V.G_ID16, None), ("secret", V.G_SECRET, "token"),
+)
+GENERIC_PRIORITY = {"email": 0, "phone": 1, "id16": 2, "secret": 3}
+GENERIC_TAGS = {"email": "[EMAIL]", "phone": "[PHONE]", "id16": "[ID]", "secret": "[SECRET]"}
+
+
+def with_generic_spans(df: DataFrame, text: str, out: str) -> DataFrame:
+    t = F.col(text)
+    rules = [
+        Rule(kind, kind, p, 0, F.contains(t, F.lit(g)) if g else t.rlike("[0-9]{16}")) for kind, p, g in GENERIC
+    ]
+    d, names = S.with_spans(df, text, rules)
+    return _finish(d, df.columns, names, out)
