@@ -12,7 +12,7 @@ from veilspan.functions.text import fold, js_trim
 from veilspan.session import let
 
 MENTION = (
-    "struct<start:int,end:int,ord:int,raw:string,value:double,currency:string,marked:boolean,is_money:boolean>"
+    "struct<start:int,ord:int,end:int,raw:string,value:double,currency:string,marked:boolean,is_money:boolean>"
 )
 MENTIONS = f"array<{MENTION}>"
 
@@ -22,8 +22,8 @@ def _mention(m, ord_, value, currency, marked, is_money, start=None, raw=None):
     st = m["start"] if start is None else start
     return F.struct(
         st.alias("start"),
-        (st + F.length(r)).alias("end"),
         F.lit(ord_).alias("ord"),
+        (st + F.length(r)).alias("end"),
         r.alias("raw"),
         value.alias("value"),
         currency.alias("currency"),
