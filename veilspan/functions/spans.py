@@ -136,13 +136,11 @@ def with_spans(df: DataFrame, text: str, rules: list[Rule], names: list[str] | N
         *add("c", lambda i, r: _cut_sql(f"{i}p", r.groups)),
     )
     d = d.select(*keep, *[i + "b" for i in ids], *[i + "c" for i in ids], *add("k", lambda i, r: _blocks_sql(f"{i}c")))
-    d = d.select(*keep, *[i + "c" for i in ids], *add("s", lambda i, r: _starts_sql(f"{i}k", f"{i}b")))
-
     def shaped(i: str, r: Rule) -> Column:
         if r.make is None:
-            made = F.expr(_span_sql(f"{i}c", f"{i}s", r.kind, r.rule))
+            made = F.expr(_span_sql(f"{i}c", _starts_sql(f"{i}k", f"{i}b"), r.kind, r.rule))
         else:
-            made = F.transform(F.expr(_hits_sql(f"{i}c", f"{i}s")), r.make)
+            made = F.transform(F.expr(_hits_sql(f"{i}c", _starts_sql(f"{i}k", f"{i}b"))), r.make)
         return F.filter(made, r.keep) if r.keep is not None else made
 
     d = d.select(*keep, *[shaped(i, r).alias(n) for i, r, n in zip(ids, rules, names)])

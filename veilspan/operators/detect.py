@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed as V
 from veilspan.functions import numbers as N
+from veilspan.functions import program
 from veilspan.functions import spans as S
 from veilspan.functions.regexes import WS, rx
 from veilspan.functions.text import fold, js_trim, quote_regex, squeeze
@@ -123,8 +124,15 @@ def with_candidates_a(
 
 def find_a(df, text, out, employer=None, amounts=None, names=None) -> DataFrame:
     """Variant A: earliest span wins."""
-    c = S.tmp("cand")
-    return S.first_wins(with_candidates_a(df, text, c, employer, amounts, names), c, out, V.A_PRIORITY)
+    cols = {"__text": text, "__employer": employer, "__amounts": amounts, "__names": names}
+    has = {k: k if v else None for k, v in cols.items()}
+
+    def build(d, o):
+        c = S.tmp("cand")
+        d = with_candidates_a(d, "__text", c, has["__employer"], has["__amounts"], has["__names"])
+        return S.first_wins(d, c, o, V.A_PRIORITY)
+
+    return program.apply(df, ("find_a",), cols, build, out)
 
 
 # ================================================================== variant B
@@ -172,6 +180,16 @@ def find_b(
     currency_words: bool = False,
 ) -> DataFrame:
     """Variant B: detectors run one after another, what one found is masked for the next."""
+    cols = {"__text": text, "__employer": employer, "__amounts": amounts}
+    has = {k: k if v else None for k, v in cols.items()}
+
+    def build(d, o):
+        return _chain_b(d, "__text", o, has["__employer"], has["__amounts"], currency_words)
+
+    return program.apply(df, ("find_b", currency_words), cols, build, out)
+
+
+def _chain_b(df, text, out, employer, amounts, currency_words):
     base = df.columns
     w = S.tmp("w")
     d = df.select("*", S.plain(F.col(text)).alias(w))
@@ -187,7 +205,7 @@ def find_b(
     ms, spans, known = S.tmp("ms"), S.tmp("money"), S.tmp("known")
     none = F.array().cast("array<double>")
     amounts_col = F.coalesce(F.filter(F.col(amounts), lambda a: a > 0), none) if amounts else none
-    d = M.with_mentions_b(d.select("*", amounts_col.alias(known)), w, ms)
+    d = M.mentions_b_chain(d.select("*", amounts_col.alias(known)), w, ms)
 
     def wanted(m):
         near = F.exists(
@@ -243,7 +261,7 @@ def clean_company(name: Column) -> Column:
     return squeeze(F.regexp_replace(fold(s), rx(r"[^a-z0-9&\s]"), " "))
 
 
-def with_employer_matcher(df: DataFrame, employer: str, out: str) -> DataFrame:
+def with_employer_matcher(df, employer: str, out: str):
     """Add struct<full, acronym, aliases, distinctive> of a declared employer (NULL when blank)."""
     full, words = S.tmp("full"), S.tmp("words")
     d = df.select("*", clean_company(F.coalesce(F.col(employer), F.lit(""))).alias(full))
@@ -283,26 +301,24 @@ def token_rule(guard: Column | None = None) -> Rule:
     return Rule("token", "token", V.C_TOKEN, 0, guard, None, make)
 
 
-def with_employer_spans_c(df: DataFrame, text: str, employer: str, out: str) -> DataFrame:
-    """Declared employer: exact, with typos, written together, as an acronym, by distinctive word."""
-    base = df.columns
-    m, toks, acr, norms = (S.tmp(x) for x in ("m", "toks", "acr", "norms"))
-    d = with_employer_matcher(df, employer, m)
-    mc, tc = F.col(m), F.col(text)
+def employer_rules_c(d, matcher: str):
+    """The acronym pattern of a matcher as a column, and the rules for acronym and tokens."""
+    mc, acr = F.col(matcher), S.tmp("acr")
     letters = F.filter(F.split(F.upper(mc["acronym"]), "", -1), lambda x: x != "")
     pattern = F.concat(
         F.lit(r"(?<![\p{L}\p{N}])"), F.array_join(F.transform(letters, quote_regex), r"\.?"), F.lit(r"\.?(?![\p{L}\p{N}])")
     )
     d = d.select("*", F.when(F.length(mc["acronym"]) >= 2, pattern).alias(acr))
-    d, (a_spans, _) = S.with_spans(
-        d,
-        text,
-        [
-            Rule("employer", "employer_acronym", F.col(acr), 0, F.col(acr).isNotNull()),
-            token_rule(mc.isNotNull()),
-        ],
-        [acr + "s", toks],
-    )
+    return d, [
+        Rule("employer", "employer_acronym", F.col(acr), 0, F.col(acr).isNotNull()),
+        token_rule(mc.isNotNull()),
+    ]
+
+
+def with_employer_spans_c(d, text: str, m: str, a_spans: str, toks: str, out: str):
+    """Declared employer: exact, with typos, written together, as an acronym, by distinctive word."""
+    base = d.columns
+    mc, tc, norms = F.col(m), F.col(text), S.tmp("norms")
     phrases, k = S.tmp("phr"), F.col(toks)
     d = d.select(
         "*",
@@ -444,7 +460,7 @@ def with_candidates_c(
 ) -> DataFrame:
     """Every span of variant C's rules, public strings and existing tags already taken out."""
     base = df.columns
-    t, folded, ms, emp, covers, allc = (S.tmp(x) for x in ("t", "fold", "ms", "emp", "cov", "all"))
+    t, folded, emp, covers, allc = (S.tmp(x) for x in ("t", "fold", "emp", "cov", "all"))
     d = df.select("*", S.plain(F.col(text)).alias(t))
     rules = contact_rules(t) + address_rules(t) + people_rules()
     cover_rules = [Rule("tag", "tag", V.C_TAG_PATTERN, 0, F.col(t).rlike(r"[\[{]"))]
@@ -473,17 +489,21 @@ def with_candidates_c(
             F.when(F.size(k) > 0, F.array_join(F.transform(F.col(k), quote_regex), "|")).alias(k + "p"),
         )
         cover_rules.append(Rule("keep", "keep", F.col(k + "p"), 0, F.col(k + "p").isNotNull(), None, None, folded))
-    d, names = S.with_spans(d, t, rules + cover_rules)
-    hits, cov = names[: len(rules)], names[len(rules):]
-    d = M.with_mentions_c(d, t, ms)
+    money, emp_rules, matcher = M.mention_rules_c(t), [], S.tmp("m")
+    if employer:
+        d = with_employer_matcher(d, employer, matcher)
+        d, emp_rules = employer_rules_c(d, matcher)
+    d, names = S.with_spans(d, t, rules + cover_rules + money + emp_rules)
+    n, k = len(rules), len(rules) + len(cover_rules)
+    hits, cov, mon, emps = names[:n], names[n:k], names[k : k + len(money)], names[k + len(money):]
     if employer:
-        d = with_employer_spans_c(d, t, employer, emp)
-    parts = [F.coalesce(F.col(n), S.empty()) for n in hits] + [M.mention_spans(F.col(ms), "salary")]
+        d = with_employer_spans_c(d, t, matcher, emps[0], emps[1], emp)
+    parts = [F.coalesce(F.col(x), S.empty()) for x in hits] + [M.mention_spans(M.all_mentions(mon), "salary")]
     parts += [F.col(emp)] if employer else []
     d = d.select(
         *base,
         F.concat(*parts).alias(allc),
-        F.concat(*[F.coalesce(F.col(n), S.empty()) for n in cov]).alias(covers),
+        F.concat(*[F.coalesce(F.col(x), S.empty()) for x in cov]).alias(covers),
     )
     kept = F.when(F.size(covers) == 0, F.col(allc)).otherwise(S.drop_inside(F.col(allc), F.col(covers)))
     return d.select(*base, kept.alias(out))
@@ -491,8 +511,15 @@ def with_candidates_c(
 
 def find_c(df, text, out, employer=None, own_name=None, keep=None) -> DataFrame:
     """Variant C: overlapping spans merge into their union."""
-    c = S.tmp("cand")
-    return S.union_merge(with_candidates_c(df, text, c, employer, own_name, keep), c, out, V.C_PRIORITY, text)
+    cols = {"__text": text, "__employer": employer, "__own": own_name, "__keep": keep}
+    has = {k: k if v else None for k, v in cols.items()}
+
+    def build(d, o):
+        c = S.tmp("cand")
+        d = with_candidates_c(d, "__text", c, has["__employer"], has["__own"], has["__keep"])
+        return S.union_merge(d, c, o, V.C_PRIORITY, "__text")
+
+    return program.apply(df, ("find_c",), cols, build, out)
 
 
 # ================================================================== generic pack (volume tables)

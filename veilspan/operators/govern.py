@@ -59,52 +59,80 @@ def tier_projection(df: DataFrame, key: str, tier: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ payloads
+def stack_fields(df: DataFrame, key: str, fields: list[str], carry: list[str]) -> DataFrame:
+    """One row per (key, field, text): every field goes through the same detectors in one pass.
+
+    The rows of a key stay in one partition, so when the table is already partitioned by the key
+    (it usually comes out of the join with the known values) `unstack_fields` adds no exchange.
+    """
+    entries = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])
+    return df.select(key, *carry, F.inline(entries))
+
+
+def unstack_fields(rows: DataFrame, key: str, fields: list[str], keep: list[str], cells: list[str]) -> DataFrame:
+    """Back to one row per key: `cells` become maps field → value, `keep` columns are constant per key."""
+    g = rows.groupBy(key).agg(
+        F.first(F.struct(*keep)).alias("_keep") if keep else F.lit(1).alias("_keep"),
+        F.array_sort(F.collect_list(F.struct("pos", "field", *cells))).alias("_rows"),
+    )
+    kept = [F.col(f"_keep.{c}").alias(c) for c in keep]
+    return g.select(key, *kept, *[_cell(c, f, i).alias(f"{f}.{c}") for c in cells for i, f in enumerate(fields)])
+
+
+def _cell(cell: str, field: str, i: int) -> Column:
+    return F.get(F.col("_rows"), F.lit(i))[cell]
+
+
 def letter_payload_a(profiles: DataFrame, key: str) -> DataFrame:
     """Destination "letter" of variant A: texts redacted, clipped and gated."""
     p = profiles.select(
-        key, "employer", "name", "desired_role", "target_company", "years",
-        F.array("current_salary", "desired_salary").alias("_amounts"), F.array("name").alias("_names"),
+        key, "employer", "years",
+        F.array(F.col("current_salary").cast("double"), F.col("desired_salary").cast("double")).alias("_amounts"),
+        F.array("name").alias("_names"),
+        squeeze(F.coalesce("desired_role", F.lit(""))).alias("desired_role"),
+        squeeze(F.coalesce("target_company", F.lit(""))).alias("target_company"),
         js_trim(F.coalesce("achievements", F.lit(""))).alias("achievements"),
         js_trim(F.coalesce("offer", F.lit(""))).alias("offer"),
     )
-    for c, cap in (("achievements", V.MAX_ACHIEVEMENTS), ("offer", V.MAX_OFFER)):
-        p = R.redact_a(p, c, f"{c}_r", "employer", "_amounts", "_names", findings=f"{c}_f")
-        p = p.withColumn(c, clip(F.col(f"{c}_r"), cap)).drop(f"{c}_r")
-    p = p.select(
-        key, "employer", "_amounts", "_names",
-        squeeze(F.col("desired_role")).alias("desired_role"), squeeze(F.col("target_company")).alias("target_company"),
-        F.greatest(F.lit(0), F.floor(F.col("years") + 0.5)).cast("int").alias("years"), "achievements", "offer",
-        (F.size("achievements_f") + F.size("offer_f")).alias("redactions"),
+    fields = ["desired_role", "target_company", "achievements", "offer"]
+    rows = stack_fields(p, key, fields, ["employer", "years", "_amounts", "_names"])
+    rows = R.redact_a(rows, "text", "_red", "employer", "_amounts", "_names", findings="_f")
+    caps = {"achievements": V.MAX_ACHIEVEMENTS, "offer": V.MAX_OFFER}
+    out = F.col("text")
+    for f, cap in caps.items():
+        out = F.when(F.col("field") == f, clip(F.col("_red"), cap)).otherwise(out)
+    rows = rows.select(
+        key, "employer", "years", "_amounts", "_names", "pos", "field", out.alias("text"),
+        F.when(F.col("field").isin(*caps), F.size("_f")).otherwise(0).alias("n"),
     )
-    gated = residual_a(p, ["desired_role", "target_company", "achievements", "offer"], "employer", "_amounts", "_names")
-    return gated.drop("employer", "_amounts", "_names")
-
-
-def residual_a(df: DataFrame, fields: list[str], employer=None, amounts=None, names=None) -> DataFrame:
-    """Gate: the first field that still has a finding blocks the row, with its kinds."""
-    d, found = df, []
-    for f in fields:
-        s = S.tmp("gate")
-        d = D.find_a(d, f, s, employer, amounts, names)
-        tiny = F.col(f).rlike(r"^\d{1,2}$")
-        d = d.withColumn(s, F.filter(s, lambda x: ~((x["kind"] == "money") & tiny)))
-        found.append((f, s))
-    hit = F.array_compact(
+    rows = gate_rows_a(rows, "text", "employer", "_amounts", "_names")
+    wide = unstack_fields(rows, key, fields, ["years"], ["text", "n", "kinds"])
+    hits = F.array_compact(
         F.array(
             *[
-                F.when(
-                    F.size(s) > 0,
-                    F.struct(F.lit(f).alias("field"), F.array_distinct(F.transform(s, lambda x: x["kind"])).alias("kinds")),
-                )
-                for f, s in found
+                F.when(F.size(F.col(f"`{f}.kinds`")) > 0, F.struct(F.lit(f).alias("field"), F.col(f"`{f}.kinds`").alias("kinds")))
+                for f in fields
             ]
         )
     )
-    d = d.withColumn("_hit", F.get(hit, F.lit(0))).drop(*[s for _, s in found])
-    return d.select(
-        *df.columns, F.col("_hit").isNotNull().alias("blocked"), F.col("_hit.field").alias("blocked_field"),
-        F.array_join("_hit.kinds", ",").alias("blocked_kinds"),
+    first = F.get(hits, F.lit(0))
+    payload = wide.select(
+        key, F.col("`desired_role.text`").alias("desired_role"), F.col("`target_company.text`").alias("target_company"),
+        F.greatest(F.lit(0), F.floor(F.col("years") + 0.5)).cast("int").alias("years"),
+        F.col("`achievements.text`").alias("achievements"), F.col("`offer.text`").alias("offer"),
+        sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)).alias("redactions"),
+        (F.size(hits) > 0).alias("blocked"), first["field"].alias("blocked_field"),
+        F.array_join(first["kinds"], ",").alias("blocked_kinds"),
     )
+    return assert_exact_columns(payload, [key, *allowed("letter"), "redactions", "blocked", "blocked_field", "blocked_kinds"])
+
+
+def gate_rows_a(rows: DataFrame, text: str, employer=None, amounts=None, names=None) -> DataFrame:
+    """Gate: kinds still found in each text (a bare one- or two-digit number is no amount)."""
+    tiny = F.col(text).rlike(r"^\d{1,2}$")
+    d = D.find_a(rows, text, "_left", employer, amounts, names)
+    left = F.filter("_left", lambda x: ~((x["kind"] == "money") & tiny))
+    return d.withColumn("kinds", F.array_distinct(F.transform(left, lambda x: x["kind"]))).drop("_left")
 
 
 def third_party_payload_b(profiles: DataFrame, key: str) -> DataFrame:
@@ -118,34 +146,35 @@ def third_party_payload_b(profiles: DataFrame, key: str) -> DataFrame:
             for x in (F.col(a).cast("double"), N.half_up(N.to_gtq(F.col(a), F.col(c), "B")))
         ]
     )
+    fields = ["name", "desired_role", "target_company", "achievements"]
     p = profiles.select(
-        key, "employer", amounts.alias("_amounts"), "name", "desired_role", "target_company", "years",
-        F.coalesce("achievements", F.lit("")).alias("achievements"), C.language(F.col("offer")).alias("language"),
+        key, "employer", amounts.alias("_amounts"), "years", *[F.coalesce(f, F.lit("")).alias(f) for f in fields],
+        C.language(F.col("offer")).alias("language"),
         C.seniority(F.col("years"), F.col("desired_role"), F.coalesce(F.col("offer"), F.lit(""))).alias("seniority"),
     )
-    for c in ("name", "desired_role", "target_company", "achievements"):
-        p = R.redact_b(p, c, f"{c}_r", None if c == "name" else "employer", "_amounts", True, findings=f"{c}_f")
-        p = p.withColumn(c, F.col(f"{c}_r")).drop(f"{c}_r")
-    n = sum((F.size(f"{c}_f") for c in ("name", "desired_role", "target_company", "achievements")), F.lit(0))
-    return p.select(
-        key, "name", "desired_role", "target_company", "years", "achievements", "language", "seniority",
-        n.alias("redactions"),
+    rows = stack_fields(p, key, fields, ["employer", "_amounts", "years", "language", "seniority"])
+    rows = rows.withColumn("employer", F.when(F.col("field") != "name", F.col("employer")))
+    rows = R.redact_b(rows, "text", "red", "employer", "_amounts", True, findings="_f").withColumn("n", F.size("_f"))
+    wide = unstack_fields(rows.drop("_f"), key, fields, ["years", "language", "seniority"], ["red", "n"])
+    return wide.select(
+        key, *[F.col(f"`{f}.red`").alias(f) for f in fields], "years", "language", "seniority",
+        sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)).alias("redactions"),
     )
 
 
-def server_gate_b(payload: DataFrame, fields: list[str]) -> DataFrame:
+def server_gate_b(payload: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Second line: redact again without context, then anything left (also bare currency words) rejects."""
-    d, again, left = payload, [], []
-    for c in fields:
-        d = R.redact_b(d, c, f"_{c}r", findings=f"_{c}f")
-        again.append(F.size(f"_{c}f"))
-        d = d.withColumn(c, F.col(f"_{c}r")).drop(f"_{c}r")
-        d = D.find_b(d, c, f"_{c}left", currency_words=True)
-        left.append(f"_{c}left")
-    kinds = F.array_distinct(F.flatten(F.array(*[F.transform(x, lambda s: s["kind"]) for x in left])))
-    return d.select(
-        *payload.columns, sum(again, F.lit(0)).alias("server_redactions"), (F.size(kinds) > 0).alias("rejected"),
-        F.array_join(F.array_sort(kinds), ",").alias("residual_kinds"),
+    rest = [c for c in payload.columns if c not in (key, *fields)]
+    rows = stack_fields(payload, key, fields, rest)
+    rows = R.redact_b(rows, "text", "red", findings="_f").withColumn("n", F.size("_f")).drop("_f", "text")
+    rows = D.find_b(rows, "red", "_left", currency_words=True)
+    rows = rows.withColumn("kinds", F.transform("_left", lambda s: s["kind"])).drop("_left")
+    wide = unstack_fields(rows, key, fields, rest, ["red", "n", "kinds"])
+    kinds = F.array_distinct(F.flatten(F.array(*[F.col(f"`{f}.kinds`") for f in fields])))
+    return wide.select(
+        key, *[F.col(f"`{f}.red`").alias(f) for f in fields], *rest,
+        sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)).alias("server_redactions"),
+        (F.size(kinds) > 0).alias("rejected"), F.array_join(F.array_sort(kinds), ",").alias("residual_kinds"),
     )
 
 
@@ -206,20 +235,18 @@ def route_c(profiles: DataFrame, key: str) -> DataFrame:
         *[F.coalesce(f, F.lit("")).alias(f) for f in ("current_role", "desired_role", "target_company", "achievements")],
         F.when(js_trim(F.coalesce("offer", F.lit(""))) != "", c("offer")).alias("offer"),
     )
-    found = []
-    for f in ("current_role", "desired_role", "target_company", "achievements", "offer"):
-        p = R.redact_c(p, f, f"{f}_r", "employer", "name", "_keep", findings=f"{f}_f")
-        found.append((f, f"{f}_f"))
-    p = p.withColumn(
-        "payload",
+    fields = ["current_role", "desired_role", "target_company", "achievements", "offer"]
+    me = ["employer", "name", "current_salary", "desired_salary", "_keep", "years"]
+    rows = R.redact_c(stack_fields(p, key, fields, me), "text", "red", "employer", "name", "_keep", findings="found")
+    wide = unstack_fields(rows.drop("text"), key, fields, me, ["red", "found"])
+    r = {f: F.col(f"`{f}.red`") for f in fields}
+    p = wide.select(
+        key, "employer", "name", "current_salary", "desired_salary", "_keep",
         F.concat(
             F.lit(SYSTEM_C + "\n"),
-            outgoing_text_c(c("current_role_r"), c("years"), c("desired_role_r"), c("target_company_r"), c("achievements_r"), c("offer_r")),
-        ),
-    )
-    redactions = F.flatten(F.array(*[_labelled(f, s) for f, s in found]))
-    p = p.select(
-        key, "employer", "name", "current_salary", "desired_salary", "_keep", "payload", redactions.alias("redactions")
+            outgoing_text_c(r["current_role"], c("years"), r["desired_role"], r["target_company"], r["achievements"], r["offer"]),
+        ).alias("payload"),
+        F.flatten(F.array(*[_labelled(f, f"`{f}.found`") for f in fields])).alias("redactions"),
     )
     return detect_residual_c(p, "payload").drop("_keep")
 

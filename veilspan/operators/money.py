@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed as V
 from veilspan.functions import numbers as N
+from veilspan.functions import program
 from veilspan.functions import spans as S
 from veilspan.functions.regexes import rx
 from veilspan.functions.text import fold, js_trim
@@ -44,6 +45,10 @@ def _currency_b(prefix: Column, suffix: Column) -> Column:
 
 def with_mentions_b(df: DataFrame, text: str, out: str) -> DataFrame:
     """Marked amounts, plain numbers and spelled thousands, in start order."""
+    return program.apply(df, ("mentions_b",), {"__text": text}, lambda d, o: mentions_b_chain(d, "__text", o), out)
+
+
+def mentions_b_chain(df, text: str, out: str):
 
     def numeric(m):
         pre, num, mult, suf = (F.get(m["g"], F.lit(i)) for i in range(4))
@@ -106,8 +111,8 @@ def currency_c(raw: Column) -> Column:
     )
 
 
-def with_mentions_c(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Five rules (prefix, multiplier, currency word, spelled, bare); may overlap, rule order kept."""
+def mention_rules_c(text: str) -> list[S.Rule]:
+    """Five rules: prefix, multiplier, currency word, spelled, bare number."""
     yes, t = F.lit(True), F.col(text)
     digits = t.rlike(r"\d")
 
@@ -151,19 +156,29 @@ def with_mentions_c(df: DataFrame, text: str, out: str) -> DataFrame:
 
     scale = t.rlike(rx(r"(?iu)\d\s?(?:k|mil)"))
     unit = t.rlike("(?iu)quetzal|d[óo]lar|usd|gtq|dls")
-    d, names = S.with_spans(
-        df,
-        text,
-        [
-            S.Rule("money", "prefix", V.C_MONEY_A, 3, digits, keep_prefixed, prefixed),
-            S.Rule("money", "scale", V.C_MONEY_B, 2, digits & scale, None, multiplied),
-            S.Rule("money", "unit", V.C_MONEY_C, 1, digits & unit, None, worded),
-            S.Rule("money", "words", V.C_WORDS_AMOUNT, 0, t.rlike("(?iu)mil"), real_words, spelled),
-            S.Rule("money", "bare", V.C_MONEY_E, 1, digits, real_bare, bare),
-        ],
-    )
+    return [
+        S.Rule("money", "prefix", V.C_MONEY_A, 3, digits, keep_prefixed, prefixed),
+        S.Rule("money", "scale", V.C_MONEY_B, 2, digits & scale, None, multiplied),
+        S.Rule("money", "unit", V.C_MONEY_C, 1, digits & unit, None, worded),
+        S.Rule("money", "words", V.C_WORDS_AMOUNT, 0, t.rlike("(?iu)mil"), real_words, spelled),
+        S.Rule("money", "bare", V.C_MONEY_E, 1, digits, real_bare, bare),
+    ]
+
+
+def all_mentions(names: list[str]) -> Column:
     every = F.concat(*[F.coalesce(F.col(n), S.empty(MENTIONS)) for n in names])
-    return d.select(*df.columns, F.filter(every, lambda m: m["value"].isNotNull()).alias(out))
+    return F.filter(every, lambda m: m["value"].isNotNull())
+
+
+def with_mentions_c(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Mentions of all five rules; they may overlap, rule order is kept."""
+
+    def build(d, o):
+        base = d.columns
+        d, names = S.with_spans(d, "__text", mention_rules_c("__text"))
+        return d.select(*base, all_mentions(names).alias(o))
+
+    return program.apply(df, ("mentions_c",), {"__text": text}, build, out)
 
 
 def mention_spans(mentions: Column, kind: str, rule: str = "money") -> Column:
