@@ -9,6 +9,7 @@ from veilspan.functions import spans as S
 from veilspan.functions.regexes import rx
 from veilspan.functions.text import js_trim
 from veilspan.operators import detect as D
+from veilspan.session import keep_rows
 
 
 def redact_a(df, text, out, employer=None, amounts=None, names=None, findings=None) -> DataFrame:
@@ -48,9 +49,9 @@ def clean_pieces(df: DataFrame, key: str, pieces: str, out: str, find) -> DataFr
     Pieces become rows so that the same detectors judge each on its own; only clean pieces are
     shuffled back together, one short list per key.
     """
-    rows = df.select("*", F.posexplode(F.col(pieces)).alias("_pos", "_piece"))
+    rows = df.select("*", F.posexplode_outer(F.col(pieces)).alias("_pos", "_piece")).where(F.col("_pos").isNotNull())
     f = S.tmp("f")
-    clean = find(rows, "_piece", f).where(F.size(f) == 0).select(key, F.struct("_pos", "_piece").alias("_p"))
+    clean = keep_rows(find(rows, "_piece", f), F.size(f) == 0).select(key, F.struct("_pos", "_piece").alias("_p"))
     return clean.groupBy(key).agg(F.array_sort(F.collect_list("_p")).alias(out)).select(
         key, F.transform(out, lambda p: p["_piece"]).alias(out)
     )
@@ -99,7 +100,8 @@ def finalize_letter(raw: Column, name: Column) -> Column:
 # ------------------------------------------------------------------ span tables
 def span_table(df: DataFrame, key: str, spans: Column) -> DataFrame:
     """Long table key, ord, start, end, kind, rule, raw; only spans travel on, never texts."""
-    return df.select(key, F.posexplode(spans).alias("ord", "s")).select(key, "ord", "s.*")
+    d = df.select(key, F.posexplode_outer(spans).alias("ord", "s")).where(F.col("ord").isNotNull())
+    return d.select(key, "ord", "s.*")
 
 
 def merge_islands(spans: DataFrame, key: str, priority: Column | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def _bytes(text: str) -> int:
 
 def _plan_size(df: DataFrame) -> int:
     """Size Spark itself estimates for the plan (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def plan_size(df: DataFrame) -> int:
@@ -96,3 +96,21 @@ def let(value: Column, body) -> Column:
     array element; a one-element transform evaluates it exactly once.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def keep_rows(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on an expensive derived column without letting the predicate travel down.
+
+    A plain `where` is pushed through the projections below it, which would evaluate the whole
+    chain of higher-order functions a second time inside the filter. A generator stops it.
+    """
+    d = df.select("*", F.explode_outer(F.when(cond, F.array(F.lit(1)))).alias("__ok"))
+    return d.where(F.col("__ok").isNotNull()).drop("__ok")
+
+
+def inline_rows(df: DataFrame, keys: list[str], structs: Column, probe: str) -> DataFrame:
+    """Array of structs → rows; the outer form keeps Spark from pushing "array not empty" down.
+
+    `probe` is a field that is never NULL in a real element.
+    """
+    return df.select(*keys, F.inline_outer(structs)).where(F.col(probe).isNotNull())
