@@ -246,7 +246,7 @@ CACHE_TTL_DAYS = 7
 SLOW_MS = {"company": 3000, "market": 3000, "letter": 10000}
 MAX_ACHIEVEMENTS, MAX_OFFER, MAX_SNIPPET = 2000, 4000, 350
 PRICE_IN_PER_M, PRICE_OUT_PER_M = 0.75, 3.75
-# band id, lower edge, lower inclusive, upper edge, upper inclusive
+# band id, lower edge, upper edge, upper edge inclusive
 BANDS = {
     "A": [("below", None, 0, False), ("conservative", 0, 10, False), ("realistic", 10, 30, True),
           ("ambitious", 30, 60, True), ("out_of_range", 60, None, False)],

@@ -285,7 +285,7 @@ def gap_pct(current: Column, desired: Column, variant: str) -> Column:
 def band(pct: Column, variant: str) -> Column:
     """Band id from the edge table; a CASE over five fixed rows, so no join is needed."""
     out = None
-    for name, lo, _, hi, hi_incl in V.BANDS[variant]:
+    for name, _, hi, hi_incl in V.BANDS[variant]:
         cond = F.lit(True) if hi is None else (pct <= hi if hi_incl else pct < hi)
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return F.when(pct.isNotNull(), out)

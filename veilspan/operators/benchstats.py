@@ -159,27 +159,43 @@ def memory_mode(size: Column, vram: Column) -> Column:
     return F.when(F.coalesce(vram, F.lit(0)) == 0, "cpu").when(vram >= size, "gpu").otherwise("partial")
 
 
-def ordinals(df: DataFrame, key: str) -> DataFrame:
-    """0-based rank of `key` over the whole table without one global sort task.
+def rank_in_buckets(df: DataFrame, group: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
+    """0-based rank within `group`, for groups of any size.
 
-    Rows are range-partitioned; counts per partition are summed to offsets (one row per partition),
-    and each row adds its rank within its own partition.
+    `bucket` is a deterministic, order-preserving function of the order key: rows are ranked inside
+    (group, bucket), and the counts of the earlier buckets of the group are added. No task ever
+    sees more than one bucket.
     """
-    part = df.repartitionByRange(F.col(key)).withColumn("_pid", F.spark_partition_id())
-    within = Window.partitionBy("_pid").orderBy(key)
-    local = part.withColumn("_rn", F.row_number().over(within))
-    sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return local.join(offs, "_pid").select(
-        *df.columns, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias("ordinal")
-    )
+    keys = [*group, bucket]
+    local = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy()
+    before = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    rest = [c for c in df.columns if c != bucket]
+    return local.join(offs, keys).select(*rest, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out))
+
+
+def ordinals(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """0-based rank of a numeric key over the whole table without one global sort task.
+
+    The bucket edges are approximate quantiles, one array of `buckets` numbers fetched once and put
+    into the plan, so every evaluation of the plan cuts the rows alike.
+    """
+    ps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = df.agg(F.percentile_approx(key, ps, F.lit(10000))).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in dict.fromkeys(edges)]), lambda e: F.col(key) > e)) if edges else F.lit(0)
+    return rank_in_buckets(df.withColumn("_bucket", bucket), [], "_bucket", [key], "ordinal")
 
 
 def seeded_order(df: DataFrame, group: str, item: str) -> DataFrame:
-    """Reproducible shuffle of the items of a group: order by a hash of (group, item)."""
-    w = Window.partitionBy(group).orderBy(F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.col(item).cast("string")), 256))
-    return df.withColumn("position", F.row_number().over(w) - 1)
+    """Reproducible shuffle of the items of a group: rank of a hash of (group, item).
+
+    The first hash digits are the bucket: uniform, so even one huge group spreads over many tasks.
+    """
+    h = F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.col(item).cast("string")), 256)
+    d = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, 2))
+    return rank_in_buckets(d, [group], "_bucket", ["_h"], "position").drop("_h")
 
 
 def request_status(dest: Column, ok: Column, failure: Column, ms: Column) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts",)
+MODULES = ("texts", "calls", "people")
 
 
 def load_all() -> None:

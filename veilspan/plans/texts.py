@@ -112,7 +112,7 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_EMAIL}')) AS raw FROM
 """)
 def masked_preview(spark, sf):
     d = docs(spark, sf, "doc_id", "text").where(F.contains("text", F.lit("@")))
-    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("raw")).select(
+    return d.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("raw")).where("raw IS NOT NULL").select(
         "doc_id", S.preview(F.col("raw")).alias("preview"))
 
 
