@@ -151,7 +151,7 @@ C_NUMBER_VALUES = {
 }
 C_YEARS = (1950, 2039)
 C_CORPORATE_SUFFIX = rx(
-    r"(?:[,\s]*\b(?:s\.?\s?a\.?|sociedad an[oó]nima|ltda\.?|limitada|inc\.?|corp\.?|llc|s\.?\s?de\s?r\.?\s?l\.?)\s*)+$",
+    r"(?:[,\s]*(?<![A-Za-z0-9_])(?:s\.?\s?a\.?|sociedad an[oó]nima|ltda\.?|limitada|inc\.?|corp\.?|llc|s\.?\s?de\s?r\.?\s?l\.?)\s*)+$",
     "i",
 )
 C_STOP = "de del la las los el y e en & the of and".split()

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed as V
-from veilspan.functions.regexes import WS, rx
+from veilspan.functions.regexes import WORD_END, WORD_START, WS, rx
 from veilspan.functions.text import amount_haystack, fold, js_trim
 from veilspan.session import let
 
@@ -226,7 +226,7 @@ def contains_amount(text: Column, amount: Column) -> Column:
 
     def body(b):
         def found(v):
-            word = F.concat(F.lit(rx(r"\b")), v, F.lit(rx(r"\b")))
+            word = F.concat(F.lit(WORD_START), v, F.lit(WORD_END))
             digits = F.concat(F.lit(r"(?i)(?:^|[^\d.,])"), F.replace(v, F.lit(" "), F.lit(WS + "*")), F.lit(r"(?![\d])"))
             return F.when(v.rlike("^[a-z ]+$"), F.regexp_like(b["h"], word)).otherwise(F.regexp_like(b["h"], digits))
 
@@ -237,6 +237,25 @@ def contains_amount(text: Column, amount: Column) -> Column:
     )
 
 
+def amount_pattern(amount: Column) -> Column:
+    """One pattern for all written forms of an amount, over `amount_haystack` text."""
+
+    def body(vs):
+        words = F.filter(vs, lambda v: v.rlike("^[a-z ]+$"))
+        digits = F.transform(F.filter(vs, lambda v: ~v.rlike("^[a-z ]+$")), lambda v: F.replace(v, F.lit(" "), F.lit(WS + "*")))
+        return F.concat(
+            F.lit(r"(?:^|[^\d.,])(?:"), F.array_join(digits, "|"), F.lit(r")(?![\d])|" + WORD_START + "(?:"),
+            F.array_join(words, "|"), F.lit(")" + WORD_END),
+        )
+
+    return F.when(amount > 0, let(amount_variants(amount), body))
+
+
+def has_amount(haystack: Column, amount: Column) -> Column:
+    """Whether any written form of `amount` stands in the haystack: one scan of the text."""
+    return F.coalesce(F.regexp_like(haystack, amount_pattern(amount)), F.lit(False))
+
+
 # ------------------------------------------------------------------ currency, period, money text
 def to_gtq(amount: Column, currency: Column, variant: str) -> Column:
     """Local-currency amount; variant A knows no other currency than these two (NULL)."""

@@ -5,13 +5,14 @@ from __future__ import annotations
 _WS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{_WS}]"
 NOT_WS = f"[^{_WS}]"
-# ASCII word boundary: java's \b also looks at accented letters.
-WB = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# ASCII word boundaries (java's \b also looks at accented letters): before and after a word.
+WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def rx(pattern: str, flags: str = "") -> str:
     r"""Write \s and \b of a rule out for java: wide whitespace, ASCII word boundary.
 
+    A boundary is cheap only when its side is known, so rules use it next to a word only.
     `flags` "i" is case-insensitive including accented letters, "m" is multi-line anchors.
     """
     out, i, in_class = [], 0, False
@@ -24,7 +25,9 @@ def rx(pattern: str, flags: str = "") -> str:
             elif n == "S" and not in_class:
                 out.append(NOT_WS)
             elif n == "b" and not in_class:
-                out.append(WB)
+                # at the head of a branch a word follows, anywhere else a word has just ended
+                head = not out or out[-1] in ("(", "|", "?:")
+                out.append(WORD_START if head else WORD_END)
             else:
                 out.append(c + n)
             i += 2

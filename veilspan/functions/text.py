@@ -11,9 +11,9 @@ from veilspan.session import let
 
 
 def _fold_table() -> tuple[str, str]:
-    """Every Latin letter whose decomposed, mark-free, lower-case form is one character."""
+    """Every character whose decomposed, mark-free, lower-case form is one other character."""
     src, dst = [], []
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for cp in [*range(0x41, 0xD800), *range(0xE000, 0xFFFE)]:
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c)).lower()
         if len(base) == 1 and base != ch:
@@ -27,9 +27,7 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 
 def fold(c: Column) -> Column:
     """Lower case without accents, one character out per character in, so offsets stay valid."""
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(
-        F.lower(F.translate(c, _FOLD_FROM, _FOLD_TO))
-    )
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _FOLD_FROM, _FOLD_TO))
 
 
 def normalize(c: Column) -> Column:

@@ -381,7 +381,23 @@ _NOT_NAME_HEAD = "^(?:(?:" + "|".join(V.C_NOT_NAMES) + r")(?:[ \t]+|$))+"
 _VETO = list(dict.fromkeys(V.C_NOT_NAMES + V.C_JOB_WORDS))
 
 
-def people_rules() -> list[Rule]:
+# stems one of which every role / title contains
+_ROLE_STEMS = (
+    "jef gerente companer colega supervis director coordinador lider manager boss mentor cliente socio socia encargad "
+    "reclutador recruiter contacto referencia teammate coworker"
+).split()
+_TITLE_STEMS = "Lic Ing Dr Doct Sr Señ Don Doñ Arq Mr Ms MSc".split()
+
+
+def any_of(text: Column, words: list[str]) -> Column:
+    """Plain substring tests: far cheaper than a regex that fails at every position."""
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def people_rules(text: str, folded: str) -> list[Rule]:
     """People introduced by a role or a title."""
 
     def by_role(m):
@@ -395,8 +411,8 @@ def people_rules() -> list[Rule]:
         return F.when(~job, S.span(m["start"], m["end"], "person_name", "person_title", m["raw"]))
 
     return [
-        Rule("person_name", "person_role", V.C_PERSON_ROLE, 1, None, lambda s: s["end"] > s["start"], by_role),
-        Rule("person_name", "person_title", V.C_PERSON_TITLE, 1, None, lambda s: s.isNotNull(), by_title),
+        Rule("person_name", "person_role", V.C_PERSON_ROLE, 1, any_of(F.col(folded), _ROLE_STEMS), lambda s: s["end"] > s["start"], by_role),
+        Rule("person_name", "person_title", V.C_PERSON_TITLE, 1, any_of(F.col(text), _TITLE_STEMS), lambda s: s.isNotNull(), by_title),
     ]
 
 
@@ -430,24 +446,28 @@ def contact_rules(text: str) -> list[Rule]:
     return [
         Rule("email", "email", V.C_EMAIL, 0, F.contains(t, F.lit("@"))),
         Rule("dpi", "dpi_4_5_4", V.C_DPI, 0, digits),
-        Rule("nit", "nit_labeled", V.C_NIT_LABELED, 1, digits & t.rlike("(?i)nit"), None, labeled),
+        Rule("nit", "nit_labeled", V.C_NIT_LABELED, 1, digits & (F.contains(t, F.lit("NIT")) | t.rlike("(?i)nit")), None, labeled),
         Rule("nit", "nit_shape", V.C_NIT_SHAPE, 0, digits & F.contains(t, F.lit("-"))),
         Rule("phone", "phone_gt", V.C_PHONE, 0, digits, _real_phone),
     ]
 
 
-def address_rules(text: str) -> list[Rule]:
-    t = F.col(text)
-    guards = {
-        "address_zona": "(?iu)zona",
-        "address_street_numbered": "(?iu)calle|avenida|av[.]",
-        "address_street_named": "[Cc]alle|[Aa]venida|[Aa]v[.]|[Dd]iagonal|[Bb]ul|[Bb]oul|[Bb]lvd|[Cc]alza|[Cc]arret",
-        "address_km": "(?iu)km|kil[oó]metro",
-        "address_area": "[Cc]olonia|[Cc]ol[.]|[Rr]esiden|[Cc]ondom|[Bb]arrio|[Aa]ldea|[Ll]otif|[Cc]ant",
-        "address_unit": "(?iu)casa|apto|apartamento|lote|manzana",
-        "address_house_number": "(?iu)zona",
-    }
-    return [Rule("address", rule, p, 0, t.rlike(guards[rule])) for rule, p in V.C_ADDRESS.items()]
+_ADDRESS_STEMS = {
+    "address_zona": ["zona"], "address_street_numbered": ["calle", "avenida", "av."],
+    "address_street_named": ["calle", "avenida", "av.", "diagonal", "bulevar", "boulevard", "blvd", "calzada", "carretera"],
+    "address_km": ["km", "kilometro"],
+    "address_area": ["colonia", "col.", "residencial", "condominio", "barrio", "aldea", "lotificacion", "canton"],
+    "address_unit": ["casa", "apto", "apartamento", "lote", "manzana"], "address_house_number": ["zona"],
+}
+
+
+def address_rules(text: str, folded: str) -> list[Rule]:
+    digits, f = F.col(text).rlike(r"\d"), F.col(folded)
+    wordy = ("address_street_named", "address_area")
+    return [
+        Rule("address", rule, p, 0, any_of(f, _ADDRESS_STEMS[rule]) if rule in wordy else digits & any_of(f, _ADDRESS_STEMS[rule]))
+        for rule, p in V.C_ADDRESS.items()
+    ]
 
 
 def with_candidates_c(
@@ -462,10 +482,11 @@ def with_candidates_c(
     base = df.columns
     t, folded, emp, covers, allc = (S.tmp(x) for x in ("t", "fold", "emp", "cov", "all"))
     d = df.select("*", S.plain(F.col(text)).alias(t))
-    rules = contact_rules(t) + address_rules(t) + people_rules()
+    d = d.select("*", fold(F.col(t)).alias(folded))
+    rules = contact_rules(t) + address_rules(t, folded) + people_rules(t, folded)
     cover_rules = [Rule("tag", "tag", V.C_TAG_PATTERN, 0, F.col(t).rlike(r"[\[{]"))]
     if own_name or keep:
-        cols = [fold(F.col(t)).alias(folded)]
+        cols = []
         if own_name:
             cols.append(own_name_pattern(F.col(own_name)).alias(folded + "n"))
         if keep:
@@ -489,7 +510,7 @@ def with_candidates_c(
             F.when(F.size(k) > 0, F.array_join(F.transform(F.col(k), quote_regex), "|")).alias(k + "p"),
         )
         cover_rules.append(Rule("keep", "keep", F.col(k + "p"), 0, F.col(k + "p").isNotNull(), None, None, folded))
-    money, emp_rules, matcher = M.mention_rules_c(t), [], S.tmp("m")
+    money, emp_rules, matcher = M.mention_rules_c(t, folded), [], S.tmp("m")
     if employer:
         d = with_employer_matcher(d, employer, matcher)
         d, emp_rules = employer_rules_c(d, matcher)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import fixed as V
 from veilspan.functions import numbers as N
 from veilspan.functions import spans as S
-from veilspan.functions.text import clip, fold, js_trim, squeeze
+from veilspan.functions.text import clip, js_trim, squeeze
 from veilspan.operators import detect as D
 from veilspan.operators import redact as R
 
@@ -71,7 +71,10 @@ def stack_fields(df: DataFrame, key: str, fields: list[str], carry: list[str]) -
 
 def unstack_fields(rows: DataFrame, key: str, fields: list[str], keep: list[str], cells: list[str]) -> DataFrame:
     """Back to one row per key: `cells` become maps field → value, `keep` columns are constant per key."""
-    g = rows.groupBy(key).agg(
+    # as many tasks as the session asks for: these rows are few bytes but much work, so they must
+    # not be coalesced by size before the gate runs over them
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = rows.repartition(n, key).groupBy(key).agg(
         F.first(F.struct(*keep)).alias("_keep") if keep else F.lit(1).alias("_keep"),
         F.array_sort(F.collect_list(F.struct("pos", "field", *cells))).alias("_rows"),
     )
@@ -265,11 +268,15 @@ def detect_residual_c(df: DataFrame, text: str) -> DataFrame:
     f, m = S.tmp("res"), S.tmp("m")
     d = D.find_c(df, text, f, "employer", "name", "_keep")
     d = D.with_employer_matcher(d, "employer", m)
-    t = F.col(text)
+    t, h = F.col(text), F.col("_hay")
+    d = d.select(
+        "*", N.amount_haystack(t).alias("_hay"), N.amount_pattern(F.col("current_salary")).alias("_p1"),
+        N.amount_pattern(F.col("desired_salary")).alias("_p2"),
+    )
     rules = F.transform(
         F.filter(f, lambda s: s["rule"] != "own_name"), lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"))
     )
-    hay = F.regexp_replace(fold(t), "[^a-z0-9]", "")
+    compact = F.regexp_replace(h, "[^a-z0-9]", "")
     needle = F.regexp_replace(F.col(m)["full"], "[^a-z0-9]", "")
 
     def known(hit, kind, rule):
@@ -277,9 +284,9 @@ def detect_residual_c(df: DataFrame, text: str) -> DataFrame:
 
     more = F.array_compact(
         F.array(
-            known(N.contains_amount(t, F.col("current_salary")).isNotNull(), "salary", "known_current_salary"),
-            known(N.contains_amount(t, F.col("desired_salary")).isNotNull(), "salary", "known_desired_salary"),
-            known(F.coalesce((F.length(needle) >= 4) & F.contains(hay, needle), F.lit(False)), "employer", "known_employer"),
+            known(F.regexp_like(h, F.col("_p1")), "salary", "known_current_salary"),
+            known(F.regexp_like(h, F.col("_p2")), "salary", "known_desired_salary"),
+            known(F.coalesce((F.length(needle) >= 4) & F.contains(compact, needle), F.lit(False)), "employer", "known_employer"),
         )
     )
     d = d.withColumn("residual", F.concat(rules, more))

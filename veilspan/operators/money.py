@@ -111,9 +111,9 @@ def currency_c(raw: Column) -> Column:
     )
 
 
-def mention_rules_c(text: str) -> list[S.Rule]:
+def mention_rules_c(text: str, folded: str) -> list[S.Rule]:
     """Five rules: prefix, multiplier, currency word, spelled, bare number."""
-    yes, t = F.lit(True), F.col(text)
+    yes, f, t = F.lit(True), F.col(folded), F.col(text)
     digits = t.rlike(r"\d")
 
     def g(m, i):
@@ -154,13 +154,21 @@ def mention_rules_c(text: str) -> list[S.Rule]:
             & ~after(m).rlike(V.C_COUNT_NOUNS)
         )
 
-    scale = t.rlike(rx(r"(?iu)\d\s?(?:k|mil)"))
-    unit = t.rlike("(?iu)quetzal|d[óo]lar|usd|gtq|dls")
+    def has(*words):
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(f, F.lit(w))
+        return out
+
+    mil, unit = has("mil"), has("quetzal", "dolar", "usd", "gtq", "dls")
+    # the prefix rule starts with a currency sign or word: q also begins "quetzales"
+    prefix = has("$", "usd", "gtq") | f.rlike(rx(r"q\.?\s?\d|quetzales\s?\d"))
+    scale = mil | f.rlike(rx(r"\d\s?k"))
     return [
-        S.Rule("money", "prefix", V.C_MONEY_A, 3, digits, keep_prefixed, prefixed),
+        S.Rule("money", "prefix", V.C_MONEY_A, 3, digits & prefix, keep_prefixed, prefixed),
         S.Rule("money", "scale", V.C_MONEY_B, 2, digits & scale, None, multiplied),
         S.Rule("money", "unit", V.C_MONEY_C, 1, digits & unit, None, worded),
-        S.Rule("money", "words", V.C_WORDS_AMOUNT, 0, t.rlike("(?iu)mil"), real_words, spelled),
+        S.Rule("money", "words", V.C_WORDS_AMOUNT, 0, mil, real_words, spelled),
         S.Rule("money", "bare", V.C_MONEY_E, 1, digits, real_bare, bare),
     ]
 
@@ -174,8 +182,9 @@ def with_mentions_c(df: DataFrame, text: str, out: str) -> DataFrame:
     """Mentions of all five rules; they may overlap, rule order is kept."""
 
     def build(d, o):
-        base = d.columns
-        d, names = S.with_spans(d, "__text", mention_rules_c("__text"))
+        base, f = d.columns, S.tmp("fold")
+        d = d.select("*", fold(F.col("__text")).alias(f))
+        d, names = S.with_spans(d, "__text", mention_rules_c("__text", f))
         return d.select(*base, all_mentions(names).alias(o))
 
     return program.apply(df, ("mentions_c",), {"__text": text}, build, out)
