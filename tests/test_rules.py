@@ -31,7 +31,7 @@ def test_parse_amounts(spark):
 
 
 def test_spanish_words(spark):
-    d = spark.createDataFrame([(n,) for n in (0, 100, 1000, 12500, 15000, 21031, 999999)], "n double")
+    d = spark.createDataFrame([(float(n),) for n in (0, 100, 1000, 12500, 15000, 21031, 999999)], "n double")
     assert [r[0] for r in d.select(N.spanish_words(F.col("n"))).collect()] == [
         "cero", "cien", "mil", "doce mil quinientos", "quince mil", "veintiun mil treinta y un",
         "novecientos noventa y nueve mil novecientos noventa y nueve",
