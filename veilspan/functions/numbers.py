@@ -243,10 +243,11 @@ def amount_pattern(amount: Column) -> Column:
     def body(vs):
         words = F.filter(vs, lambda v: v.rlike("^[a-z ]+$"))
         digits = F.transform(F.filter(vs, lambda v: ~v.rlike("^[a-z ]+$")), lambda v: F.replace(v, F.lit(" "), F.lit(WS + "*")))
-        return F.concat(
-            F.lit(r"(?:^|[^\d.,])(?:"), F.array_join(digits, "|"), F.lit(r")(?![\d])|" + WORD_START + "(?:"),
-            F.array_join(words, "|"), F.lit(")" + WORD_END),
-        )
+        # the lookaheads let nearly every position fail on its first character
+        first = F.substring(F.get(words, F.lit(0)), 1, 1)
+        by_digits = F.concat(F.lit(r"(?=\d)(?<![\d.,])(?:"), F.array_join(digits, "|"), F.lit(r")(?![\d])"))
+        by_words = F.concat(F.lit("|(?="), first, F.lit(")" + WORD_START + "(?:"), F.array_join(words, "|"), F.lit(")" + WORD_END))
+        return F.concat(by_digits, F.when(F.size(words) > 0, by_words).otherwise(""))
 
     return F.when(amount > 0, let(amount_variants(amount), body))
 

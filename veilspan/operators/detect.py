@@ -285,6 +285,41 @@ def with_employer_matcher(df, employer: str, out: str):
     )
 
 
+def _pieces(phrase: Column, limit: Column) -> Column:
+    """limit + 1 disjoint parts of a phrase, none across a blank; NULL when it is too short for that.
+
+    Each edit spoils one part at most, so a text within `limit` edits contains one of them as it is.
+    """
+    words = F.filter(F.split(phrase, " ", -1), lambda w: w != "")
+    k = F.ceil((limit + 1) / F.greatest(F.size(words), F.lit(1))).cast("int")
+
+    def cut(w):
+        n = F.ceil(F.length(w) / k).cast("int")
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.substring(w, j * n + 1, n))
+
+    parts = F.filter(F.flatten(F.transform(words, cut)), lambda x: x != "")
+    by_length = F.array_sort(F.transform(parts, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x"))))
+    longest = F.transform(F.slice(by_length, F.lit(1), limit + 1), lambda e: e["x"])
+    return F.when(F.size(parts) > limit, longest)
+
+
+def employer_needles(m: Column) -> Column:
+    """Strings one of which any employer match must contain; NULL when no such set exists."""
+
+    def fuzzy(p):
+        return _pieces(p, F.when(F.length(p) >= 8, F.greatest(F.lit(1), F.floor(F.length(p) / 8).cast("int"))).otherwise(0))
+
+    def together(p):
+        c = F.replace(p, F.lit(" "), F.lit(""))
+        return _pieces(c, F.when(F.length(c) >= 10, 1).otherwise(0))
+
+    def single(d):
+        return _pieces(d, F.when(F.length(d) >= 7, 1).otherwise(0))
+
+    phrases = F.concat(F.array(m["full"]), m["aliases"])
+    return F.flatten(F.concat(F.transform(phrases, fuzzy), F.transform(phrases, together), F.transform(m["distinctive"], single)))
+
+
 def _close(a: Column, b: Column, limit: Column) -> Column:
     """Edit distance within `limit`; cheap tests first."""
     return (a == b) | (
@@ -301,9 +336,14 @@ def token_rule(guard: Column | None = None) -> Rule:
     return Rule("token", "token", V.C_TOKEN, 0, guard, None, make)
 
 
-def employer_rules_c(d, matcher: str):
-    """The acronym pattern of a matcher as a column, and the rules for acronym and tokens."""
-    mc, acr = F.col(matcher), S.tmp("acr")
+def employer_rules_c(d, matcher: str, folded: str):
+    """The acronym pattern of a matcher as a column, and the rules for acronym and tokens.
+
+    Cutting a text into tokens is the dear part; texts without any part of the name are spared it.
+    """
+    mc, acr, nd = F.col(matcher), S.tmp("acr"), S.tmp("needles")
+    d = d.select("*", F.when(mc.isNotNull(), employer_needles(mc)).alias(nd))
+    maybe = mc.isNotNull() & (F.col(nd).isNull() | F.exists(nd, lambda n: F.contains(F.col(folded), n)))
     letters = F.filter(F.split(F.upper(mc["acronym"]), "", -1), lambda x: x != "")
     pattern = F.concat(
         F.lit(r"(?<![\p{L}\p{N}])"), F.array_join(F.transform(letters, quote_regex), r"\.?"), F.lit(r"\.?(?![\p{L}\p{N}])")
@@ -311,7 +351,7 @@ def employer_rules_c(d, matcher: str):
     d = d.select("*", F.when(F.length(mc["acronym"]) >= 2, pattern).alias(acr))
     return d, [
         Rule("employer", "employer_acronym", F.col(acr), 0, F.col(acr).isNotNull()),
-        token_rule(mc.isNotNull()),
+        token_rule(maybe),
     ]
 
 
@@ -513,7 +553,7 @@ def with_candidates_c(
     money, emp_rules, matcher = M.mention_rules_c(t, folded), [], S.tmp("m")
     if employer:
         d = with_employer_matcher(d, employer, matcher)
-        d, emp_rules = employer_rules_c(d, matcher)
+        d, emp_rules = employer_rules_c(d, matcher, folded)
     d, names = S.with_spans(d, t, rules + cover_rules + money + emp_rules)
     n, k = len(rules), len(rules) + len(cover_rules)
     hits, cov, mon, emps = names[:n], names[n:k], names[k : k + len(money)], names[k + len(money):]
