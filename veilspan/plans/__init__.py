@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "calls", "people")
+MODULES = ("texts", "calls", "people", "facts")
 
 
 def load_all() -> None:
