@@ -7,7 +7,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions.regexes import WS, rx
-from veilspan.session import let
 
 
 def _fold_table() -> tuple[str, str]:
@@ -114,10 +113,3 @@ def first_n(arr: Column, n: int | Column) -> Column:
 
 def array_first(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
-
-
-def contains_word(haystack: Column, pattern: str) -> Column:
-    return haystack.rlike(pattern)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["let"]
