@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, exactdedup, mixing, orcids
+from veilspan.llm import bpe, exactdedup, mixing, orcids, simhash
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ FROM g WINDOW w AS (PARTITION BY t)
 )
 def op7(spark, sf):
     return exactdedup.exact_groups(documents(spark, sf))
+
+
+@query("op10_simhash_near_dedup")
+def op10(spark, sf):
+    return simhash.near_groups(documents(spark, sf))
