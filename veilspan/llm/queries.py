@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, exactdedup, mixing, orcids, simhash
+from veilspan.llm import bpe, exactdedup, linedrop, mixing, orcids, simhash
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op7(spark, sf):
 @query("op10_simhash_near_dedup")
 def op10(spark, sf):
     return simhash.near_groups(documents(spark, sf))
+
+
+@query("op9_log_template_lines", linedrop.SQL)
+def op9(spark, sf):
+    return linedrop.drop_recurring(documents(spark, sf).select("doc_id", "text"))
