@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, exactdedup, linedrop, mixing, orcids, simhash
+from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, simhash
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_cotraining_quality")
+def op1(spark, sf):
+    docs = documents(spark, sf)
+    return cotraining.scores(docs, cotraining.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 @query("op2_orc_token_ids")
 def op2(spark, sf):
     path = shared_folder(spark, "orc-ids")
@@ -76,3 +82,9 @@ def op10(spark, sf):
 @query("op9_log_template_lines", linedrop.SQL)
 def op9(spark, sf):
     return linedrop.drop_recurring(documents(spark, sf).select("doc_id", "text"))
+
+
+@query("op8_string_kernel_language")
+def op8(spark, sf):
+    docs = documents(spark, sf)
+    return langkernel.score(docs, langkernel.fit(docs))
