@@ -26,6 +26,7 @@ from veilspan.llm.bpe import beside_blank
 from veilspan.llm.common import column, ids_and_texts
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
+SIGNS = ",.;:!?"
 
 
 class PieceEncoder:
@@ -33,7 +34,7 @@ class PieceEncoder:
     bounded generations. Such a blank always begins a new pre-token, so the pieces' ids put together are
     the text's; texts with other blank runs go to the library whole."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -41,10 +42,22 @@ class PieceEncoder:
         self.limit = limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: set[str]) -> None:
+        """Ask for pieces; signs after a last letter are a pre-token of their own and asked apart."""
+        stems = {p: x for p in new if (x := p.rstrip(SIGNS)) and x is not p and x[-1].isalpha()}
+        ask = list(((new - stems.keys()) | set(stems.values())) - self.young.keys())
+        self.young.update(zip(ask, self.ask([" " + p for p in ask])))
+        tails = list({p[len(x) :] for p, x in stems.items()} - self.tails.keys())
+        self.tails.update(zip(tails, self.ask(tails)))
+        self.young.update((p, self.young[x] + self.tails[p[len(x) :]]) for p, x in stems.items())
+        if len(self.tails) > 10_000:
+            self.tails = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         if len(self.young) > self.limit:
@@ -53,8 +66,7 @@ class PieceEncoder:
         kept = here & self.old.keys()
         self.young.update((p, self.old[p]) for p in kept)
         beside = {p for p in here - kept if beside_blank(p)}
-        new = list(here - kept - beside)
-        self.young.update(zip(new, self.ask([" " + p for p in new])))
+        self.learn(here - kept - beside)
         odd = [i for i, x in enumerate(parts) if not beside.isdisjoint(x[1:]) or (len(x) > 1 and x[0] and x[0][-1].isspace())]
         whole = dict(zip(odd, self.ask([texts[i] for i in odd])))
         heads = list({x[0] for x in parts})
