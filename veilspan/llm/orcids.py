@@ -49,7 +49,7 @@ class PieceEncoder:
 
     def learn(self, new: set[str]) -> None:
         """Ask for pieces; signs after a last letter are a pre-token of their own and asked apart."""
-        stems = {p: x for p in new if (x := p.rstrip(SIGNS)) and x is not p and x[-1].isalpha()}
+        stems = {p: x for p in new if (x := p.rstrip(SIGNS)) and x != p and x[-1].isalpha()}
         ask = list(((new - stems.keys()) | set(stems.values())) - self.young.keys())
         self.young.update(zip(ask, self.ask([" " + p for p in ask])))
         tails = list({p[len(x) :] for p, x in stems.items()} - self.tails.keys())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, simhash
+from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, simhash, toxicity
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def op4(spark, sf):
     return mixing.replicate(documents(spark, sf).select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+@query("op5_convolution_toxicity")
+def op5(spark, sf):
+    docs = documents(spark, sf)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 @query("op6_bpe_round_trip")
 def op6(spark, sf):
     return bpe.round_trip_digests(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
