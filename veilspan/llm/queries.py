@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, simhash, toxicity
+from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, rarefeatures, simhash, toxicity
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2(spark, sf):
     return orcids.read_digests(spark, path)
 
 
+@query("op3_rare_feature_digest")
+def op3(spark, sf):
+    return rarefeatures.compare_with_edits(documents(spark, sf))
+
+
 @query(
     "op4_poisson_mixing",
     """
