@@ -262,10 +262,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     peeks = [(k, tops[(i + 1) % len(tops)][0]) for i, (_, k) in enumerate(tops)]
     aims = spark.createDataFrame(peeks, "top long, aim int")
     rows = rows.join(F.broadcast(aims), F.col("k") == F.col("top"), "left")
-    goes = F.when(F.col("aim").isNull(), F.array(F.struct(F.col("bucket"), F.lit(False)))).otherwise(
-        F.array(F.struct(F.col("bucket"), F.lit(False)), F.struct(F.col("aim"), F.lit(True)))
-    )
-    sent = rows.select("k", "doc_id", "text", F.inline(goes).alias("bucket", "peek"))
+    own, copy = (F.struct(F.col(c).alias("bucket"), F.lit(p).alias("peek")) for c, p in (("own", False), ("aim", True)))
+    goes = F.when(F.col("aim").isNull(), F.array(own)).otherwise(F.array(own, copy))
+    sent = rows.withColumnRenamed("bucket", "own").select("k", "doc_id", "text", F.inline(goes))
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "peek", F.desc("k"), "text").select("k", "bucket", "peek", "doc_id", "text")
 
 
