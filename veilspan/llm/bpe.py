@@ -187,26 +187,29 @@ def load(spark: SparkSession, ranks_path: str, pattern: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Every row of `docs` without its text, with ids array<int> and n_tokens."""
+    """Every row of `docs` without its text, with n_tokens, ids array<int> and round_trip (the ids decode to
+    the text's bytes). Columns of these names in `docs` give way."""
     bpe = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, ranks_path, pattern))  # the vocabulary, a fixed size
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.value
         for b in batches:
             for at in range(0, b.num_rows, 256):  # small answers: ids take more room than their text
                 part = b.slice(at, 256)
-                ids = [model.encode(t or "") for t in column(part, "text")]
+                texts = [t or "" for t in column(part, "text")]
+                ids = [model.encode(t) for t in texts]
+                same = [model.decode(x.tolist()) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
                 counts = [len(x) for x in ids]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 flat = pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in rest] + [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                    names=[*rest, "n_tokens", "ids"],
+                    [part.column(part.schema.get_field_index(c)) for c in rest] + [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(same)],
+                    names=[*rest, "n_tokens", "ids", "round_trip"],
                 )
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_tokens long", "ids array<int>"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_tokens long", "ids array<int>", "round_trip boolean"])
     return docs.select(*rest, F.col("text")).mapInArrow(run, schema)
 
 

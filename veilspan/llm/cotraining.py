@@ -213,27 +213,24 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 1500, pool: int = 30
     return co_train(a, m, y, np.array(folds, int) == 1, pool_a, pool_m, rounds)
 
 
-def scored(docs: DataFrame, model: TwoViews) -> DataFrame:
-    """Every row of `docs` with quality_score (0 to 1)."""
+def scored(docs: DataFrame, model: TwoViews, name: str = "quality_score") -> DataFrame:
+    """Every row of `docs` with the score (0 to 1) in a new column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
-    names = list(docs.columns)
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 score = shared.value.score(*_views(part))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.mapInArrow(run, f"{kinds}, quality_score double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, model: TwoViews, least: float = 0.5) -> DataFrame:
     """The rows of `docs`, all their columns, whose score is at least `least`."""
-    plain = docs.drop("quality_score")
-    kept = scored(docs if "quality_score" not in docs.columns else plain, model).where(F.col("quality_score") >= least)
-    return kept.select(*[c for c in docs.columns if c in plain.columns])
+    return scored(docs, model, "__quality").where(F.col("__quality") >= least).select(*docs.columns)
 
 
 def scores(docs: DataFrame, model: TwoViews, least: float = 0.5) -> DataFrame:

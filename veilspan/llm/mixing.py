@@ -55,11 +55,15 @@ def poisson(rate: Column, u: Column) -> Column:
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 7) -> DataFrame:
-    """Every column of `docs` once per copy, with `mix_copy` (from 0), `mix_copies` and `mix_order`."""
-    per_source = rates(docs, weights, alpha).select(F.col("source").alias("__source"), "rate")
-    certain = F.floor(F.col("rate") / WHOLE) * WHOLE
-    drawn = docs.join(per_source, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    counted = drawn.withColumn("mix_copies", (certain + poisson(F.col("rate") - certain, uniform(seed, F.col("doc_id")))).cast("int"))
+    """Every column of `docs` once per copy, with `mix_copy` (from 0), `mix_copies` and `mix_order` (each
+    unless `docs` has a column of that name)."""
+    per_source = rates(docs, weights, alpha).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
+    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
+    certain = F.floor(F.col("__rate") / WHOLE) * WHOLE
+    drawn = packed.join(per_source, F.col("__source").eqNullSafe(F.col("__of")))
+    counted = drawn.withColumn("mix_copies", (certain + poisson(F.col("__rate") - certain, uniform(seed, F.col("__id")))).cast("int"))
     copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    mixed = copies.withColumn("mix_order", uniform(seed + 1, F.col("doc_id"), F.col("mix_copy"))).drop("rate")
-    return mixed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix_order").sortWithinPartitions("mix_order")
+    mixed = copies.withColumn("mix_order", uniform(seed + 1, F.col("__id"), F.col("mix_copy")))
+    extra = [c for c in ("mix_copies", "mix_copy", "mix_order") if c not in docs.columns]
+    dealt = mixed.select("__doc", "mix_copies", "mix_copy", "mix_order").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix_order")
+    return dealt.sortWithinPartitions("mix_order").select(*[F.col("__doc")[c].alias(c) for c in docs.columns], *extra)

@@ -78,14 +78,15 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, th, fp) of every row; th is a hash of the text."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in column(b, "text")], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = ids_and_texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -168,12 +169,28 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return labelled.join(far, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("root"))
 
 
+def groups(docs: DataFrame, width: int = 4, bits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, fp), and per distinct fingerprint (fp, root, first, n)."""
+    rows = written(fingerprints(docs, width), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return rows, linked(nodes.select("fp"), bits).join(nodes, "fp")
+
+
 def near_groups(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """Every row: doc_id, fingerprint (16 hex digits), component_id, component_size (rows), near (its
     component has other fingerprints)."""
-    rows = written(fingerprints(docs, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    of = linked(nodes.select("fp"), bits).join(nodes, "fp")
+    rows, of = groups(docs, width, bits)
     whole = of.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), (F.count("*") > 1).alias("near"))
     named = of.select("fp", "root").join(whole, "root").select("fp", "component_id", "component_size", "near")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size", "near")
+
+
+def keep_one(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
+    """The row with the smallest doc_id of every component (of equal ids the one whose text hashes lowest;
+    of rows alike in both, one), with all columns of `docs`. A NULL id counts as the smallest."""
+    rows, of = groups(docs, width, bits)
+    least = -(1 << 63)
+    per_fp = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(least)).alias("__id"), F.col("th").alias("__th"))).alias("row"))
+    stay = of.select("fp", "root").join(per_fp, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.__id", "row.__th")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(least)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return keyed.join(stay, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*docs.columns)
