@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.llm.common import written
+
 WHOLE = 8
+SOURCES = 100_000
 TERMS = 40  # P(X ≥ 40) for a rate of 8 is below 1e-15
 
 
@@ -57,7 +60,9 @@ def poisson(rate: Column, u: Column) -> Column:
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 7) -> DataFrame:
     """Every column of `docs` once per copy, with `mix_copy` (from 0), `mix_copies` and `mix_order` (each
     unless `docs` has a column of that name)."""
-    per_source = rates(docs, weights, alpha).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
+    per_source = written(rates(docs, weights, alpha).select(F.col("source").alias("__of"), F.col("rate").alias("__rate")), "rates")
+    if per_source.count() <= SOURCES:  # a size that is known; more sources meet their rows by a shuffle
+        per_source = F.broadcast(per_source)
     packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
     certain = F.floor(F.col("__rate") / WHOLE) * WHOLE
     drawn = packed.join(per_source, F.col("__source").eqNullSafe(F.col("__of")))
