@@ -117,14 +117,15 @@ def syndrome(block: np.ndarray) -> np.ndarray:
     return s
 
 
-def anchors(fp: np.ndarray, reach: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for all anchors within reach[0] of the first block and reach[1] of the second."""
+def anchors(fp: np.ndarray, reach: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for all anchors within reach[0] of the first block and reach[1] of the second; without
+    `reach`, for the two home anchors."""
     rows, keys = [], []
-    for second, radius in enumerate(reach):
+    for second, radius in enumerate(reach or (1, 1)):
         block = fp >> np.uint64(31) if second else fp
         word, free, tag = block & LOW, (block >> np.uint64(31) if second else np.zeros_like(fp)), np.uint64(second << 33)
         s = syndrome(word)
-        for flip, cost in FREE if second else FREE[:1]:
+        for flip, cost in FREE if second and reach else FREE[:1]:
             if cost > radius:
                 continue
             for value in range(32):
@@ -136,7 +137,7 @@ def anchors(fp: np.ndarray, reach: tuple[int, int]) -> tuple[np.ndarray, np.ndar
     return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.uint64)])
 
 
-def at_anchors(nodes: DataFrame, reach: tuple[int, int]) -> DataFrame:
+def at_anchors(nodes: DataFrame, reach: tuple[int, int] | None = None) -> DataFrame:
     """(key, fp, label) for each row (fp, label) and anchor."""
 
     def run(batches):
@@ -157,12 +158,12 @@ def differing(x: Column, y: Column) -> Column:
 def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(fp, root): the component of every distinct fingerprint of `nodes` under links of at most `bits` ≤ 4."""
     same = nodes.select("fp", F.col("fp").alias("label"))
-    homes = at_anchors(same, (1, 1)).select("key", "fp")
+    homes = at_anchors(same).select("key", "fp")
     least = homes.groupBy("key").agg(F.min("fp").alias("least"))
     stars = homes.join(least, "key").where((F.col("fp") != F.col("least")) & (differing(F.col("fp"), F.col("least")) <= bits))
     near = components(stars.select(F.col("fp").alias("a"), F.col("least").alias("b")))
     labelled = written(nodes.select("fp").join(near, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
-    h = at_anchors(labelled, (1, 1)).toDF("key", "h_fp", "h_label")
+    h = at_anchors(labelled).toDF("key", "h_fp", "h_label")
     v = at_anchors(labelled, (3, 2)).toDF("key", "v_fp", "v_label")
     links = h.join(v, "key").where((F.col("h_fp") < F.col("v_fp")) & (F.col("h_label") != F.col("v_label")) & (differing(F.col("h_fp"), F.col("v_fp")) <= bits))
     far = components(links.select(F.col("h_label").alias("a"), F.col("v_label").alias("b")))
