@@ -65,13 +65,20 @@ def test_template_letter_c_has_the_asked_length(cases):
     assert letter["ok"] and "quince mil" not in letter["letter"] and letter["letter"].endswith("Ana Ixcot")
 
 
-def test_histogram_percentiles_equal_nearest_rank(spark):
+def test_percentiles_are_nearest_rank(spark):
     rows = [("a", float(i)) for i in range(1, 11)] + [("b", 7.0)] * 5 + [("c", float(i * i)) for i in range(1000)]
+    rows += [(None, 3.0), (None, 1.0), ("d", None), ("e", 1e9), ("e", 1.0), ("e", None)]
     d = spark.createDataFrame(rows, "k string, v double")
-    ps = {"p50": 0.5, "p95": 0.95}
-    got = {r["k"]: (r["p50"], r["p95"]) for r in B.histogram_percentiles(d, ["k"], "v", ps).collect()}
-    want = {r["k"]: (r["p50"], r["p95"]) for r in B.percentiles(d, ["k"], "v", ps).collect()}
-    assert got == want and got["a"] == (5.0, 10.0)
+    got = {r["k"]: (r["p50"], r["p95"]) for r in B.percentiles(d, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"a": (5.0, 10.0), "b": (7.0, 7.0), "c": (499.0**2, 949.0**2), None: (1.0, 3.0), "d": (None, None), "e": (1.0, 1e9)}
+    assert {r["k"]: r["m"] for r in B.medians(d, ["k"], "v", "m").collect()} == {"a": 5.5, "b": 7.0, "c": (499.0**2 + 500.0**2) / 2, None: 2.0, "d": None, "e": (1e9 + 1) / 2}
+
+
+def test_percentiles_of_a_large_skewed_group(spark):
+    d = spark.range(0, 200_000).selectExpr("'k' AS k", "CASE WHEN id = 0 THEN 1e12 ELSE CAST(id * 7919 % 200000 AS DOUBLE) END AS v")
+    want = sorted([1e12] + [float(i * 7919 % 200_000) for i in range(1, 200_000)])
+    r = B.percentiles(d.repartition(7), ["k"], "v", {"p50": 0.5, "p99": 0.99}).collect()[0]
+    assert (r["p50"], r["p99"]) == (want[99_999], want[197_999])
 
 
 def test_ordinals_follow_the_key(spark):
@@ -80,6 +87,41 @@ def test_ordinals_follow_the_key(spark):
     assert [o for _, o in got] == list(range(500))
 
 
+def test_requirements_of_a_wrong_type_are_refused(spark):
+    d = spark.createDataFrame([(1, '{"must":["a"],"nice":[1],"keywords":[]}'), (2, '{"must":["a"],"nice":["b"],"keywords":[]}'), (3, '{"must":"a","nice":[],"keywords":[]}')], "i int, c string")
+    got = {r["i"]: r["p"]["schema_valid"] for r in d.select("i", Q.parse_requirements(F.col("c")).alias("p")).collect()}
+    assert got == {1: False, 2: True, 3: False}
+
+
+def test_keep_strings_count_one_by_one(spark):
+    d = spark.createDataFrame(
+        [(1, "Trabajo en Banco Industrial hoy", "Banco Industrial", ["Banco", "Banco Industrial"]), (2, "Trabajo en Banco Industrial hoy", "Banco Industrial", ["Banco"])],
+        "i int, t string, e string, k array<string>",
+    )
+    got = {r["i"]: [x["kind"] for x in r["f"]] for r in D.find_c(d, "t", "f", "e", None, "k").collect()}
+    assert got == {1: [], 2: ["employer"]}
+
+
+def test_own_name_with_dot_or_hyphen_is_masked(spark):
+    d = spark.createDataFrame([("Soy José A. Pérez.", "José A. Pérez"), ("Soy Ana-María López", "Ana-María López"), ("Soy Ana María López", "Ana-María López")], "t string, n string")
+    assert [[x["rule"] for x in r["f"]] for r in D.find_c(d, "t", "f", None, "n", None).collect()][:2] == [["own_name"], ["own_name"]]
+
+
+def test_names_after_any_number_of_blanks(spark):
+    d = spark.createDataFrame([("lo hice en Microsoft ayer",), ("lo hice en" + " " * 12 + "Microsoft ayer",)], "t string")
+    assert [r[0] for r in d.select(Q.unknown_names(F.col("t"), F.lit("nada"))).collect()] == [["Microsoft"], ["Microsoft"]]
+
+
+def test_leaves_at_any_depth(spark):
+    body = '{"a":{"b":{"c":{"d":{"e":{"f":"x@y.com"}}}}}}'
+    d = spark.createDataFrame([(1, body), (2, '[1,{"k":null,"q":"]}{"}]'), (3, "no json x@y.com"), (4, None)], "id int, body string")
+    got = {(r["id"], r["path"], r["text"]) for r in G.walk_leaves(d, "id", "body").collect()}
+    keys = {(1, f"$.{'.'.join('abcdef'[:i])}.<key>".replace("$..", "$."), "abcdef"[i]) for i in range(6)}
+    assert got == keys | {(1, "$.a.b.c.d.e.f", "x@y.com"), (2, "$[0]", "1"), (2, "$[1].<key>", "k"), (2, "$[1].<key>", "q"), (2, "$[1].q", "]}{"), (3, "$", "no json x@y.com")}
+    gate = {r["id"]: (r["blocked"], r["blocked_path"]) for r in G.gate_leaves_a(d, "id", "body").collect()}
+    assert gate[1] == (True, "$.a.b.c.d.e.f") and gate[2] == (False, None) and gate[3] == (True, "$")
+
+
 def test_requirements_quality(spark):
     d = spark.createDataFrame(
         [(1, '```json\n{"must":["Excel avanzado"],"nice":[],"keywords":[]}\n```', "Requisitos:\n- Excel avanzado\n- Inglés"), (2, "{nada", "- Excel")], "i int, c string, o string"
@@ -101,10 +143,13 @@ def test_event_stream_folds_like_the_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "e.txt").write_text("\n".join(lines))
+    later = json.dumps({"call": "z", "seq": 0, "ts": "2026-01-01T05:00:00Z", "type": "status"})
+    (src / "f.txt").write_text(later)
     stream = ST.fold_calls(ST.read_event_lines(spark, str(src)))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName("calls").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").format("memory").queryName("calls").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r["call"]: r for r in spark.table("calls").collect()}
+    assert set(got) == {"a", "b"}  # given out and released; the call still within its quiet time is not
     assert (got["a"]["content"], got["a"]["ttft_ms"], got["a"]["total_ms"], got["a"]["tps"], got["a"]["ok"]) == ("Hola", 1000.0, 4000.0, 10.0, True)
     assert not got["b"]["ok"]
 

@@ -4,7 +4,10 @@ import os
 import pytest
 from oracle_check import compare, connect
 
-import __spark_entry__ as E
+from veilspan.plans import load_all
+from veilspan.plans.registry import ORACLES, QUERIES
+
+load_all()
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -17,10 +20,10 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n not in SKIP])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SKIP])
 def test_query(spark, con, name):
-    df = E.queries()[name](spark, SF)
-    sql = E.oracle_sql().get(name)
+    df = QUERIES[name](spark, SF)
+    sql = ORACLES.get(name)
     if sql is None:
         assert len(df.collect()) > 0
     else:

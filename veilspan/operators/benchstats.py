@@ -5,12 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed as V
-from veilspan.session import plan_size
 
-# An exact percentile keeps the distinct values of a group in one aggregation buffer. Below this
-# input size that is safe whatever the skew; above it ranks are found through a histogram.
-EXACT_BUFFER_LIMIT = 2 << 30
-HISTOGRAM_BINS = 4096
+SKETCH = 10_000  # accuracy of the quantile sketch: ranks are off by at most 1 / SKETCH of the group
 
 
 def finite(x: Column) -> Column:
@@ -22,49 +18,49 @@ def ratio(flag: Column) -> Column:
     return F.avg(flag.cast("int"))
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
+def with_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be NULL."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(named, [left[k].eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles per group; safe for a group of any size.
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], after: tuple[str, ...] = ()) -> DataFrame:
+    """Exact nearest-rank percentiles (rank ⌈p n⌉; for names in `after`, ⌊p n⌋ + 1) per group; one way for
+    groups of any size.
 
-    Small inputs: one aggregation. Large inputs: a value histogram per group finds the bin each
-    rank falls into (partial counts, no group is gathered), then only that bin is ranked.
+    A mergeable quantile sketch per group bounds every wanted rank from both sides. A second pass counts
+    what lies below the bounds and ranks only the values between them, a few thousandths of a group, so no
+    task holds a group. NULL keys are groups, groups without a value get NULL, non-NULL values only count.
     """
-    if plan_size(df) <= EXACT_BUFFER_LIMIT:
-        return df.groupBy(*keys).agg(*[nearest_rank(value, p).alias(n) for n, p in ps.items()])
-    return histogram_percentiles(df, keys, value, ps)
+    v = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v"))
+    edge = 3.0 / SKETCH
+    cuts = [F.percentile_approx("_v", [max(0.0, p - edge), min(1.0, p + edge)], SKETCH).alias(f"_c{i}") for i, p in enumerate(ps.values())]
+    stats = v.groupBy(*keys).agg(F.count("_v").alias("_n"), *cuts)
+    bounds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(n in after).alias("up"), F.col(f"_c{i}")[0].alias("lo"), F.col(f"_c{i}")[1].alias("hi")) for i, (n, p) in enumerate(ps.items())])
+    wanted = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", bounds.alias("_w"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    values = v.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = (values.join(wanted, same) if keys else values.crossJoin(F.broadcast(wanted))).select(*keys, "_v", "_c", "_n", F.explode("_w").alias("_w"))
+    inside = F.col("_v") >= F.col("_w.lo")
+    at = F.col("_w.p") * F.col("_n")
+    rank = F.when(F.col("_w.up"), F.least(F.floor(at) + 1, "_n")).otherwise(F.greatest(F.lit(1), F.ceil(at)))
+    near = placed.where(F.col("_v") <= F.col("_w.hi")).groupBy(*keys, F.col("_w.i").alias("_i"), F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.sum("_c").alias("_c"), F.first(rank).alias("_rank")
+    )
+    upto = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    found = near.withColumn("_cum", F.sum("_c").over(upto)).where((F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_c") < F.col("_rank")))
+    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(n) for i, n in enumerate(ps)])
+    if not keys:
+        return picked
+    lost = F.raise_error(F.lit("a rank lies outside the bounds of its sketch")).cast("double")
+    exact = [F.when(F.col("_n") > 0, F.coalesce(n, lost)).alias(n) for n in ps]
+    return with_group(stats.select(*keys, "_n"), picked, keys).select(*keys, *exact)
 
 
-def histogram_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    stats = v.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    binned = v.join(stats, keys).withColumn(
-        "_bin",
-        F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * (HISTOGRAM_BINS - 1))).otherwise(F.lit(0)),
-    )
-    counts = binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    hist = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(p).alias("_p")) for n, p in ps.items()]))
-    targets = (
-        hist.withColumn("_cum", F.sum("_c").over(upto))
-        .join(stats.select(*keys, "_n", wanted.alias("_w")), keys)
-        .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_w._p") * F.col("_n"))))
-        .where((F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_c") < F.col("_rank")))
-        .select(*keys, "_bin", F.col("_w._name").alias("_name"), (F.col("_rank") - F.col("_cum") + F.col("_c")).alias("_k"))
-    )
-    inside = Window.partitionBy(*keys, "_bin", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        counts.join(targets, [*keys, "_bin"])
-        .withColumn("_run", F.sum("_c").over(inside))
-        .where((F.col("_run") >= F.col("_k")) & (F.col("_run") - F.col("_c") < F.col("_k")))
-    )
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ps])
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact median per group: the mean of the two middle values."""
+    two = percentiles(df, keys, value, {"_low": 0.5, "_high": 0.5}, after=("_high",))
+    return two.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 
 
 def latency_summary(calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,7 +77,7 @@ def latency_summary(calls: DataFrame, keys: list[str]) -> DataFrame:
         {"total_p50": 0.5, "total_p95": 0.95},
     )
     t = percentiles(ok.select(*keys, finite(F.col("ttft_ms")).alias("ttft_ms")), keys, "ttft_ms", {"ttft_p50": 0.5})
-    return base.join(q, keys, "left").join(t, keys, "left")
+    return with_group(with_group(base, q, keys), t, keys)
 
 
 def kappa(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -163,8 +159,8 @@ def rank_in_buckets(df: DataFrame, group: list[str], bucket: str, order: list[st
     """0-based rank within `group`, for groups of any size.
 
     `bucket` is a deterministic, order-preserving function of the order key: rows are ranked inside
-    (group, bucket), and the counts of the earlier buckets of the group are added. No task ever
-    sees more than one bucket.
+    (group, bucket), and the counts of the earlier buckets of the group are added. A task sorts one bucket
+    at a time, so the caller chooses buckets that follow the data.
     """
     keys = [*group, bucket]
     local = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -176,25 +172,27 @@ def rank_in_buckets(df: DataFrame, group: list[str], bucket: str, order: list[st
     return local.join(offs, keys).select(*rest, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out))
 
 
-def ordinals(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def ordinals(df: DataFrame, key: str, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """0-based rank of a numeric key over the whole table without one global sort task.
 
-    The bucket edges are approximate quantiles, one array of `buckets` numbers fetched once and put
-    into the plan, so every evaluation of the plan cuts the rows alike.
+    The bucket edges are approximate quantiles, as many as the number of rows asks for, fetched once and
+    put into the plan, so every evaluation of the plan cuts the rows alike.
     """
+    buckets = max(16, -(-df.count() // rows_per_bucket))
     ps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = df.agg(F.percentile_approx(key, ps, F.lit(10000))).first()[0] or []
+    edges = df.agg(F.percentile_approx(key, ps, F.lit(max(10_000, 20 * buckets)))).first()[0] or []
     bucket = F.size(F.filter(F.array(*[F.lit(e) for e in dict.fromkeys(edges)]), lambda e: F.col(key) > e)) if edges else F.lit(0)
     return rank_in_buckets(df.withColumn("_bucket", bucket), [], "_bucket", [key], "ordinal")
 
 
-def seeded_order(df: DataFrame, group: str, item: str) -> DataFrame:
+def seeded_order(df: DataFrame, group: str, item: str, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Reproducible shuffle of the items of a group: rank of a hash of (group, item).
 
     The first hash digits are the bucket: uniform, so even one huge group spreads over many tasks.
     """
     h = F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.col(item).cast("string")), 256)
-    d = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, 2))
+    digits = max(2, len(f"{df.count() // rows_per_bucket:x}"))  # hex digits of the bucket
+    d = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, digits))
     return rank_in_buckets(d, [group], "_bucket", ["_h"], "position").drop("_h")
 
 

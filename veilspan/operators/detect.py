@@ -457,7 +457,11 @@ def people_rules(text: str, folded: str) -> list[Rule]:
 
 
 def own_name_pattern(name: Column) -> Column:
-    """The author's own declared name as a sequence of words (over folded text)."""
+    """The author's own declared name as a sequence of words (over folded text).
+
+    Words may be joined by dots or hyphens in the text or in the name: a name is masked in all of these
+    forms, which is wider than comparing blank-separated words and errs on the side of masking.
+    """
     words = F.transform(F.split(fold(js_trim(name)), WS + "+", -1), quote_regex)
     return F.when(
         F.length(js_trim(name)) >= 3,
@@ -467,6 +471,24 @@ def own_name_pattern(name: Column) -> Column:
     )
 
 
+def keep_covers(folded: str, needles: str) -> Column:
+    """Every occurrence of every public string, one string at a time, so strings that begin alike or overlap
+    all count."""
+
+    def places(needle):
+        parts = F.split(F.col(folded), quote_regex(needle), -1)
+        n = F.length(needle)
+
+        def step(acc, part):
+            a = acc["at"] + F.length(part)
+            return F.struct((a + n).alias("at"), F.concat(acc["found"], F.array(S.span(a, a + n, "keep", "keep", needle))).alias("found"))
+
+        start = F.struct(F.lit(0).alias("at"), S.empty().alias("found"))
+        return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc["found"])
+
+    return F.flatten(F.transform(F.col(needles), places))
+
+
 def _real_phone(s):
     d = F.regexp_replace(s["raw"], r"\D", "")
     a = F.substring(d, F.length(d) - 7, F.lit(4)).try_cast("int")
@@ -544,12 +566,7 @@ def with_candidates_c(
 
         rules.append(Rule("person_name", "own_name", F.col(p), 0, F.col(p).isNotNull(), None, own, folded))
     if keep:
-        k = folded + "k"
-        d = d.select(
-            "*",
-            F.when(F.size(k) > 0, F.array_join(F.transform(F.col(k), quote_regex), "|")).alias(k + "p"),
-        )
-        cover_rules.append(Rule("keep", "keep", F.col(k + "p"), 0, F.col(k + "p").isNotNull(), None, None, folded))
+        d = d.select("*", keep_covers(folded, folded + "k").alias(folded + "kc"))
     money, emp_rules, matcher = M.mention_rules_c(t, folded), [], S.tmp("m")
     if employer:
         d = with_employer_matcher(d, employer, matcher)
@@ -564,7 +581,7 @@ def with_candidates_c(
     d = d.select(
         *base,
         F.concat(*parts).alias(allc),
-        F.concat(*[F.coalesce(F.col(x), S.empty()) for x in cov]).alias(covers),
+        F.concat(*[F.coalesce(F.col(x), S.empty()) for x in [*cov, *([folded + "kc"] if keep else [])]]).alias(covers),
     )
     kept = F.when(F.size(covers) == 0, F.col(allc)).otherwise(S.drop_inside(F.col(allc), F.col(covers)))
     return d.select(*base, kept.alias(out))

@@ -59,18 +59,23 @@ def tier_projection(df: DataFrame, key: str, tier: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ payloads
-def stack_fields(df: DataFrame, key: str, fields: list[str], carry: list[str]) -> DataFrame:
-    """One row per (key, field, text): every field goes through the same detectors in one pass.
+_ENTRY = "array<struct<pos:int,field:string,text:string>>"
 
-    The rows of a key stay in one partition, so when the table is already partitioned by the key
-    (it usually comes out of the join with the known values) `unstack_fields` adds no exchange.
+
+def stack_fields(df: DataFrame, key: str, fields: list[str], carry: list[str], lines: str | None = None) -> DataFrame:
+    """One row per (key, field, text): every field goes through the same detectors in one pass. The texts of
+    the array column `lines` follow as rows of their own. `unstack_fields` puts them back with one exchange.
     """
     entries = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])
+    if lines:
+        more = F.transform(lines, lambda t, i: F.struct((i + len(fields)).alias("pos"), F.lit(lines).alias("field"), t.alias("text")))
+        entries = F.concat(entries, F.coalesce(more, F.array().cast(_ENTRY)))
     return df.select(key, *carry, F.inline(entries))
 
 
-def unstack_fields(rows: DataFrame, key: str, fields: list[str], keep: list[str], cells: list[str]) -> DataFrame:
-    """Back to one row per key: `cells` become maps field → value, `keep` columns are constant per key."""
+def unstack_fields(rows: DataFrame, key: str, fields: list[str], keep: list[str], cells: list[str], lines: str | None = None) -> DataFrame:
+    """Back to one row per key: `cells` become columns field.cell (arrays for `lines`), `keep` columns are
+    constant per key."""
     # as many tasks as the session asks for: these rows are few bytes but much work, so they must
     # not be coalesced by size before the gate runs over them
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -79,7 +84,13 @@ def unstack_fields(rows: DataFrame, key: str, fields: list[str], keep: list[str]
         F.array_sort(F.collect_list(F.struct("pos", "field", *cells))).alias("_rows"),
     )
     kept = [F.col(f"_keep.{c}").alias(c) for c in keep]
-    return g.select(key, *kept, *[_cell(c, f, i).alias(f"{f}.{c}") for c in cells for i, f in enumerate(fields)])
+    more = _line_cells(g, lines, cells) if lines else []
+    return g.select(key, *kept, *[_cell(c, f, i).alias(f"{f}.{c}") for c in cells for i, f in enumerate(fields)], *more)
+
+
+def _line_cells(wide: DataFrame, lines: str, cells: list[str]) -> list[Column]:
+    own = F.filter("_rows", lambda r: r["field"] == lines)
+    return [F.transform(own, lambda r: r[c]).alias(f"{lines}.{c}") for c in cells]
 
 
 def _cell(cell: str, field: str, i: int) -> Column:
@@ -138,8 +149,12 @@ def gate_rows_a(rows: DataFrame, text: str, employer=None, amounts=None, names=N
     return d.withColumn("kinds", F.array_distinct(F.transform(left, lambda x: x["kind"]))).drop("_left")
 
 
+MAX_LINES, MAX_LINE = 15, 240  # requirement lines of a payload and their characters
+
+
 def third_party_payload_b(profiles: DataFrame, key: str) -> DataFrame:
-    """Tier "third_party" of variant B. The name does not pass the employer rules."""
+    """Tier "third_party" of variant B, requirement lines of the offer included. The name does not pass the
+    employer rules; every requirement line is redacted whole and then cut."""
     from veilspan.operators import compensation as C
 
     amounts = F.array(
@@ -152,31 +167,38 @@ def third_party_payload_b(profiles: DataFrame, key: str) -> DataFrame:
     fields = ["name", "desired_role", "target_company", "achievements"]
     p = profiles.select(
         key, "employer", amounts.alias("_amounts"), "years", *[F.coalesce(f, F.lit("")).alias(f) for f in fields],
+        C.requirement_bullets(F.coalesce("offer", F.lit("")), MAX_LINES).alias("requirements"),
         C.language(F.col("offer")).alias("language"),
         C.seniority(F.col("years"), F.col("desired_role"), F.coalesce(F.col("offer"), F.lit(""))).alias("seniority"),
     )
-    rows = stack_fields(p, key, fields, ["employer", "_amounts", "years", "language", "seniority"])
+    rows = stack_fields(p, key, fields, ["employer", "_amounts", "years", "language", "seniority"], "requirements")
     rows = rows.withColumn("employer", F.when(F.col("field") != "name", F.col("employer")))
     rows = R.redact_b(rows, "text", "red", "employer", "_amounts", True, findings="_f").withColumn("n", F.size("_f"))
-    wide = unstack_fields(rows.drop("_f"), key, fields, ["years", "language", "seniority"], ["red", "n"])
+    wide = unstack_fields(rows.drop("_f"), key, fields, ["years", "language", "seniority"], ["red", "n"], "requirements")
     return wide.select(
-        key, *[F.col(f"`{f}.red`").alias(f) for f in fields], "years", "language", "seniority",
-        sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)).alias("redactions"),
+        key, *[F.col(f"`{f}.red`").alias(f) for f in fields], "years",
+        F.transform("`requirements.red`", lambda t: F.substring(t, 1, MAX_LINE)).alias("requirements"), "language", "seniority",
+        (sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)) + _total("`requirements.n`")).alias("redactions"),
     )
 
 
+def _total(numbers: str) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
 def server_gate_b(payload: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Second line: redact again without context, then anything left (also bare currency words) rejects."""
-    rest = [c for c in payload.columns if c not in (key, *fields)]
-    rows = stack_fields(payload, key, fields, rest)
+    """Second line: redact again without context, requirement lines too, then anything left (also bare
+    currency words) rejects."""
+    rest = [c for c in payload.columns if c not in (key, "requirements", *fields)]
+    rows = stack_fields(payload, key, fields, rest, "requirements")
     rows = R.redact_b(rows, "text", "red", findings="_f").withColumn("n", F.size("_f")).drop("_f", "text")
     rows = D.find_b(rows, "red", "_left", currency_words=True)
     rows = rows.withColumn("kinds", F.transform("_left", lambda s: s["kind"])).drop("_left")
-    wide = unstack_fields(rows, key, fields, rest, ["red", "n", "kinds"])
-    kinds = F.array_distinct(F.flatten(F.array(*[F.col(f"`{f}.kinds`") for f in fields])))
+    wide = unstack_fields(rows, key, fields, rest, ["red", "n", "kinds"], "requirements")
+    kinds = F.array_distinct(F.flatten(F.concat(F.array(*[F.col(f"`{f}.kinds`") for f in fields]), F.col("`requirements.kinds`"))))
     return wide.select(
-        key, *[F.col(f"`{f}.red`").alias(f) for f in fields], *rest,
-        sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)).alias("server_redactions"),
+        key, *[F.col(f"`{f}.red`").alias(f) for f in fields], F.col("`requirements.red`").alias("requirements"), *rest,
+        (sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)) + _total("`requirements.n`")).alias("server_redactions"),
         (F.size(kinds) > 0).alias("rejected"), F.array_join(F.array_sort(kinds), ",").alias("residual_kinds"),
     )
 
@@ -340,30 +362,51 @@ def profile_errors(f: dict[str, Column]) -> Column:
 
 
 # ------------------------------------------------------------------ leaf walk over JSON
-def walk_leaves(df: DataFrame, key: str, body: str, depth: int = 5) -> DataFrame:
-    """(key, path, text) for every key and scalar of a JSON body, level by level."""
-    lvl = df.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(body)).alias("v"))
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant(F.col("v"))
-        lvl = lvl.withColumn("_t", kind)
-        scalar = lvl.where(~F.col("_t").rlike("^(OBJECT|ARRAY|VOID)")).select(
-            key, "path", F.try_variant_get("v", "$", "string").alias("text")
-        )
-        nested = lvl.where(F.col("_t").rlike("^(OBJECT|ARRAY)"))
-        kids = nested.lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("v").outer())
-        ).select(
-            key, "path", F.col("pos"), F.col("key").alias("_k"),
-            F.col("value").alias("_v"),
-        )
-        keys = kids.where(F.col("_k").isNotNull()).select(
-            key, F.concat("path", F.lit(".<key>")).alias("path"), F.col("_k").alias("text")
-        )
-        step = F.when(F.col("_k").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
-            F.concat(F.lit("."), F.col("_k"))
-        )
-        lvl = kids.select(key, F.concat("path", step).alias("path"), F.col("_v").alias("v"))
-        part = scalar.unionByName(keys)
-        out = part if out is None else out.unionByName(part)
-    return out
+def nesting(body: Column) -> Column:
+    """How deep objects and arrays of a JSON text lie in each other (0 for a scalar or no JSON)."""
+    marks = F.regexp_replace(F.regexp_replace(body, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    step = F.transform(F.split(marks, "(?<=.)"), lambda m: F.when(m.isin("{", "["), 1).when(m.isin("}", "]"), -1).otherwise(0))
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(
+        step, state, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")), lambda s: s["most"]
+    )
+
+
+def walk_leaves(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path, text) for every key and scalar of a JSON body, at any depth.
+
+    The deepest nesting of the table is counted first (one number); the table is then opened that many
+    times in one chain of generators that carries finished leaves along, so it is parsed once. A body that is
+    no JSON is one leaf.
+    """
+    deepest = df.select(F.max(nesting(F.col(body))).alias("d")).first()["d"] or 0
+    parsed = F.try_parse_json(F.col(body))
+    lvl = df.select(key, F.lit("$").alias("path"), F.when(parsed.isNull(), F.col(body)).alias("text"), parsed.alias("v"))
+    for _ in range(deepest):
+        nested = F.schema_of_variant(F.col("v")).rlike("^(OBJECT|ARRAY)")
+        lvl = lvl.select(key, "path", "text", F.when(~nested, F.col("v")).alias("_leaf"), F.when(nested, F.col("v")).alias("_open"))
+        kids = lvl.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+
+        def row(path, text, v):
+            return F.struct(path.alias("path"), text.alias("text"), v.alias("v"))
+
+        none, closed = F.lit(None).cast("string"), F.lit(None).cast("variant")
+        named = F.when(F.col("_key").isNotNull(), row(F.concat("path", F.lit(".<key>")), F.col("_key"), closed))
+        child = row(F.concat("path", F.col("_step")), none, F.col("_value"))
+        here = row(F.col("path"), F.col("text"), F.col("_leaf"))
+        kids = kids.select(lvl[key].alias("_id"), "path", "text", "_leaf", "_open", "pos", F.col("key").alias("_key"), step.alias("_step"), F.col("value").alias("_value"))
+        out = F.when(F.col("_open").isNull(), F.array(here)).otherwise(F.array_compact(F.array(named, F.when(F.col("pos").isNotNull(), child))))
+        lvl = kids.select(F.col("_id").alias(key), F.inline(out))
+    text = F.coalesce("text", F.try_variant_get("v", "$", "string"))
+    return lvl.select(key, "path", text.alias("text")).where(F.col("text").isNotNull())
+
+
+def gate_leaves_a(df: DataFrame, key: str, body: str) -> DataFrame:
+    """Variant A's gate over every key and scalar of a payload: blocked, first path (in document order by
+    depth, then name) and the kinds found there."""
+    found = gate_rows_a(walk_leaves(df, key, body), "text")
+    first = F.min(F.when(F.size("kinds") > 0, F.struct("path", "kinds")))
+    return found.groupBy(key).agg(first.alias("_f")).select(
+        key, F.col("_f").isNotNull().alias("blocked"), F.col("_f.path").alias("blocked_path"), F.array_join("_f.kinds", ",").alias("blocked_kinds")
+    )

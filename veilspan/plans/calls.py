@@ -51,16 +51,26 @@ WITH {CALLS_SQL} SELECT model, quantile_disc(total_ms, 0.5) AS p50, quantile_dis
 """)
 def percentiles_by_histogram(spark, sf):
     """The form used beyond the buffer limit: no group is ever gathered."""
-    return B.histogram_percentiles(calls(spark, sf), ["model"], "total_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return B.percentiles(calls(spark, sf), ["model"], "total_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("median_summary", f"""
 WITH {CALLS_SQL} SELECT model, round(avg(total_ms), 4) AS mean_ms, round(quantile_cont(total_ms, 0.5), 6) AS median_ms, max(total_ms) AS max_ms, min(total_ms) AS min_ms FROM calls GROUP BY model
 """)
 def median_summary(spark, sf):
-    return calls(spark, sf).groupBy("model").agg(
-        r4(F.avg("total_ms")).alias("mean_ms"), F.round(F.percentile("total_ms", F.lit(0.5)), 6).alias("median_ms"),
-        F.max("total_ms").alias("max_ms"), F.min("total_ms").alias("min_ms"))
+    c = calls(spark, sf)
+    s = c.groupBy("model").agg(r4(F.avg("total_ms")).alias("mean_ms"), F.max("total_ms").alias("max_ms"), F.min("total_ms").alias("min_ms"))
+    return B.with_group(s, B.medians(c, ["model"], "total_ms", "m"), ["model"]).select("model", "mean_ms", F.round("m", 6).alias("median_ms"), "max_ms", "min_ms")
+
+
+@query("percentiles_of_null_groups", """
+WITH v AS (SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS g, CASE WHEN event_id % 5 <> 3 THEN value END AS x FROM events)
+SELECT g, quantile_disc(x, 0.5) AS p50, quantile_disc(x, 0.95) AS p95 FROM v GROUP BY g
+""")
+def percentiles_of_null_groups(spark, sf):
+    """A NULL key is a group, a group of NULL values a row."""
+    v = table(spark, sf, "events").selectExpr("CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS g", "CASE WHEN event_id % 5 <> 3 THEN value END AS x")
+    return B.percentiles(v, ["g"], "x", {"p50": 0.5, "p95": 0.95})
 
 
 @query("first_warm_run", f"""

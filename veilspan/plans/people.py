@@ -103,11 +103,55 @@ def sent_blocked_split(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("status") == "sent", F.col("b")).otherwise(0)).cast("bigint").alias("bytes"))
 
 
+_DEEP = """'{"a":{"b":[{"c":{"d":{"e":{"f":[' || props || ']}}}},' || CAST(event_id AS STRING) || ']}}'"""
+
+
 @query("leaf_walk", """
-SELECT event_id, '$.<key>' AS path, 'k' AS text FROM events UNION ALL SELECT event_id, '$.k', props->>'k' FROM events
+WITH w(p, t) AS (VALUES ('$.<key>', 'a'), ('$.a.<key>', 'b'), ('$.a.b[0].<key>', 'c'), ('$.a.b[0].c.<key>', 'd'), ('$.a.b[0].c.d.<key>', 'e'),
+ ('$.a.b[0].c.d.e.<key>', 'f'), ('$.a.b[0].c.d.e.f[0].<key>', 'k'))
+SELECT event_id, p AS path, t AS text FROM events, w UNION ALL SELECT event_id, '$.a.b[0].c.d.e.f[0].k', props->>'k' FROM events
+UNION ALL SELECT event_id, '$.a.b[1]', CAST(event_id AS VARCHAR) FROM events
 """)
 def leaf_walk(spark, sf):
-    return G.walk_leaves(table(spark, sf, "events").select("event_id", "props"), "event_id", "props", 2)
+    return G.walk_leaves(table(spark, sf, "events").selectExpr("event_id", f"{_DEEP} AS body"), "event_id", "body")
+
+
+@query("leaf_gate_a", f"""
+WITH {PROFILES} SELECT id, contact < 2 AS blocked, CASE WHEN contact < 2 THEN '$.a.b[1].contact' END AS blocked_path FROM profiles
+""")
+def leaf_gate_a(spark, sf):
+    """Gate over all leaves of a nested payload; the first path with a finding is named."""
+    p = raw_profiles(spark, sf)
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("x").alias("contact")), F.struct(F.col("contact_text").alias("contact"))).alias("b"), F.lit("nada").alias("pay")).alias("a")))
+    return G.gate_leaves_a(p.select("id", body.alias("body")), "id", "body").select("id", "blocked", "blocked_path")
+
+
+_LINES = ("'Requisitos:' || chr(10) || '- Excel avanzado' || chr(10) || '- Enviar CV a u' || CAST(id AS STRING) || '@correo.com' || chr(10) "
+          "|| '- Salario Q12,000 mensuales' || chr(10) || '- Llamar al 5555-1234' || chr(10) || '- ' || repeat('largo ', 20) "
+          "|| CASE WHEN id % 2 = 0 THEN chr(10) || '- Pago en quetzales' ELSE '' END")
+
+
+@query("third_party_requirements", f"""
+WITH {PROFILES} SELECT id, 'Excel avanzado|Enviar CV a [CORREO]|Salario [MONTO] mensuales|Llamar al [TELÉFONO]|' || trim(repeat('largo ', 20))
+ || CASE WHEN id % 2 = 0 THEN '|Pago en [MONEDA]' ELSE '' END AS requirements, false AS rejected FROM profiles
+""")
+def third_party_requirements(spark, sf):
+    """Requirement lines of an offer that carry contact data and pay: redacted, cut, checked on arrival."""
+    p = G.third_party_payload_b(profiles(spark, sf).withColumn("offer", F.expr(_LINES)), "id")
+    g = G.server_gate_b(p, "id", ["name", "desired_role", "target_company", "achievements"])
+    return g.select("id", F.array_join("requirements", "|").alias("requirements"), "rejected")
+
+
+@query("server_gate_requirements", f"""
+WITH {PROFILES} SELECT id, 'Excel avanzado|Enviar CV a [CORREO]|Salario [MONTO] mensuales|Llamar al [TELÉFONO]|' || trim(repeat('largo ', 20))
+ || CASE WHEN id % 2 = 0 THEN '|Pago en quetzales' ELSE '' END AS requirements, CAST(3 AS INT) AS server_redactions, id % 2 = 0 AS rejected,
+ CASE WHEN id % 2 = 0 THEN 'currency_word' ELSE '' END AS residual_kinds FROM profiles
+""")
+def server_gate_requirements(spark, sf):
+    """The receiving side on a payload that nobody redacted: lines are redacted there, currency words reject."""
+    p = profiles(spark, sf).select("id", F.lit("Ana").alias("name"), F.lit("Analista").alias("desired_role"), C.requirement_bullets(F.expr(_LINES), 15).alias("requirements"))
+    g = G.server_gate_b(p, "id", ["name", "desired_role"])
+    return g.select("id", F.array_join("requirements", "|").alias("requirements"), "server_redactions", "rejected", "residual_kinds")
 
 
 @query("letter_payload_gate", None)
@@ -204,12 +248,13 @@ def other_redactions(spark, sf):
 
 
 @query("propagated_leaks", f"""
-WITH {PROFILES} SELECT id, salary_text AS value FROM profiles WHERE form = 6
+WITH {PROFILES} SELECT id, salary_text AS value FROM profiles WHERE form = 6 UNION ALL SELECT id, contact_text FROM profiles WHERE contact = 2
+UNION ALL SELECT id, alias FROM profiles WHERE alias = 'TIGO'
 """)
 def propagated_leaks(spark, sf):
     """Leaked values found again in a letter that repeats the payload."""
     r = _routed(spark, sf)
-    leaks = A.audit(canaries(spark, sf).where("type = 'salary'"), r, "id").where(F.col("final") == A.LEAK).select("id", "type", "value")
+    leaks = A.audit(canaries(spark, sf), r, "id").where(F.col("final") == A.LEAK).select("id", "type", "value")
     p = profiles(spark, sf)
     letters = p.select("id", F.concat(F.lit("Estimado equipo: "), "achievements").alias("letter"))
     return A.propagated(leaks, letters, "id").select("id", "value")
@@ -488,9 +533,7 @@ def template_letters_a(spark, sf):
 @query("template_letters_b", None)
 def template_letters_b(spark, sf):
     p = G.third_party_payload_b(profiles(spark, sf), "id")
-    reqs = profiles(spark, sf).select("id", C.requirement_bullets(F.col("offer")).alias("reqs"))
-    j = p.join(reqs, "id")
-    return j.select("id", T.template_letter_b(F.col("language"), F.col("name"), F.col("desired_role"), F.col("target_company"), F.col("years"), F.col("achievements"), F.col("reqs")).alias("letter"))
+    return p.select("id", T.template_letter_b(F.col("language"), F.col("name"), F.col("desired_role"), F.col("target_company"), F.col("years"), F.col("achievements"), F.col("requirements")).alias("letter"))
 
 
 @query("template_letters_c", None)
@@ -529,6 +572,4 @@ def requirements_quality(spark, sf):
 @query("outgoing_prompt_b", None)
 def outgoing_prompt_b(spark, sf):
     p = G.third_party_payload_b(profiles(spark, sf), "id")
-    reqs = profiles(spark, sf).select("id", C.requirement_bullets(F.col("offer"), 15).alias("reqs"))
-    j = p.join(reqs, "id")
-    return j.select("id", T.letter_prompt_b(F.col("name"), F.col("desired_role"), F.col("target_company"), F.col("years"), F.col("seniority"), F.col("achievements"), F.col("reqs")).alias("prompt"))
+    return p.select("id", T.letter_prompt_b(F.col("name"), F.col("desired_role"), F.col("target_company"), F.col("years"), F.col("seniority"), F.col("achievements"), F.col("requirements")).alias("prompt"))

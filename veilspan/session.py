@@ -39,56 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give regex-heavy work enough tasks when the input arrives in very few splits.
 
-    On a large input the scan already yields more splits than cores and nothing is shuffled;
-    only a small file (fewer splits than cores) pays for one round-robin exchange.
+    Only the number of splits counts, which the planned scan knows without listing its files to Python. A
+    large input has more splits than cores and nothing is shuffled.
     """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= want:
-        return df
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
-    if _plan_size(df) >= split * want:
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
-def _bytes(text: str) -> int:
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    t = text.strip().lower()
-    for suffix in ("kb", "mb", "gb"):
-        if t.endswith(suffix):
-            t = t[:-1]
-    return int(t[:-1]) * units[t[-1]] if t[-1] in units else int(t)
-
-
-def _plan_size(df: DataFrame) -> int:
-    """Size Spark itself estimates for the plan (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def plan_size(df: DataFrame) -> int:
-    return _plan_size(df)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """Broadcast only when Spark's own size estimate of the side is below `limit`; else leave the
-    choice to the optimizer (sort-merge / shuffled hash with adaptive skew handling)."""
-    return F.broadcast(df) if _plan_size(df) <= limit else df
-
-
-def values_table(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
-    """A fixed rule table as a LocalRelation (known size, so it is broadcast by itself)."""
-    fields = [f.strip().split(" ", 1) for f in ddl.split(",")]
-    arr = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, fields)])
-            for r in rows
-        ]
-    )
-    return spark.range(1, numPartitions=1).select(F.inline(arr).alias(*[n for n, _ in fields]))
-
-
 def let(value: Column, body) -> Column:
     """Bind `value` once per row and use it many times inside `body`.
 

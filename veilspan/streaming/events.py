@@ -22,15 +22,20 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
     return e.select("e.*").where(F.col("type").isNotNull())
 
 
-def fold_calls(events: DataFrame, key: str = "call") -> DataFrame:
+def fold_calls(events: DataFrame, key: str = "call", quiet: str = "10 minutes", late: str = "1 minute") -> DataFrame:
     """Events of one call → content, time to first text, total time, tokens per second, error.
 
-    Works on a batch and, with a watermark on `ts`, on a stream. Deltas are partially collected
-    before the shuffle; a finished call carries its own final content, which wins.
+    Deltas are partially collected before the shuffle; a finished call carries its own final content,
+    which wins. On a stream a call is a session on `ts`: it is given out (append mode) and its state
+    released once the watermark, `late` behind, has passed `quiet` after its last event.
     """
     delta = F.col("type") == "delta"
     piece = F.when(delta & (F.coalesce("text", F.lit("")) != ""), F.struct("seq", "text"))
-    g = events.groupBy(key).agg(
+    if events.isStreaming:
+        by = events.withWatermark("ts", late).groupBy(key, F.session_window("ts", quiet))
+    else:
+        by = events.groupBy(key)
+    g = by.agg(
         F.min("ts").alias("started"),
         F.min(F.when(piece.isNotNull(), F.col("ts"))).alias("_first"),
         F.max("ts").alias("_last"),
