@@ -561,6 +561,40 @@ def note_quality(spark, sf):
     return Q.note_quality(p.withColumn("note", note), "note", "q").select("id", "q.*")
 
 
+_NOTES = ("CASE WHEN k % 4 = 3 THEN '# ' ELSE '' END || 'Tu oferta salarial de Q' || CAST(CASE WHEN k % 4 = 1 THEN cur * 2 ELSE cur END AS STRING) "
+          "|| ' es negociable y la entrevista es buen momento para decirlo.' "
+          "|| CASE WHEN k % 4 = 2 THEN '' ELSE repeat(' Presenta evidencia de tus logros con calma y pide el rango a tu favor.', 5) END")
+
+
+@query("note_summary", f"""
+WITH {PROFILES}, x AS (SELECT k % 3 AS model, k % 4 AS form, {_NOTES} AS note FROM profiles)
+SELECT model, count(*) AS n, CAST(1 AS DOUBLE) AS spanish, avg(CAST(form <> 2 AS INT)) AS length_ok, avg(CAST(form <> 1 AS INT)) AS numbers_ok, CAST(1 AS DOUBLE) AS on_topic, CAST(1 AS DOUBLE) AS second_person,
+ CAST(count_if(form = 1) AS BIGINT) AS invented, CAST(0 AS BIGINT) AS off_topic_cases, round(avg(len(string_split(note, ' '))), 6) AS words, round(avg(CASE WHEN form = 0 THEN 1.0 ELSE 5.0 / 6 END), 6) AS score FROM x GROUP BY model
+""")
+def note_summary(spark, sf):
+    """Notes of three models, a quarter each sound, with an invented number, too short, with markdown."""
+    p = raw_profiles(spark, sf).selectExpr("k % 3 AS model", f"{_NOTES} AS note", "array(CAST(cur AS DOUBLE)) AS ref_amounts", "array(CAST(12 AS DOUBLE)) AS ref_percents")
+    d = Q.note_summary(Q.note_quality(p, "note", "q"), ["model"], "q")
+    return d.withColumns({c: F.round(c, 6) for c in ("words", "score")})
+
+
+_CONTENT = ("CASE CAST(k % 4 AS INT) WHEN 0 THEN '{\"must\":[\"Excel avanzado\",\"Manejo de SQL\"],\"nice\":[],\"keywords\":[\"Excel\"]}' WHEN 1 THEN '{nada' "
+            "WHEN 2 THEN '{\"must\":[1],\"nice\":[],\"keywords\":[]}' ELSE '{\"must\":[\"Excel avanzado\",\"Salario atractivo\"],\"nice\":[],\"keywords\":[]}' END")
+
+
+@query("requirements_summary", f"""
+WITH {PROFILES}, x AS (SELECT k % 3 AS model, k % 4 AS form FROM profiles)
+SELECT model, count(*) AS n, round(avg(CAST(form <> 1 AS INT)), 6) AS json_valid, round(avg(CAST(form IN (0, 3) AS INT)), 6) AS schema_valid, CAST(1 AS DOUBLE) AS grounding,
+ round(avg(CASE form WHEN 0 THEN 2.0 / 3 WHEN 3 THEN 1.0 / 3 END), 6) AS recall, CAST(count_if(form = 3) AS BIGINT) AS mentions_salary,
+ round(avg(CASE form WHEN 0 THEN (4 + 2.0 / 3) / 5 WHEN 1 THEN 0 WHEN 2 THEN 0.25 ELSE (3 + 1.0 / 3) / 5 END), 6) AS score FROM x GROUP BY model
+""")
+def requirements_summary(spark, sf):
+    """Extractions of three models: sound, no JSON, a wrong type, one that asks about pay."""
+    p = raw_profiles(spark, sf).selectExpr("k % 3 AS model", f"{_CONTENT} AS content", "offer")
+    d = Q.requirements_summary(Q.requirements_quality(p, "content", "offer", "q"), ["model"], "q")
+    return d.withColumns({c: F.round(c, 6) for c in ("json_valid", "schema_valid", "recall", "score")})
+
+
 @query("requirements_quality", None)
 def requirements_quality(spark, sf):
     p = profiles(spark, sf)
