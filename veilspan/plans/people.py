@@ -160,11 +160,20 @@ def letter_payload_gate(spark, sf):
     return G.letter_payload_a(profiles(spark, sf), "id")
 
 
-@query("third_party_payload", None)
+_GOVERNED_B = """g AS (SELECT *, 'Lideré un equipo de ' || CAST(k % 9 + 2 AS STRING) || ' personas.' AS w1, 'Hoy gano ' || CASE WHEN form = 6 THEN salary_text ELSE '[MONTO]' END || ' y me va bien.' AS w2,
+ 'Contacto: ' || CASE contact WHEN 0 THEN '[CORREO]' WHEN 1 THEN '[TELÉFONO]' WHEN 3 THEN 'mi jefe, Carlos Pérez' ELSE contact_text END || '. En ' || CASE WHEN alias <> 'XelajuTech' THEN '[EMPLEADOR_ACTUAL]' ELSE alias END || ' aprendí mucho. Reduje costos 12 %.' AS w3,
+ CASE WHEN desired_role LIKE 'Gerente%' OR desired_role LIKE 'Jefe%' THEN 'lead' WHEN desired_role LIKE '%senior' THEN 'senior' WHEN years >= 10 THEN 'lead' WHEN years >= 5 THEN 'senior' WHEN years >= 2 THEN 'semi-senior' ELSE 'junior' END AS level FROM profiles)"""
+
+
+@query("third_party_payload", f"""
+WITH {PROFILES}, {_GOVERNED_B} SELECT id, name, desired_role, company AS target_company, w1 || ' ' || w2 || ' ' || w3 AS achievements, 'Excel avanzado|Manejo de SQL|Experiencia de ' || CAST(years AS STRING) || ' años' AS requirements,
+ years, 'es' AS language, level AS seniority, CAST(form <> 6 AS INT) + CAST(contact < 2 AS INT) + CAST(alias <> 'XelajuTech' AS INT) AS redactions, CAST(0 AS INT) AS server_redactions, false AS rejected, '' AS residual_kinds FROM g
+""")
 def third_party_payload(spark, sf):
     """Variant B: third-party tier, then the receiving side redacts and checks again."""
     p = G.third_party_payload_b(profiles(spark, sf), "id")
-    return G.server_gate_b(p, "id", ["name", "desired_role", "target_company", "achievements"])
+    g = G.server_gate_b(p, "id", ["name", "desired_role", "target_company", "achievements"])
+    return g.withColumn("requirements", F.array_join("requirements", "|"))
 
 
 def _routed(spark, sf):
@@ -472,7 +481,12 @@ def period_to_month(spark, sf):
     return m.select("p_partkey", F.round(L.market_monthly(F.col("x"), F.col("period"), F.col("currency")), 6).alias("monthly_gtq"))
 
 
-@query("suggested_range_a", None)
+@query("suggested_range_a", f"""
+WITH {PROFILES}, x AS (SELECT id, desired_cur, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, {_GTQ.format(fx='7.75')} AS g FROM profiles),
+y AS (SELECT id, desired_cur, CASE WHEN g <= hi THEN greatest(g, lo + 0.75::DOUBLE * (hi - lo)) ELSE g END AS a, CASE WHEN g <= hi THEN greatest(greatest(g, lo + 0.75::DOUBLE * (hi - lo)), hi) ELSE g * 1.1::DOUBLE END AS b FROM x),
+z AS (SELECT id, CASE WHEN desired_cur = 'GTQ' THEN 500.0::DOUBLE ELSE 50.0::DOUBLE END AS s, CASE WHEN desired_cur = 'GTQ' THEN a ELSE a / 7.75::DOUBLE END AS a, CASE WHEN desired_cur = 'GTQ' THEN b ELSE b / 7.75::DOUBLE END AS b FROM y)
+SELECT id, floor(a / s + 0.5) * s AS min, floor(b / s + 0.5) * s AS max FROM z
+""")
 def suggested_range_a(spark, sf):
     p = raw_profiles(spark, sf)
     g = N.to_gtq(F.col("desired").cast("double"), F.col("desired_cur"), "A")
@@ -530,7 +544,13 @@ def template_letters_a(spark, sf):
     return T.template_letters_a(profiles(spark, sf), "id", F.to_date(F.lit("2026-09-25")))
 
 
-@query("template_letters_b", None)
+@query("template_letters_b", f"""
+WITH {PROFILES}, {_GOVERNED_B} SELECT id, 'Estimado equipo de ' || company || ':' || chr(10) || chr(10) || 'Les escribo para expresar mi interés en la posición de ' || desired_role || '. Tengo ' ||
+ CASE WHEN years = 1 THEN '1 año' ELSE CAST(years AS STRING) || ' años' END || ' de experiencia y me gustaría aportar ese recorrido a ' || company || '.' || chr(10) || chr(10) ||
+ 'Algunos resultados de los que me siento orgulloso(a): ' || rtrim(w1, '.') || ' y ' || replace(rtrim(w2, '.'), '[MONTO]', 'un monto significativo') || '.' || chr(10) || chr(10) ||
+ 'Su oferta menciona excel avanzado, manejo de sql y experiencia de ' || CAST(years AS STRING) || ' años; es justo el tipo de trabajo que he venido haciendo y en el que quiero seguir creciendo.' || chr(10) || chr(10) ||
+ 'Me encantaría conversar sobre cómo puedo contribuir a su equipo. Quedo atento(a) a su respuesta.' || chr(10) || chr(10) || 'Saludos cordiales,' || chr(10) || name AS letter FROM g
+""")
 def template_letters_b(spark, sf):
     p = G.third_party_payload_b(profiles(spark, sf), "id")
     return p.select("id", T.template_letter_b(F.col("language"), F.col("name"), F.col("desired_role"), F.col("target_company"), F.col("years"), F.col("achievements"), F.col("requirements")).alias("letter"))
@@ -603,7 +623,10 @@ def requirements_quality(spark, sf):
     return d.select("id", "q.*")
 
 
-@query("outgoing_prompt_b", None)
+@query("outgoing_prompt_b", f"""
+WITH {PROFILES}, {_GOVERNED_B} SELECT id, 'Nombre: ' || name || chr(10) || 'Rol al que aplica: ' || desired_role || chr(10) || 'Empresa: ' || company || chr(10) || 'Años de experiencia: ' || CAST(years AS STRING) || ' (nivel: ' || level || ')' || chr(10)
+ || 'Logros:' || chr(10) || w1 || ' ' || w2 || ' ' || w3 || chr(10) || 'Requisitos de la oferta:' || chr(10) || '- Excel avanzado' || chr(10) || '- Manejo de SQL' || chr(10) || '- Experiencia de ' || CAST(years AS STRING) || ' años' AS prompt FROM g
+""")
 def outgoing_prompt_b(spark, sf):
     p = G.third_party_payload_b(profiles(spark, sf), "id")
     return p.select("id", T.letter_prompt_b(F.col("name"), F.col("desired_role"), F.col("target_company"), F.col("years"), F.col("seniority"), F.col("achievements"), F.col("requirements")).alias("prompt"))
