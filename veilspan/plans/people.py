@@ -154,7 +154,13 @@ def server_gate_requirements(spark, sf):
     return g.select("id", F.array_join("requirements", "|").alias("requirements"), "server_redactions", "rejected", "residual_kinds")
 
 
-@query("letter_payload_gate", None)
+@query("letter_payload_gate", f"""
+WITH {PROFILES} SELECT id, desired_role, company AS target_company, years, 'Lideré un equipo de ' || CAST(k % 9 + 2 AS STRING) || ' personas. Hoy gano ' || CASE WHEN form = 6 THEN salary_text ELSE '[monto]' END || ' y me va bien. Contacto: ' ||
+ CASE contact WHEN 0 THEN '[correo]' WHEN 1 THEN '[teléfono]' WHEN 3 THEN 'mi jefe, Carlos Pérez' ELSE contact_text END || '. En ' || CASE WHEN alias IN ('TIGO', 'Pantaleon') THEN alias ELSE '[empleador actual]' END || ' aprendí mucho. Reduje costos 12 %.' AS achievements,
+ 'Buscamos ' || desired_role || '.' || chr(10) || 'Salario: [monto] - [monto] mensuales.' || chr(10) || 'Requisitos:' || chr(10) || '- Excel avanzado' || chr(10) || '- Manejo de SQL' || chr(10) || '* Experiencia de ' || CAST(years AS STRING) || ' años;'
+ || CASE WHEN k % 9 = 0 THEN chr(10) || 'Indicar pretensión salarial.' ELSE '' END AS offer,
+ 2 + CAST(form <> 6 AS INT) + CAST(contact < 2 AS INT) + CAST(alias NOT IN ('TIGO', 'Pantaleon') AS INT) AS redactions, false AS blocked, CAST(NULL AS STRING) AS blocked_field, CAST(NULL AS STRING) AS blocked_kinds FROM profiles
+""")
 def letter_payload_gate(spark, sf):
     """Variant A payload for destination "letter": redacted, clipped, exact columns, gated."""
     return G.letter_payload_a(profiles(spark, sf), "id")
