@@ -32,6 +32,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]
     what lies below the bounds and ranks only the values between them, a few thousandths of a group, so no
     task holds a group. NULL keys are groups, groups without a value get NULL, non-NULL values only count.
     """
+    if not keys:
+        return percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, ps, after).drop("_all")
     v = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v"))
     edge = 3.0 / SKETCH
     cuts = [F.percentile_approx("_v", [max(0.0, p - edge), min(1.0, p + edge)], SKETCH).alias(f"_c{i}") for i, p in enumerate(ps.values())]
@@ -40,7 +42,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]
     wanted = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", bounds.alias("_w"))
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     values = v.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = (values.join(wanted, same) if keys else values.crossJoin(F.broadcast(wanted))).select(*keys, "_v", "_c", "_n", F.explode("_w").alias("_w"))
+    placed = values.join(wanted, same).select(*keys, "_v", "_c", "_n", F.explode("_w").alias("_w"))
     inside = F.col("_v") >= F.col("_w.lo")
     at = F.col("_w.p") * F.col("_n")
     rank = F.when(F.col("_w.up"), F.least(F.floor(at) + 1, "_n")).otherwise(F.greatest(F.lit(1), F.ceil(at)))
@@ -50,8 +52,6 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]
     upto = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
     found = near.withColumn("_cum", F.sum("_c").over(upto)).where((F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_c") < F.col("_rank")))
     picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(n) for i, n in enumerate(ps)])
-    if not keys:
-        return picked
     lost = F.raise_error(F.lit("a rank lies outside the bounds of its sketch")).cast("double")
     exact = [F.when(F.col("_n") > 0, F.coalesce(n, lost)).alias(n) for n in ps]
     return with_group(stats.select(*keys, "_n"), picked, keys).select(*keys, *exact)
