@@ -428,6 +428,19 @@ BAND_LABEL_A = {  # fixed values
     "below": "Por debajo de tu salario actual", "conservative": "Conservadora", "realistic": "Realista",
     "ambitious": "Ambiciosa — justifícala", "out_of_range": "Fuera de rango sin cambio de rol/seniority",
 }
+BAND_ADVICE_B = {  # fixed values
+    "recorte": "Solo tiene sentido si ganas otra cosa (aprendizaje, horario, remoto). Dilo en esos términos, no como descuento.",
+    "conservador": "Fácil de aceptar. Probablemente estás dejando dinero en la mesa: revisa si el rol lo justifica.",
+    "razonable": "Es el rango típico de un cambio de trabajo. Defiéndelo con 1–2 logros medibles.",
+    "ambicioso": "Alcanzable si el rol nuevo es más grande que el actual. Llega con evidencia de impacto.",
+    "agresivo": "Solo se sostiene con un salto de rol o de mercado. Prepara un plan B (bono, fecha de revisión, remoto).",
+}
+NOTE_B = {  # fixed values: the sentences of the note
+    "headline": ": pides {} % respecto a lo que ganas hoy.", "now": "Hoy: {}/mes", "asked": "Expectativa: {}/mes", "gap": "Brecha: {} %",
+    "delta": "Diferencia: {}/mes", "fx": "Tipo de cambio: Q{} por US$1", "range": "La oferta publica {} – {}{}; tu expectativa {}.",
+    "within": "cae dentro del rango", "above": "queda {} % por encima del tope", "below": "queda por debajo del piso: estás pidiendo menos de lo que ofrecen",
+    "when": "Cuándo mencionarlo: {} {}",
+}
 BAND_LABEL_B = {  # fixed values
     "recorte": "Pides menos que hoy", "conservador": "Conservador", "razonable": "Razonable",
     "ambicioso": "Ambicioso", "agresivo": "Agresivo",
@@ -535,3 +548,42 @@ def with_facts_b(df: DataFrame, out: str, offer_range: str = "offer_range") -> D
             seniority(c("years"), c("desired_role"), F.coalesce(c("offer"), F.lit(""))).alias("seniority"),
         ).alias(out),
     )
+
+
+# ------------------------------------------------------------------ note B
+def fill(template: str, *values: Column) -> Column:
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for v, t in zip(values, parts[1:]):
+        out += [v, F.lit(t)]
+    return F.concat(*out)
+
+
+def short_number(x: Column) -> Column:
+    """A figure with one decimal at most, without a trailing ".0"."""
+    return F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+
+
+def with_note_b(df: DataFrame, out: str, offer_range: str = "offer_range") -> DataFrame:
+    """The note of variant B from its figures alone: headline, figures, range note, advice, timing, text."""
+    c, t = F.col, NOTE_B
+    d = with_facts_b(df, "_fb", offer_range)
+    f, r = c("_fb"), c(offer_range)
+    signed = F.concat(F.when(f["gap_pct"] >= 0, "+").otherwise(""), short_number(f["gap_pct"]))
+    delta = F.concat(F.when(f["delta_gtq"] >= 0, "+").otherwise("−"), N.money_text(F.abs(f["delta_gtq"]), F.lit("GTQ")))
+    mixed = c("current_currency") != c("desired_currency")
+    figures = F.array_compact(F.array(
+        fill(t["now"], N.money_text(c("current_salary"), c("current_currency"))), fill(t["asked"], N.money_text(c("desired_salary"), c("desired_currency"))),
+        fill(t["gap"], signed), fill(t["delta"], delta), F.when(mixed, F.lit(t["fx"].format(f"{V.FX['B']:g}"))),
+    ))
+    place = F.when(f["vs_range"] == "within", t["within"]).when(f["vs_range"] == "above", fill(t["above"], short_number(f["pct_vs_top"]))).otherwise(t["below"])
+    edge = [F.coalesce(N.money_text(r[x], r["currency"]), F.lit("—")) for x in ("min", "max")]
+    note = F.when(r.isNotNull(), fill(t["range"], *edge, F.when(r["period"] == "year", " anuales").otherwise("/mes"), place))
+    headline = F.concat(message(f["band"], BAND_LABEL_B), fill(t["headline"], signed))
+    when = fill(t["when"], message(f["timing"], TIMING, 0), message(f["timing"], TIMING, 1))
+    advice = message(f["band"], BAND_ADVICE_B)
+    text = F.concat_ws("\n", headline, F.array_join(figures, " · "), note, advice, when)
+    return d.select(*df.columns, F.struct(
+        headline.alias("headline"), figures.alias("figures"), message(f["band"], BAND_LABEL_B).alias("band_label"), advice.alias("advice"),
+        f["timing"].alias("timing"), note.alias("range_note"), text.alias("text"),
+    ).alias(out))

@@ -426,6 +426,29 @@ def facts_b(spark, sf):
     return d.select("id", f["desired_gtq"].alias("desired_gtq"), f["gap_pct"].alias("gap_pct"), f["vs_range"].alias("vs_range"), f["timing"].alias("timing"))
 
 
+_MONEY = "CASE WHEN {c} = 'USD' THEN 'US$' ELSE 'Q' END || " + comma("{n}")
+_ONE = "regexp_replace(printf('%.1f', {x}), '\\.0$', '')"
+
+
+def _sql_case(key: str, table: dict, i: int | None = None) -> str:
+    return f"CASE {key} " + " ".join("WHEN '{}' THEN '{}'".format(k, (v if i is None else v[i]).replace("'", "''")) for k, v in table.items()) + " END"
+
+
+@query("note_b", f"""
+WITH {PROFILES}, x AS (SELECT *, CAST(cur AS DOUBLE) AS c, {_GTQ.format(fx='7.7')} AS g FROM profiles),
+y AS (SELECT *, floor((g - c) / c * 1000 + 0.5) / 10 AS p, CAST(floor(g - c + 0.5) AS BIGINT) AS delta, {_POS} AS pos, floor((g - hi) / hi * 1000 + 0.5) / 10 AS top,
+ CASE WHEN k % 9 = 0 THEN 'offer-asks' WHEN lo <= g AND g <= hi THEN 'range-covers' WHEN g < lo THEN 'range-below' ELSE 'range-above' END AS timing FROM x),
+z AS (SELECT *, CASE WHEN p < 0 THEN 'recorte' WHEN p < 10 THEN 'conservador' WHEN p < 20 THEN 'razonable' WHEN p < 35 THEN 'ambicioso' ELSE 'agresivo' END AS band,
+ CASE WHEN p >= 0 THEN '+' ELSE '' END || {_ONE.format(x='p')} AS signed FROM y)
+SELECT id, {_sql_case('band', C.BAND_LABEL_B)} || ': pides ' || signed || ' % respecto a lo que ganas hoy.' || chr(10) || 'Hoy: Q' || {comma('cur')} || '/mes · Expectativa: ' || {_MONEY.format(c='desired_cur', n='desired')} || '/mes · Brecha: ' || signed
+ || ' % · Diferencia: ' || CASE WHEN delta >= 0 THEN '+' ELSE '−' END || 'Q' || {comma('abs(delta)')} || '/mes' || CASE WHEN desired_cur = 'USD' THEN ' · Tipo de cambio: Q7.7 por US$1' ELSE '' END || chr(10)
+ || 'La oferta publica Q' || {comma('lo')} || ' – Q' || {comma('hi')} || '/mes; tu expectativa ' || CASE pos WHEN 'within' THEN 'cae dentro del rango' WHEN 'above' THEN 'queda ' || {_ONE.format(x='top')} || ' % por encima del tope'
+ ELSE 'queda por debajo del piso: estás pidiendo menos de lo que ofrecen' END || '.' || chr(10) || {_sql_case('band', C.BAND_ADVICE_B)} || chr(10) || 'Cuándo mencionarlo: ' || {_sql_case('timing', C.TIMING, 0)} || ' ' || {_sql_case('timing', C.TIMING, 1)} AS text FROM z
+""")
+def note_b(spark, sf):
+    return C.with_note_b(_ranges(spark, sf, "B"), "n").select("id", F.col("n.text").alias("text"))
+
+
 @query("timing_first_rule", f"""
 WITH {PROFILES}, x AS (SELECT id, k % 9 = 0 AS asks, k % 2 = 0 AS has, CASE WHEN k % 3 <> 0 THEN lo END AS lo, CASE WHEN k % 4 <> 1 THEN hi END AS hi, {_GTQ.format(fx='7.7')} AS g, CAST(cur AS DOUBLE) AS c FROM profiles), y AS (SELECT *, (g - c) / c * 100 AS p FROM x)
 SELECT id, CASE WHEN asks THEN 'offer-asks' WHEN has AND coalesce(lo, 0) <= g AND (hi IS NULL OR g <= hi) THEN 'range-covers' WHEN has AND g < lo THEN 'range-below' WHEN has AND g > hi THEN 'range-above' WHEN p < 0 THEN 'cut' WHEN p >= 35 THEN 'aggressive-no-range' ELSE 'default' END AS rule FROM y
