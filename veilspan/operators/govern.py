@@ -59,6 +59,7 @@ def tier_projection(df: DataFrame, key: str, tier: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ payloads
+MAX_FACTS = 3  # company facts of a letter payload
 _ENTRY = "array<struct<pos:int,field:string,text:string>>"
 
 
@@ -97,8 +98,12 @@ def _cell(cell: str, field: str, i: int) -> Column:
     return F.get(F.col("_rows"), F.lit(i))[cell]
 
 
-def letter_payload_a(profiles: DataFrame, key: str) -> DataFrame:
-    """Destination "letter" of variant A: texts redacted, clipped and gated."""
+def letter_payload_a(profiles: DataFrame, key: str, facts: str | None = None) -> DataFrame:
+    """Destination "letter" of variant A: texts redacted, clipped and gated.
+
+    `facts`: a column of array<struct<id, title, snippet>>; the first three go along as company_facts, each
+    title and snippet redacted, snippets clipped, both gated like the fields.
+    """
     p = profiles.select(
         key, "employer", "years",
         F.array(F.col("current_salary").cast("double"), F.col("desired_salary").cast("double")).alias("_amounts"),
@@ -107,38 +112,51 @@ def letter_payload_a(profiles: DataFrame, key: str) -> DataFrame:
         squeeze(F.coalesce("target_company", F.lit(""))).alias("target_company"),
         js_trim(F.coalesce("achievements", F.lit(""))).alias("achievements"),
         js_trim(F.coalesce("offer", F.lit(""))).alias("offer"),
+        *([F.slice(F.col(facts), 1, MAX_FACTS).alias("_given")] if facts else []),
     )
-    fields = ["desired_role", "target_company", "achievements", "offer"]
-    rows = stack_fields(p, key, fields, ["employer", "years", "_amounts", "_names"])
+    fields, lines, mine = ["desired_role", "target_company", "achievements", "offer"], None, ["employer", "years", "_amounts", "_names"]
+    if facts:
+        lines, mine = "_fact", [*mine, "_ids"]
+        clean = F.transform("_given", lambda f: F.array(squeeze(F.coalesce(f["title"], F.lit(""))), squeeze(F.coalesce(f["snippet"], F.lit("")))))
+        p = p.select("*", F.flatten(clean).alias(lines), F.transform("_given", lambda f: f["id"]).alias("_ids"))
+    rows = stack_fields(p, key, fields, mine, lines)
     rows = R.redact_a(rows, "text", "_red", "employer", "_amounts", "_names", findings="_f")
     caps = {"achievements": V.MAX_ACHIEVEMENTS, "offer": V.MAX_OFFER}
     out = F.col("text")
     for f, cap in caps.items():
         out = F.when(F.col("field") == f, clip(F.col("_red"), cap)).otherwise(out)
-    rows = rows.select(
-        key, "employer", "years", "_amounts", "_names", "pos", "field", out.alias("text"),
-        F.when(F.col("field").isin(*caps), F.size("_f")).otherwise(0).alias("n"),
-    )
+    free = F.col("field").isin(*caps)
+    if facts:
+        snippet = (F.col("pos") - len(fields)) % 2 == 1
+        out = F.when(F.col("field") == lines, F.when(snippet, clip(F.col("_red"), V.MAX_SNIPPET)).otherwise(F.col("_red"))).otherwise(out)
+        free = F.col("field").isin(*caps, lines)
+    keep = [*mine[1:2], *(["_ids"] if facts else [])]
+    rows = rows.select(key, *mine, "pos", "field", out.alias("text"), F.when(free, F.size("_f")).otherwise(0).alias("n"))
     rows = gate_rows_a(rows, "text", "employer", "_amounts", "_names")
-    wide = unstack_fields(rows, key, fields, ["years"], ["text", "n", "kinds"])
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(F.size(F.col(f"`{f}.kinds`")) > 0, F.struct(F.lit(f).alias("field"), F.col(f"`{f}.kinds`").alias("kinds")))
-                for f in fields
-            ]
-        )
-    )
+    wide = unstack_fields(rows, key, fields, keep, ["text", "n", "kinds"], lines)
+
+    def hit(name, kinds):
+        return F.when(F.size(kinds) > 0, F.struct(F.lit(name).alias("field"), kinds.alias("kinds")))
+
+    hits = [hit(f, F.col(f"`{f}.kinds`")) for f in fields]
+    total = sum((F.col(f"`{f}.n`") for f in fields), F.lit(0))
+    extra = []
+    if facts:
+        hits.append(hit("company_facts", F.array_distinct(F.flatten(F.col(f"`{lines}.kinds`")))))
+        total += _total(f"`{lines}.n`")
+        text = F.col(f"`{lines}.text`")
+        extra = [F.transform("_ids", lambda x, i: F.struct(x.alias("id"), F.get(text, 2 * i).alias("title"), F.get(text, 2 * i + 1).alias("snippet"))).alias("company_facts")]
+    hits = F.array_compact(F.array(*hits))
     first = F.get(hits, F.lit(0))
     payload = wide.select(
         key, F.col("`desired_role.text`").alias("desired_role"), F.col("`target_company.text`").alias("target_company"),
         F.greatest(F.lit(0), F.floor(F.col("years") + 0.5)).cast("int").alias("years"),
-        F.col("`achievements.text`").alias("achievements"), F.col("`offer.text`").alias("offer"),
-        sum((F.col(f"`{f}.n`") for f in fields), F.lit(0)).alias("redactions"),
-        (F.size(hits) > 0).alias("blocked"), first["field"].alias("blocked_field"),
+        F.col("`achievements.text`").alias("achievements"), F.col("`offer.text`").alias("offer"), *extra,
+        total.alias("redactions"), (F.size(hits) > 0).alias("blocked"), first["field"].alias("blocked_field"),
         F.array_join(first["kinds"], ",").alias("blocked_kinds"),
     )
-    return assert_exact_columns(payload, [key, *allowed("letter"), "redactions", "blocked", "blocked_field", "blocked_kinds"])
+    more = ["company_facts"] if facts else []
+    return assert_exact_columns(payload, [key, *allowed("letter"), *more, "redactions", "blocked", "blocked_field", "blocked_kinds"])
 
 
 def gate_rows_a(rows: DataFrame, text: str, employer=None, amounts=None, names=None) -> DataFrame:

@@ -166,6 +166,20 @@ def letter_payload_gate(spark, sf):
     return G.letter_payload_a(profiles(spark, sf), "id")
 
 
+@query("company_facts_payload", f"""
+WITH {PROFILES}, e AS (SELECT id, company, CASE WHEN alias IN ('TIGO', 'Pantaleon') THEN alias ELSE '[empleador actual]' END AS who FROM profiles)
+SELECT id, '1|' || company || ' invierte [monto]|Competidor de ' || who || ';2|Sede|Contacto [correo];3|Nota|' || substr(repeat('dato ', 80), 1, 350) || '…' AS facts, false AS blocked FROM e
+""")
+def company_facts_payload(spark, sf):
+    """Company facts of a variant A payload: the first three, titles and snippets redacted, snippets clipped."""
+    one = [("1", "target_company || ' invierte $300 millones'", "'Competidor de ' || alias"), ("2", "'Sede'", "'Contacto u' || CAST(id AS STRING) || '@correo.com'"),
+           ("3", "'Nota'", "repeat('dato ', 80)"), ("4", "'Sobra'", "'nada'")]
+    facts = F.array(*[F.struct(F.lit(int(i)).alias("id"), F.expr(t).alias("title"), F.expr(s).alias("snippet")) for i, t, s in one])
+    p = profiles(spark, sf).join(raw_profiles(spark, sf).select("id", "alias"), "id").withColumn("facts", facts)
+    g = G.letter_payload_a(p, "id", "facts")
+    return g.select("id", F.array_join(F.transform("company_facts", lambda f: F.concat_ws("|", f["id"].cast("string"), f["title"], f["snippet"])), ";").alias("facts"), "blocked")
+
+
 _GOVERNED_B = """g AS (SELECT *, 'Lideré un equipo de ' || CAST(k % 9 + 2 AS STRING) || ' personas.' AS w1, 'Hoy gano ' || CASE WHEN form = 6 THEN salary_text ELSE '[MONTO]' END || ' y me va bien.' AS w2,
  'Contacto: ' || CASE contact WHEN 0 THEN '[CORREO]' WHEN 1 THEN '[TELÉFONO]' WHEN 3 THEN 'mi jefe, Carlos Pérez' ELSE contact_text END || '. En ' || CASE WHEN alias <> 'XelajuTech' THEN '[EMPLEADOR_ACTUAL]' ELSE alias END || ' aprendí mucho. Reduje costos 12 %.' AS w3,
  CASE WHEN desired_role LIKE 'Gerente%' OR desired_role LIKE 'Jefe%' THEN 'lead' WHEN desired_role LIKE '%senior' THEN 'senior' WHEN years >= 10 THEN 'lead' WHEN years >= 5 THEN 'senior' WHEN years >= 2 THEN 'semi-senior' ELSE 'junior' END AS level FROM profiles)"""
