@@ -196,6 +196,13 @@ def seeded_order(df: DataFrame, group: str, item: str, rows_per_bucket: int = 1_
     return rank_in_buckets(d, [group], "_bucket", ["_h"], "position").drop("_h")
 
 
+def both_orders(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Every pair to be judged twice, each answer once in the first place: columns pass, first, second."""
+    rest = [c for c in pairs.columns if c not in (a, b)]
+    turn = F.array(*[F.struct(F.lit(i).alias("pass"), F.col(x).alias("first"), F.col(y).alias("second")) for i, (x, y) in enumerate([(a, b), (b, a)])])
+    return pairs.select(*rest, F.inline(turn))
+
+
 def request_status(dest: Column, ok: Column, failure: Column, ms: Column) -> Column:
     """ok / slow by destination threshold; offline, timeout or failed otherwise."""
     limit = F.lit(None).cast("double")

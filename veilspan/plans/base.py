@@ -44,7 +44,7 @@ LEVEL1 = {
     "cur": f"CAST(5000 + ({K} * 37 % 401) * 50 AS BIGINT)",
     "pct": f"CAST(({K} * 13) % 91 - 10 AS BIGINT)",
     "years": f"CAST({K} % 16 AS INT)",
-    "name": case(f"{K} % 6", qs("Ana", "Luis", "María", "José", "Lucía", "Andrés")) + " || ' ' || "
+    "name": case(f"{K} % 6", qs("Ana", "Mario", "María", "José", "Lucía", "Andrés")) + " || ' ' || "
     + case(f"floor({K} / 6) % 5", qs("Pérez", "Juárez", "Ixcot", "Méndez", "Barrios")),
     "employer": case(
         f"{K} % 5",

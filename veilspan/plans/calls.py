@@ -63,6 +63,17 @@ def median_summary(spark, sf):
     return B.with_group(s, B.medians(c, ["model"], "total_ms", "m"), ["model"]).select("model", "mean_ms", F.round("m", 6).alias("median_ms"), "max_ms", "min_ms")
 
 
+@query("both_orders", f"""
+WITH {CALLS_SQL}, u AS (SELECT input, task, min(model) AS a, max(model) AS b FROM calls WHERE kind = 'warm' AND ok GROUP BY input, task HAVING count(DISTINCT model) > 1)
+SELECT input, task, CAST(0 AS INT) AS pass, a AS first, b AS second FROM u UNION ALL SELECT input, task, CAST(1 AS INT), b, a FROM u
+""")
+def both_orders(spark, sf):
+    """Blind comparisons of two models' answers, each pair in both orders."""
+    good = calls(spark, sf).where((F.col("kind") == "warm") & F.col("ok"))
+    pairs = good.groupBy("input", "task").agg(F.min("model").alias("a"), F.max("model").alias("b")).where("a <> b")
+    return B.both_orders(pairs, "a", "b")
+
+
 @query("percentiles_of_null_groups", """
 WITH v AS (SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS g, CASE WHEN event_id % 5 <> 3 THEN value END AS x FROM events)
 SELECT g, quantile_disc(x, 0.5) AS p50, quantile_disc(x, 0.95) AS p95 FROM v GROUP BY g
