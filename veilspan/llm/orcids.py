@@ -34,11 +34,15 @@ class PieceEncoder:
     bounded generations. Such a blank always begins a new pre-token, so the pieces' ids put together are
     the text's; texts with other blank runs go to the library whole."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()  # a token's characters stand for a byte each
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
         self.limit = limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -47,11 +51,21 @@ class PieceEncoder:
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ask_pieces(self, pieces: list[str], at_once: int = 2000) -> Iterator[bytes]:
+        """Ids of pieces that follow a blank: many in one text, cut apart again by their bytes."""
+        for k in range(0, len(pieces), at_once):
+            some = pieces[k : k + at_once]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])
+            cut = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *cut], cut))
+
     def learn(self, new: set[str]) -> None:
         """Ask for pieces; signs after a last letter are a pre-token of their own and asked apart."""
         stems = {p: x for p in new if (x := p.rstrip(SIGNS)) and x != p and x[-1].isalpha()}
         ask = list(((new - stems.keys()) | set(stems.values())) - self.young.keys())
-        self.young.update(zip(ask, self.ask([" " + p for p in ask])))
+        self.young.update(zip(ask, self.ask_pieces(ask)))
         tails = list({p[len(x) :] for p, x in stems.items()} - self.tails.keys())
         self.tails.update(zip(tails, self.ask(tails)))
         self.young.update((p, self.young[x] + self.tails[p[len(x) :]]) for p, x in stems.items())
