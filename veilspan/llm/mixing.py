@@ -40,10 +40,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     else:
         w = F.coalesce(F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("source")), F.lit(0.0)) if weights else F.lit(0.0)
     shares = sizes.withColumn("w", w)
-    total = shares.agg(F.sum("w").alias("total_w"), F.sum("size").alias("total_size"))  # one row
-    return shares.join(F.broadcast(total)).select(
-        "source", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("w") / F.col("total_w") * F.col("total_size") / F.col("size")).alias("rate")
-    )
+    total = shares.agg(F.sum("w").alias("w"), F.sum("size").alias("size")).first()  # two numbers
+    whole_w, whole_size = F.lit(float(total["w"] or 1.0)), F.lit(float(total["size"] or 0))
+    return shares.select("source", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("w") / whole_w * whole_size / F.col("size")).alias("rate"))
 
 
 def poisson(rate: Column, u: Column) -> Column:
