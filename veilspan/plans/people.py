@@ -450,7 +450,7 @@ def _sql_case(key: str, table: dict, i: int | None = None) -> str:
 
 @query("note_b", f"""
 WITH {PROFILES}, x AS (SELECT *, CAST(cur AS DOUBLE) AS c, {_GTQ.format(fx='7.7')} AS g FROM profiles),
-y AS (SELECT *, floor((g - c) / c * 1000 + 0.5) / 10 AS p, CAST(floor(g - c + 0.5) AS BIGINT) AS delta, {_POS} AS pos, floor((g - hi) / hi * 1000 + 0.5) / 10 AS top,
+y AS (SELECT *, floor((g - c) / c * 1000 + 0.5) / 10 AS p, CAST(floor(g - c + 0.5) AS BIGINT) AS delta, {_POS} AS pos, floor((g - hi) / hi * 100 * 10 + 0.5) / 10 AS top,
  CASE WHEN k % 9 = 0 THEN 'offer-asks' WHEN lo <= g AND g <= hi THEN 'range-covers' WHEN g < lo THEN 'range-below' ELSE 'range-above' END AS timing FROM x),
 z AS (SELECT *, CASE WHEN p < 0 THEN 'recorte' WHEN p < 10 THEN 'conservador' WHEN p < 20 THEN 'razonable' WHEN p < 35 THEN 'ambicioso' ELSE 'agresivo' END AS band,
  CASE WHEN p >= 0 THEN '+' ELSE '' END || {_ONE.format(x='p')} AS signed FROM y)
