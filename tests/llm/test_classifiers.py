@@ -1,4 +1,6 @@
 """The trained operators: held-out accuracy, awkward rows, nothing to learn from."""
+import random
+
 import pandas as pd
 import pytest
 
@@ -68,3 +70,13 @@ def test_blocks_do_not_change_a_toxicity_score(monkeypatch):
     whole = toxicity.Scorer(net).score(text)
     monkeypatch.setattr(toxicity, "BLOCK", 300)
     assert abs(toxicity.Scorer(net).score(text) - whole) < 1e-6
+
+
+def test_every_language_tag_is_learned(spark):
+    """80 tags of a word each, the rarest ones at a tenth of the others: all of them are named."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(80)]
+    rows = [(n * 100 + i, " ".join([w] * (3 + n)), f"t{i:02d}") for i, w in enumerate(words) for n in range(40 if i < 64 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langkernel.score(docs, langkernel.fit(docs)).collect()}
+    assert {got[i] for i, _, _ in rows} == {f"t{i:02d}" for i in range(80)}

@@ -7,7 +7,8 @@ one-versus-rest kernel ridge regression on them. A text's decision values are it
 landmarks times the dual weights; as the kernel is linear in presence vectors, landmarks and weights
 are multiplied once and texts are scored by one matrix product per batch. Score: softmax of the decision values.
 
-Fitted on about `per_language` rows of each language (a documented bound) that `fold_of` does not hold out;
+Fitted on about `per_language` rows of each language that `fold_of` does not hold out, and in all on `FIT_ROWS`
+rows (documented bounds): beyond 64 languages each gives fewer rows and landmarks, but all are learned;
 text alone is used for a prediction. NULL texts and texts without a letter: `und`, score 0; so too when
 there is nothing to learn from. Rows of equal text are scored alike; whole texts are read.
 """
@@ -27,6 +28,7 @@ from veilspan.llm.sampling import bounded
 DIM = 1 << 13
 SHARPNESS = 6.0
 BLOCK = 1 << 20
+FIT_ROWS, FIT_LANDMARKS = 32_000, 6_144  # 64 languages' worth
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -72,6 +74,7 @@ def ridge(x: np.ndarray, classes: list[str], landmarks: int, penalty: float) ->
     languages = sorted(set(classes))
     if not languages:
         return StringKernel([], np.zeros((DIM, 0), np.float32))
+    landmarks = max(1, min(landmarks, FIT_LANDMARKS // len(languages)))
     labels, u = np.array(classes), unit(x)
     of = np.concatenate([np.flatnonzero(labels == c)[:landmarks] for c in languages])
     marks = u[of]
@@ -86,7 +89,7 @@ def ridge(x: np.ndarray, classes: list[str], landmarks: int, penalty: float) ->
 def fit(docs: DataFrame, per_language: int = 500, landmarks: int = 96, penalty: float = 1e-3) -> StringKernel:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     known = rows.where((fold_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = bounded(known, F.col("lang"), per_language).select("doc_id", "class", "text")
+    sample = bounded(known, F.col("lang"), per_language, FIT_ROWS).select("doc_id", "class", "text")
 
     def run(batches):
         for b in batches:
