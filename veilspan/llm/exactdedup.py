@@ -1,10 +1,10 @@
-"""Exact duplicates: a tree of sorted digest runs.
+"""Exact duplicates: a tree of digest aggregations.
 
-Every input partition turns its rows into a run: one entry per digest with the best identifier and a
-count. Runs are then merged in rounds. In a round, `fan_in` neighbouring nodes send their runs to one
-node, which merges them digest by digest and again keeps one entry each, so a text with a third of all
+Every input partition turns its rows into entries: one per digest with the best identifier and a count.
+Entries are then merged in rounds. In a round, `fan_in` neighbouring nodes send theirs to one node, which
+aggregates them by hash (nothing is sorted) and again keeps one entry per digest, so a text with a third of all
 rows travels as one entry per node and never as rows. Digests are dealt over shards first: a node is
-(shard, position), and the last round leaves one sorted run per shard rather than one for everything.
+(shard, position), and the last round leaves one set of entries per shard rather than one for everything.
 
 An entry is identified by SHA-256, byte length and an independent 64-bit hash; entries only merge when
 all three agree, at every level.
