@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, rarefeatures, resampling, simhash, toxicity
+from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, rarefeatures, resampling, simhash, toxicity, turnrepair
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op8(spark, sf):
 @query("op12_prefix_crc_resampling", resampling.SQL)
 def op12(spark, sf):
     return resampling.resample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), longest=1, buckets=10_000, percent=10, least_words=20)
+
+
+@query("op13_block_table_turn_repair")
+def op13(spark, sf):
+    return turnrepair.repair_digests(spark.read.parquet(f"{sf}/conversations.parquet"))
