@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, rarefeatures, resampling, simhash, toxicity, turnrepair
+from veilspan.llm import bpe, cotraining, exactdedup, langkernel, linedrop, mixing, orcids, rarefeatures, resampling, setsketch, simhash, toxicity, turnrepair
 from veilspan.llm.common import documents, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op12(spark, sf):
 @query("op13_block_table_turn_repair")
 def op13(spark, sf):
     return turnrepair.repair_digests(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op11_setsketch_near_dedup")
+def op11(spark, sf):
+    return setsketch.near_groups(documents(spark, sf), width=5, percent=85)
