@@ -28,14 +28,28 @@ def plain(spark, pairs):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def words(text) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def simhash(text: str, width: int = 4) -> int:
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    found = words(text)
+    shingles = [" ".join(found[i : i + width]) for i in range(len(found) - width + 1)] or ([" ".join(found)] if found else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(items: list[int], joined) -> list[int]:
+def classes_sharing(items: list[frozenset], joined) -> list[int]:
+    """`classes` of sets when only those that share an element can be joined."""
+    holders: dict = {}
+    for i, s in enumerate(items):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for s in holders.values() for i in s for j in s if j < i}
+    return classes(items, joined, sorted(pairs))
+
+
+def classes(items: list, joined, pairs=None) -> list[int]:
     """Smallest index reachable from every index by pairs that `joined` accepts."""
     parent = list(range(len(items)))
 
@@ -45,9 +59,8 @@ def classes(items: list[int], joined) -> list[int]:
             x = parent[x]
         return x
 
-    for i in range(len(items)):
-        for j in range(i):
-            if joined(items[i], items[j]):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
+    for i, j in pairs if pairs is not None else ((i, j) for i in range(len(items)) for j in range(i)):
+        if joined(items[i], items[j]):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
     return [find(i) for i in range(len(items))]

@@ -10,6 +10,7 @@ import tiktoken
 from veilspan.llm import cotraining, linedrop, queries
 
 from . import edge
+from .test_set_sketch import alike, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,10 +35,9 @@ def test_stages(spark):
     assert dict(zip(cut.doc_id, cut.text)) == dict(zip(want.doc_id, want.text)) and list(cut.columns) == list(start.columns)
     assert (cut.n_chars == cut.text.str.len()).all()
 
-    one = stages["simhash near-dedup"](spark, spark.createDataFrame(cut, docs.schema), SF).toPandas()
+    one = stages["near-dedup"](spark, spark.createDataFrame(cut, docs.schema), SF).toPandas()
     ordered = cut.sort_values("doc_id").reset_index(drop=True)
-    fps = [edge.simhash(t) for t in ordered.text]
-    first = {ordered.doc_id[c] for c in edge.classes(fps, lambda a, b: (a ^ b).bit_count() <= 4)}
+    first = {ordered.doc_id[c] for c in edge.classes([shingles(t) for t in ordered.text], alike(80, empty=True))}
     assert sorted(one.doc_id) == sorted(first) and list(one.columns) == list(start.columns)
 
     mixed = stages["mixing"](spark, spark.createDataFrame(one, docs.schema), SF).toPandas()

@@ -41,7 +41,6 @@ TOP = (1 << 16) - 1
 ROWS, BANDS = 7, 36
 SALTS, FAMILIES, CROWDED = 64, 4, 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-FACTORS = (np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * GOLD) | np.uint64(1)
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -50,6 +49,9 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+FACTORS = mixed(np.arange(1, ROWS + 1, dtype=np.uint64) * GOLD) | np.uint64(1)  # unrelated, so that few sums agree
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     """The hashes of a text's shingles, sorted, each once."""
     found, last = [], []
