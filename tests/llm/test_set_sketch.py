@@ -62,7 +62,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(setsketch, "CROWDED", 0)  # every bucket is split by a second band
+    monkeypatch.setattr(setsketch, "CROWDED", 0)  # every bucket is dealt by differences from its head
     data = copies()
     assert got(setsketch.near_groups(edge.plain(spark, data).repartition(5), percent=80)) == brute(data, 80)
 

@@ -8,9 +8,9 @@ sets agree about as often as their Jaccard similarity.
 
 Candidates. Registers are read in `BANDS` bands of `ROWS`; sets that agree in a whole band meet in its bucket. At 0.85
 a pair misses all buckets with probability 1e-6 (at 0.8: 2e-4). Two passes avoid the pairs of a bucket: first every
-member is compared with the least one of its salted part and those with the least one of the bucket; then only
-members of different components, and of these only with one side outside the bucket's commonest component. Buckets where
-that still leaves many on the smaller side are split by a second band (an alike pair shares eight bands or more).
+member is compared with the bucket's head, then only members of different components, and of these only with one side
+outside the bucket's commonest component. Where that still leaves more than `CROWDED` on the smaller side, only those
+members meet that differ from the head in a same shingle, which loses no link (`differing`).
 
 Estimate. From the numbers of registers that are larger, smaller and equal, and both set sizes, follows the likelihood
 of every similarity; a pair goes on unless its best similarity is below the bound and e^12.5 likelier than all beyond it.
@@ -39,7 +39,7 @@ LEAST = -(1 << 63)
 REGISTERS, BASE, RATE = 256, 1.001, 20.0
 TOP = (1 << 16) - 1
 ROWS, BANDS = 7, 36
-SALTS, FAMILIES, CROWDED = 64, 4, 64
+CROWDED = 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,18 +166,15 @@ def alike(a: Column, b: Column, percent: int) -> Column:
 # --- candidates ----------------------------------------------------------------------------------
 
 
-def salted(entries: DataFrame) -> DataFrame:
-    """With the part of its bucket that a node belongs to, and an order that makes some nodes heads in some buckets."""
-    return entries.withColumns({"salt": F.pmod(F.xxhash64("node"), F.lit(SALTS)), "turn": F.xxhash64("node", F.pmod("key", F.lit(FAMILIES)))})
-
-
-def stars(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that join each bucket in two steps, and the entries of buckets with more than one node."""
-    part = salted(entries).groupBy("key", "salt").agg(F.min_by("node", "turn").alias("head"), F.min("turn").alias("turn"), F.count("*").alias("rows"))
-    whole = part.groupBy("key").agg(F.min_by("head", "turn").alias("lead"), F.sum("rows").alias("rows")).where("rows > 1").select("key", "lead")
-    heads = written(part.select("key", "salt", "head").join(whole, "key"), "sketch-heads")
-    met = written(salted(entries).join(heads, ["key", "salt"]).select("key", "node", "n", "head"), "sketch-entries")
-    pairs = met.select("head", "node").unionByName(heads.select("head", F.col("lead").alias("node"))).where("node <> head")
+def stars(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each bucket's head and its other members, and the entries (key, node, n, head) of buckets with more
+    than one node. The head is the member that meets most others over all its buckets: the middle of a group of copies."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = written(entries.join(sizes, "key"), "sketch-met")
+    met = met.join(met.groupBy("node").agg(F.sum("rows").alias("score")), "node")
+    heads = met.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("head"))
+    met = written(met.join(heads, "key").select("key", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "sketch-entries")
+    pairs = met.where((F.col("node") != F.col("head")) & alike(F.col("n"), F.col("head_n"), percent))
     return pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), met
 
 
@@ -197,12 +194,28 @@ def across(entries: DataFrame, percent: int, most: int | None) -> tuple[DataFram
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), of.join(fit, "key", "left_anti").select("key")
 
 
-def refined(entries: DataFrame, crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Entries of crowded buckets once for every other band, under a key of both bands."""
-    some = entries.join(crowded, "key", "left_semi").join(nodes.select("node", "keys"), "node")
-    more = some.select("node", "n", "label", "key", F.explode("keys").alias("other")).where("other <> key")
-    both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-    return more.select(both.alias("key"), "node", "n", "label").distinct()
+def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, set) of the nodes in `wanted`, each read from its first row's text."""
+
+    def sets(batches):
+        for b in batches:
+            found = [shingle_set(t, width).astype(np.int64) for t in column(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+
+    rows = wanted.join(nodes, "node").select("node", F.col("first.id").alias("w_id"), F.col("first.th").alias("w_th"))
+    rows = written(rows, "sketch-wanted")  # where few, its size lets Spark broadcast it
+    texts = known(docs).join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("node", "text")
+    return written(texts.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "sketch-sets")
+
+
+def differing(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """For (head, node, n, label): entries under each shingle that only one of head and node has. Of two nodes that
+    are alike, with one of them not alike to the head, both differ from the head in some same shingle: else their
+    difference were the sum of their differences from the head, and that of one alone is too much."""
+    s, t = sets.toDF("node", "set"), sets.toDF("head", "head_set")
+    either = F.array_union(F.array_except("set", "head_set"), F.array_except("head_set", "set"))
+    apart = members.join(s, "node").join(t, "head").select("head", "node", "n", "label", F.explode(either).alias("shingle"))
+    return apart.select(F.xxhash64("head", "shingle").alias("key"), "node", "n", "label")
 
 
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -214,18 +227,11 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
             ok = may_reach(x, y, np.array(column(b, "a_n"), np.int64), np.array(column(b, "b_n"), np.int64), percent) if b.num_rows else []
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def sets(batches):
-        for b in batches:
-            found = [shingle_set(t, width).astype(np.int64) for t in column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
-
     a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("regs").alias(f"{c}_regs")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").where(alike(F.col("a_n"), F.col("b_n"), percent)).select("a", "b", "a_n", "b_n", "a_regs", "b_regs")
     hopeful = written(both.mapInArrow(likely, "a long, b long"), "sketch-pairs")
     wanted = hopeful.select(F.col("a").alias("node")).union(hopeful.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes, "node").select("node", F.col("first.id").alias("w_id"), F.col("first.th").alias("w_th")), "sketch-wanted")
-    texts = known(docs).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("node", "text")
-    whole = written(texts.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "sketch-sets")
+    whole = whole_sets(wanted, nodes, docs, width)
     s, t = whole.toDF("a", "a_set"), whole.toDF("b", "b_set")
     shared = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     counted = hopeful.join(s, "a").join(t, "b").select("a", "b", (F.size("a_set") + F.size("b_set")).cast("long").alias("sizes"), shared.alias("shared"))
@@ -238,15 +244,17 @@ def groups(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     rows = written(sketched(docs, width), "sketch-rows")
     nodes = rows.groupBy("same").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
-    pairs, met = stars(nodes.select(F.explode("keys").alias("key"), "node", "n"))
+    pairs, met = stars(nodes.select(F.explode("keys").alias("key"), "node", "n"), percent)
     near = compared(pairs, nodes, docs, width, percent)
     labels = components(near).toDF("l_node", "root")
-    entries = met.join(labels, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
+    entries = met.join(labels, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", "head", F.coalesce("root", "node").alias("label"))
     entries = written(entries, "sketch-labels")
-    rest, crowded = across(entries, percent, CROWDED)
+    rest, crowded = across(entries.drop("head"), percent, CROWDED)
     crowded = written(crowded, "sketch-crowded")
     if not crowded.isEmpty():
-        split = written(refined(entries, crowded, nodes), "sketch-refined")
+        members = written(entries.join(crowded, "key", "left_semi").select("head", "node", "n", "label").distinct(), "sketch-members")
+        some = members.select("node").union(members.select("head")).distinct()
+        split = written(differing(members, whole_sets(some, nodes, docs, width)), "sketch-differing")
         rest = rest.unionByName(across(split, percent, None)[0]).distinct()
     far = compared(rest, nodes, docs, width, percent)
     return rows, nodes, components(near.unionByName(far))
