@@ -39,7 +39,7 @@ LEAST = -(1 << 63)
 REGISTERS, BASE, RATE = 256, 1.001, 20.0
 TOP = (1 << 16) - 1
 ROWS, BANDS = 7, 36
-CROWDED = 64
+CROWDED = 16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
