@@ -43,14 +43,21 @@ def with_candidates_a(
     employer: str | None = None,
     amounts: str | None = None,
     names: str | None = None,
+    rules=None,
+    numbers_too: bool = True,
 ) -> DataFrame:
-    """Every span variant A's rules produce, before overlaps are resolved."""
+    """Every span variant A's rules produce, before overlaps are resolved.
+
+    `rules`, from the names of the text and of its folded form to a list, stands for the built-in regex rules.
+    """
     base = df.columns
     t, known, folded, pats = (S.tmp(x) for x in ("t", "known", "fold", "pats"))
     none = F.array().cast("array<double>")
     amounts_col = F.coalesce(F.filter(F.col(amounts), lambda a: a > 0), none) if amounts else none
     d = df.select("*", S.plain(F.col(text)).alias(t), amounts_col.alias(known))
     extra = []
+    if rules and not (employer or names):
+        d = d.select("*", fold(F.col(t)).alias(folded))
     if employer or names:
         phrases = []
         if employer:
@@ -111,11 +118,15 @@ def with_candidates_a(
         Rule("phone", "phone", V.A_PHONE, 0, digits),
         Rule("money", "words", V.A_MONEY_WORDS, 0, tc.rlike("(?iu)mil")),
     ]
+    if rules:
+        money, other = money if numbers_too else [], rules(t, folded)
     if amounts:
         money.append(Rule("money", "any", V.A_ANY_NUMBER, 0, has_known & digits))
         other.append(Rule("salary", "glued", glued, 0, has_known & digits))
     d, cols = S.with_spans(d, t, money + other + extra)
     numbers, rest = cols[: len(money)], cols[len(money):]
+    if not numbers:
+        return _finish(d, base, rest, out)
     allm = S.tmp("amounts")
     d = _finish(d, [*base, known, *rest], numbers, allm)
     d = d.select(*base, *rest, F.filter(F.transform(F.col(allm), valued), counts).alias(allm))
@@ -184,24 +195,36 @@ def find_b(
     has = {k: k if v else None for k, v in cols.items()}
 
     def build(d, o):
-        return _chain_b(d, "__text", o, has["__employer"], has["__amounts"], currency_words)
+        words = [lambda text, _: Rule("currency_word", "currency_word", V.B_CURRENCY_WORD)] if currency_words else []
+        return chain_b(d, "__text", o, has["__employer"], has["__amounts"], B_STAGES, True, words)
 
     return program.apply(df, ("find_b", currency_words), cols, build, out)
 
 
-def _chain_b(df, text, out, employer, amounts, currency_words):
-    base = df.columns
-    w = S.tmp("w")
-    d = df.select("*", S.plain(F.col(text)).alias(w))
-    found = []
-    for kind, pattern in (("email", V.B_EMAIL), ("dpi", V.B_DPI), ("nit", V.B_NIT), ("phone", V.B_PHONE)):
-        nxt = S.tmp("w")
-        guard = F.contains(F.col(w), F.lit("@")) if kind == "email" else F.col(w).rlike(r"\d")
-        d, s = _stage_b(d, kind, pattern, w, nxt, guard)
-        d = d.drop(w)
-        found.append(s)
-        w = nxt
+def _digits_b(kind: str, pattern: str):
+    return lambda text, _: Rule(kind, kind, pattern, 0, F.col(text).rlike(r"\d"))
+
+
+B_STAGES = [
+    lambda text, _: Rule("email", "email", V.B_EMAIL, 0, F.contains(F.col(text), F.lit("@"))),
+    _digits_b("dpi", V.B_DPI), _digits_b("nit", V.B_NIT), _digits_b("phone", V.B_PHONE),
+]
+
 
+def _rule_stage(d: DataFrame, make_rule, work: str):
+    """One rule on the current text: frame, its spans, and the name of the text masked for the next rule."""
+    nxt, fo, found = S.tmp("w"), S.tmp("fold"), S.tmp("found")
+    rule = make_rule(work, fo)
+    if isinstance(rule.pattern, str) and not (rule.keep or rule.make or rule.text):
+        guard = F.lit(True) if rule.guard is None else rule.guard
+        d, (s,) = S.with_spans(d, work, [rule], [found])
+        return d.select("*", F.when(guard, S.mask(F.col(work), rule.pattern)).otherwise(F.col(work)).alias(nxt)).drop(work), s, nxt
+    d, (s,) = S.with_spans(d.select("*", fold(F.col(work)).alias(fo)), work, [rule], [found])
+    d = d.select("*", F.coalesce(F.col(s), S.empty()).alias(s + "f")).drop(s, fo)
+    return S.apply_tags(d, work, s + "f", nxt, _filler).drop(work), s + "f", nxt
+
+
+def _money_stage(d: DataFrame, w: str, amounts: str | None):
     ms, spans, known = S.tmp("ms"), S.tmp("money"), S.tmp("known")
     none = F.array().cast("array<double>")
     amounts_col = F.coalesce(F.filter(F.col(amounts), lambda a: a > 0), none) if amounts else none
@@ -218,9 +241,22 @@ def _chain_b(df, text, out, employer, amounts, currency_words):
     nxt, solo = S.tmp("w"), S.tmp("solo")
     d = S.first_wins(d.select("*", F.col(spans).alias(solo)), solo, solo + "d", {"money": 0})
     d = S.apply_tags(d, w, solo + "d", nxt, _filler).drop(w, solo + "d")
-    found.append(spans)
-    w = nxt
+    return d, spans, nxt
+
 
+def chain_b(df, text, out, employer, amounts, before, money, after):
+    """`before` and `after`: functions from the names of the text and its folded form to a rule; between them the
+    detectors for amounts (if `money`) and the employer."""
+    base = df.columns
+    w = S.tmp("w")
+    d = df.select("*", S.plain(F.col(text)).alias(w))
+    found = []
+    for make_rule in before:
+        d, s, w = _rule_stage(d, make_rule, w)
+        found.append(s)
+    if money:
+        d, s, w = _money_stage(d, w, amounts)
+        found.append(s)
     if employer:
         one, many = S.tmp("pat"), S.tmp("pat")
         d = d.select(
@@ -238,8 +274,8 @@ def _chain_b(df, text, out, employer, amounts, currency_words):
             d = d.drop(w, fo)
             found.append(s)
             w = nxt
-    if currency_words:
-        d, (s,) = S.with_spans(d, w, [Rule("currency_word", "currency_word", V.B_CURRENCY_WORD)], [S.tmp("found")])
+    for make_rule in after:
+        d, s, w = _rule_stage(d, make_rule, w)
         found.append(s)
     d = _finish(d, base, found, out)
     t = F.col(text)
@@ -422,11 +458,11 @@ _VETO = list(dict.fromkeys(V.C_NOT_NAMES + V.C_JOB_WORDS))
 
 
 # stems one of which every role / title contains
-_ROLE_STEMS = (
+ROLE_STEMS = (
     "jef gerente companer colega supervis director coordinador lider manager boss mentor cliente socio socia encargad "
     "reclutador recruiter contacto referencia teammate coworker"
 ).split()
-_TITLE_STEMS = "Lic Ing Dr Doct Sr Señ Don Doñ Arq Mr Ms MSc".split()
+TITLE_STEMS = "Lic Ing Dr Doct Sr Señ Don Doñ Arq Mr Ms MSc".split()
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -451,8 +487,8 @@ def people_rules(text: str, folded: str) -> list[Rule]:
         return F.when(~job, S.span(m["start"], m["end"], "person_name", "person_title", m["raw"]))
 
     return [
-        Rule("person_name", "person_role", V.C_PERSON_ROLE, 1, any_of(F.col(folded), _ROLE_STEMS), lambda s: s["end"] > s["start"], by_role),
-        Rule("person_name", "person_title", V.C_PERSON_TITLE, 1, any_of(F.col(text), _TITLE_STEMS), lambda s: s.isNotNull(), by_title),
+        Rule("person_name", "person_role", V.C_PERSON_ROLE, 1, any_of(F.col(folded), ROLE_STEMS), lambda s: s["end"] > s["start"], by_role),
+        Rule("person_name", "person_title", V.C_PERSON_TITLE, 1, any_of(F.col(text), TITLE_STEMS), lambda s: s.isNotNull(), by_title),
     ]
 
 
@@ -489,7 +525,7 @@ def keep_covers(folded: str, needles: str) -> Column:
     return F.flatten(F.transform(F.col(needles), places))
 
 
-def _real_phone(s):
+def no_year_pair(s):
     d = F.regexp_replace(s["raw"], r"\D", "")
     a = F.substring(d, F.length(d) - 7, F.lit(4)).try_cast("int")
     b = F.right(d, F.lit(4)).try_cast("int")
@@ -510,11 +546,11 @@ def contact_rules(text: str) -> list[Rule]:
         Rule("dpi", "dpi_4_5_4", V.C_DPI, 0, digits),
         Rule("nit", "nit_labeled", V.C_NIT_LABELED, 1, digits & (F.contains(t, F.lit("NIT")) | t.rlike("(?i)nit")), None, labeled),
         Rule("nit", "nit_shape", V.C_NIT_SHAPE, 0, digits & F.contains(t, F.lit("-"))),
-        Rule("phone", "phone_gt", V.C_PHONE, 0, digits, _real_phone),
+        Rule("phone", "phone_gt", V.C_PHONE, 0, digits, no_year_pair),
     ]
 
 
-_ADDRESS_STEMS = {
+ADDRESS_STEMS = {
     "address_zona": ["zona"], "address_street_numbered": ["calle", "avenida", "av."],
     "address_street_named": ["calle", "avenida", "av.", "diagonal", "bulevar", "boulevard", "blvd", "calzada", "carretera"],
     "address_km": ["km", "kilometro"],
@@ -527,7 +563,7 @@ def address_rules(text: str, folded: str) -> list[Rule]:
     digits, f = F.col(text).rlike(r"\d"), F.col(folded)
     wordy = ("address_street_named", "address_area")
     return [
-        Rule("address", rule, p, 0, any_of(f, _ADDRESS_STEMS[rule]) if rule in wordy else digits & any_of(f, _ADDRESS_STEMS[rule]))
+        Rule("address", rule, p, 0, any_of(f, ADDRESS_STEMS[rule]) if rule in wordy else digits & any_of(f, ADDRESS_STEMS[rule]))
         for rule, p in V.C_ADDRESS.items()
     ]
 
@@ -539,13 +575,18 @@ def with_candidates_c(
     employer: str | None = None,
     own_name: str | None = None,
     keep: str | None = None,
+    rules=None,
+    amounts_too: bool = True,
 ) -> DataFrame:
-    """Every span of variant C's rules, public strings and existing tags already taken out."""
+    """Every span of variant C's rules, public strings and existing tags already taken out.
+
+    `rules`, from the names of the text and of its folded form to a list, stands for the built-in regex rules.
+    """
     base = df.columns
     t, folded, emp, covers, allc = (S.tmp(x) for x in ("t", "fold", "emp", "cov", "all"))
     d = df.select("*", S.plain(F.col(text)).alias(t))
     d = d.select("*", fold(F.col(t)).alias(folded))
-    rules = contact_rules(t) + address_rules(t, folded) + people_rules(t, folded)
+    rules = rules(t, folded) if rules else contact_rules(t) + address_rules(t, folded) + people_rules(t, folded)
     cover_rules = [Rule("tag", "tag", V.C_TAG_PATTERN, 0, F.col(t).rlike(r"[\[{]"))]
     if own_name or keep:
         cols = []
@@ -567,7 +608,7 @@ def with_candidates_c(
         rules.append(Rule("person_name", "own_name", F.col(p), 0, F.col(p).isNotNull(), None, own, folded))
     if keep:
         d = d.select("*", keep_covers(folded, folded + "k").alias(folded + "kc"))
-    money, emp_rules, matcher = M.mention_rules_c(t, folded), [], S.tmp("m")
+    money, emp_rules, matcher = M.mention_rules_c(t, folded) if amounts_too else [], [], S.tmp("m")
     if employer:
         d = with_employer_matcher(d, employer, matcher)
         d, emp_rules = employer_rules_c(d, matcher, folded)
@@ -576,7 +617,7 @@ def with_candidates_c(
     hits, cov, mon, emps = names[:n], names[n:k], names[k : k + len(money)], names[k + len(money):]
     if employer:
         d = with_employer_spans_c(d, t, matcher, emps[0], emps[1], emp)
-    parts = [F.coalesce(F.col(x), S.empty()) for x in hits] + [M.mention_spans(M.all_mentions(mon), "salary")]
+    parts = [F.coalesce(F.col(x), S.empty()) for x in hits] + ([M.mention_spans(M.all_mentions(mon), "salary")] if mon else [])
     parts += [F.col(emp)] if employer else []
     d = d.select(
         *base,

@@ -339,24 +339,7 @@ def routing_status(use_cloud: Column, blocked: Column, online: Column, failed: C
     )
 
 
-# ------------------------------------------------------------------ strict ingest
-def strict_json(body: Column, fields: list[tuple[str, str, Column | None]]) -> Column:
-    """Reason a JSON body is refused (NULL when valid): not JSON, unknown key, missing key, bad value.
-
-    `fields`: (name, sql type, check over the parsed column or None).
-    """
-    ddl = ", ".join(f"{n} {t}" for n, t, _ in fields)
-    parsed = F.from_json(body, ddl)
-    keys = F.json_object_keys(body)
-    known = F.array(*[F.lit(n) for n, _, _ in fields])
-    out = F.when(keys.isNull(), "invalid_json").when(F.size(F.array_except(keys, known)) > 0, "unknown_key")
-    for n, t, check in fields:
-        out = out.when(~F.array_contains(keys, n), f"missing:{n}").when(parsed[n].isNull(), f"type:{n}")
-        if check is not None:
-            out = out.when(~check(parsed[n]), f"value:{n}")
-    return out
-
-
+# ------------------------------------------------------------------ form validation
 def profile_errors(f: dict[str, Column]) -> Column:
     """Names of the form fields that fail validation, in order (variant A's form)."""
 
@@ -382,7 +365,7 @@ def profile_errors(f: dict[str, Column]) -> Column:
 # ------------------------------------------------------------------ leaf walk over JSON
 def nesting(body: Column) -> Column:
     """How deep objects and arrays of a JSON text lie in each other (0 for a scalar or no JSON)."""
-    marks = F.regexp_replace(F.regexp_replace(body, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    marks = F.regexp_replace(F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
     step = F.transform(F.split(marks, "(?<=.)"), lambda m: F.when(m.isin("{", "["), 1).when(m.isin("}", "]"), -1).otherwise(0))
     state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     return F.aggregate(
@@ -390,15 +373,17 @@ def nesting(body: Column) -> Column:
     )
 
 
-def walk_leaves(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, path, text) for every key and scalar of a JSON body, at any depth.
+def walk_leaves(df: DataFrame, key: str, body: str, most: int = 64) -> DataFrame:
+    """(key, path, text) for every key and scalar of a JSON body.
 
     The deepest nesting of the table is counted first (one number); the table is then opened that many
     times in one chain of generators that carries finished leaves along, so it is parsed once. A body that is
-    no JSON is one leaf.
+    no JSON, or is nested more than `most` deep, is one leaf with its whole text, so nothing in it escapes a gate
+    and one hostile row does not make the plan longer.
     """
-    deepest = df.select(F.max(nesting(F.col(body))).alias("d")).first()["d"] or 0
-    parsed = F.try_parse_json(F.col(body))
+    depth = nesting(F.col(body))
+    deepest = df.select(F.max(F.when(depth <= most, depth)).alias("d")).first()["d"] or 0
+    parsed = F.when(depth <= most, F.try_parse_json(F.col(body)))
     lvl = df.select(key, F.lit("$").alias("path"), F.when(parsed.isNull(), F.col(body)).alias("text"), parsed.alias("v"))
     for _ in range(deepest):
         nested = F.schema_of_variant(F.col("v")).rlike("^(OBJECT|ARRAY)")

@@ -13,7 +13,9 @@ from veilspan.operators import money as M
 from veilspan.operators import quality as Q
 from veilspan.operators import redact as R
 from veilspan.operators import render as T
-from veilspan.plans.base import PROFILES, comma, profiles, raw_profiles
+from veilspan.operators import rulepack as P
+from veilspan.operators import strictness as K
+from veilspan.plans.base import PROFILES, case, comma, profiles, raw_profiles
 from veilspan.plans.registry import query
 from veilspan.session import inline_rows, table
 
@@ -49,7 +51,7 @@ def known_values_join(spark, sf):
     return p.select("id", F.inline(F.array_compact(vals)))
 
 
-STRICT = [("k", "int", lambda c: c.between(0, 89))]
+STRICT = K.Record({"k": K.Number(least=0, most=89, whole=True)})
 
 
 @query("strict_ingest_quarantine", """
@@ -59,7 +61,51 @@ SELECT event_id, CASE WHEN event_id % 5 = 2 THEN 'invalid_json' WHEN event_id %
 def strict_ingest_quarantine(spark, sf):
     b = table(spark, sf, "events").selectExpr(
         "event_id", """CASE CAST(event_id % 5 AS INT) WHEN 0 THEN props WHEN 1 THEN replace(props, '{', '{"extra": 1, ') WHEN 2 THEN replace(props, '}', '') WHEN 3 THEN replace(props, '"k"', '"x"') ELSE props END AS body""")
-    return b.select("event_id", G.strict_json(F.col("body"), STRICT).alias("reason"))
+    r = b.select("event_id", K.refusal(F.col("body"), STRICT).alias("r"))
+    return r.select("event_id", F.when(F.col("r.reason").isin("invalid_json", "unknown_key"), F.col("r.reason")).otherwise(F.concat("r.reason", F.lit(":"), F.substring("r.path", 3, 100))).alias("reason"))
+
+
+_BODY = ("'{\"fullName\":\"' || name || '\",\"currentRole\":\"' || role || '\",\"currentEmployer\":\"' || employer || '\",\"currentSalary\":{\"amount\":' || CAST(cur AS STRING) || ',\"currency\":\"GTQ\"},"
+         "\"desiredRole\":\"' || desired_role || '\",\"desiredSalary\":{\"amount\":' || CAST(desired + 1 AS STRING) || ',\"currency\":\"USD\"},\"targetCompany\":\"Claro\",\"yearsExperience\":' || CAST(years AS STRING) || ',\"achievements\":\"Logros\"}'")
+# what is done to the body, and what is then wrong
+_HARM = [
+    ("b", None, None), ("replace(b, '\"USD\"', '\"EUR\"')", "not_listed", "$.desiredSalary.currency"), ("replace(b, '\"fullName\":\"', '\"fullName\":\"  \",\"email\":\"')", "too_short", "$.fullName"),
+    ("replace(b, 'Logros', repeat('x', 3001))", "too_long", "$.achievements"), ("replace(b, '\"yearsExperience\":', '\"yearsExperience\":-1')", "value", "$.yearsExperience"),
+    ("replace(b, '\"targetCompany\":\"Claro\",', '')", "missing", "$.targetCompany"), ("replace(b, '\"GTQ\"}', '\"GTQ\",\"net\":1}')", "unknown_key", "$.currentSalary.net"), ("substr(b, 1, length(b) - 1)", "invalid_json", "$"),
+    ("replace(b, '\"Claro\"', 'null')", "type", "$.targetCompany"), ("replace(b, '\"amount\":', '\"amount\":-')", "value", "$.currentSalary.amount"), ("replace(b, ',\"achievements\"', '.5,\"achievements\"')", "not_whole", "$.yearsExperience"),
+    ("replace(b, '{\"fullName\"', '{\"salary\":1,\"fullName\"')", "unknown_key", "$.salary"), ("replace(replace(b, ',\"currency\":\"USD\"', '\",\"currency\":\"USD\"'), '\"desiredSalary\":{\"amount\":', '\"desiredSalary\":{\"amount\":\"')", "type", "$.desiredSalary.amount"),
+    ("replace(b, '\"Logros\"', '\"Logros\",\"jobOffer\":7')", "type", "$.jobOffer"), ("replace(b, '\"Logros\"', '\"Logros\",\"email\":\"a@b.c\",\"jobOffer\":\"\"')", None, None), ("'[' || b || ']'", "type", "$"),
+]
+_FACT = "'{\"id\":' || CAST(id % 10 + 1 AS STRING) || ',\"title\":\"T\",\"snippet\":\"S\"}'"
+_REQUEST = "'{\"desiredRole\":\"Jefe\",\"targetCompany\":\"' || company || '\",\"yearsExperience\":3,\"achievements\":\"\",\"jobOffer\":\"\",\"companyFacts\":[' || f || ',' || f || ']}'"
+_HARM_FACTS = [
+    ("b", None, None), ("replace(b, '[', '[' || f || ',' || f || ',')", "too_many", "$.companyFacts"), ("replace(b, ']}', ',{\"id\":11,\"title\":\"\",\"snippet\":\"\"}]}')", "value", "$.companyFacts[2].id"),
+    ("replace(b, '\"S\"', '\"' || repeat('s', 401) || '\"')", "too_long", "$.companyFacts[0].snippet"), ("replace(b, ']}', ',{\"id\":1,\"title\":\"\",\"snippet\":\"\",\"url\":\"\"}]}')", "unknown_key", "$.companyFacts[2].url"),
+    ("replace(replace(b, '[', '{\"a\":['), ']', ']}')", "type", "$.companyFacts"), ("replace(b, ']}', ',7]}')", "type", "$.companyFacts[2]"), ("replace(b, ',\"title\":\"T\"', '')", "missing", "$.companyFacts[0].title"),
+]
+
+
+def _harmed(harm: list) -> str:
+    return case(f"id % {len(harm)}", [h for h, _, _ in harm])
+
+
+def _expected(harm: list) -> str:
+    wrong = [["NULL" if x is None else f"'{x}'" for x in pair] for _, *pair in harm]
+    return f"{case(f'id % {len(harm)}', [r for r, _ in wrong])} AS reason, {case(f'id % {len(harm)}', [p for _, p in wrong])} AS path"
+
+
+@query("strict_profile_bodies", f"WITH {PROFILES} SELECT id, {_expected(_HARM)} FROM profiles")
+def strict_profile_bodies(spark, sf):
+    """Profile bodies with nested amounts, optional fields and one fault each, refused with path and reason."""
+    b = raw_profiles(spark, sf).selectExpr("id", f"{_BODY} AS b").selectExpr("id", f"{_harmed(_HARM)} AS body")
+    return b.select("id", K.refusal(F.col("body"), K.PROFILE).alias("r")).select("id", "r.reason", "r.path")
+
+
+@query("strict_letter_bodies", f"WITH {PROFILES} SELECT id, {_expected(_HARM_FACTS)} FROM profiles")
+def strict_letter_bodies(spark, sf):
+    """Letter requests with a list of records: too many, or one of them wrong."""
+    b = raw_profiles(spark, sf).selectExpr("id", "company", f"{_FACT} AS f").selectExpr("id", "f", f"{_REQUEST} AS b").selectExpr("id", f"{_harmed(_HARM_FACTS)} AS body")
+    return b.select("id", K.refusal(F.col("body"), K.LETTER_REQUEST).alias("r")).select("id", "r.reason", "r.path")
 
 
 _FORM = ("CASE WHEN id % 6 = 0 THEN '  ' ELSE desired_role END AS desired_role, company AS target_company, CASE WHEN id % 7 = 0 THEN '' ELSE 'Guatemala' END AS location, "
@@ -116,6 +162,17 @@ def leaf_walk(spark, sf):
     return G.walk_leaves(table(spark, sf, "events").selectExpr("event_id", f"{_DEEP} AS body"), "event_id", "body")
 
 
+@query("leaf_walk_escapes", r"""
+WITH w(p, t) AS (VALUES ('$.<key>', 'z'), ('$.<key>', 'b'), ('$.b.<key>', 'c'), ('$.b.c.<key>', 'd'), ('$.b.c.d.<key>', 'k'))
+SELECT event_id, p AS path, t AS text FROM events, w UNION ALL SELECT event_id, '$.b.c.d.k', props->>'k' FROM events
+UNION ALL SELECT event_id, '$.z', '"}}" {' || CAST(event_id AS VARCHAR) FROM events
+""")
+def leaf_walk_escapes(spark, sf):
+    """Bodies whose texts hold escaped quotes and braces."""
+    body = F.concat(F.lit(r'{"z":"\"}}\" {'), F.col("event_id").cast("string"), F.lit('","b":{"c":{"d":'), F.col("props"), F.lit("}}}"))
+    return G.walk_leaves(table(spark, sf, "events").select("event_id", body.alias("body")), "event_id", "body")
+
+
 @query("leaf_gate_a", f"""
 WITH {PROFILES} SELECT id, contact < 2 AS blocked, CASE WHEN contact < 2 THEN '$.a.b[1].contact' END AS blocked_path FROM profiles
 """)
@@ -331,25 +388,72 @@ def redaction_idempotent(spark, sf):
     return twice.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("r1") != F.col("r2")).alias("changed"))
 
 
-@query("redacted_achievements_b", f"""
+_REDACTED_B = f"""
 WITH {PROFILES} SELECT id, 'Lideré un equipo de ' || CAST(k % 9 + 2 AS STRING) || ' personas. Hoy gano ' || CASE WHEN form = 6 THEN salary_text ELSE '[MONTO]' END || ' y me va bien. Contacto: ' ||
  CASE contact WHEN 0 THEN '[CORREO]' WHEN 1 THEN '[TELÉFONO]' WHEN 3 THEN 'mi jefe, Carlos Pérez' ELSE contact_text END || '. En ' || CASE WHEN alias IN ('Banco Industrial', 'Pantaleon', 'TIGO') THEN '[EMPLEADOR_ACTUAL]'
  WHEN alias = 'Cerveceria Centroamericana' THEN '[EMPLEADOR_ACTUAL]' ELSE alias END || ' aprendí mucho. Reduje costos 12 %.' AS redacted FROM profiles
-""")
+"""
+
+
+@query("redacted_achievements_b", _REDACTED_B)
 def redacted_achievements_b(spark, sf):
     p = profiles(spark, sf).withColumn("amounts", F.array("current_salary"))
     return R.redact_b(p, "achievements", "redacted", "employer", "amounts").select("id", "redacted")
 
 
-@query("redacted_achievements_a", f"""
+_REDACTED_A = f"""
 WITH {PROFILES} SELECT id, 'Lideré un equipo de ' || CAST(k % 9 + 2 AS STRING) || ' personas. Hoy gano ' || CASE WHEN form = 6 THEN salary_text ELSE '[monto]' END || ' y me va bien. Contacto: ' ||
  CASE contact WHEN 0 THEN '[correo]' WHEN 1 THEN '[teléfono]' WHEN 3 THEN 'mi jefe, Carlos Pérez' ELSE contact_text END || '. En ' || CASE WHEN alias IN ('Banco Industrial', 'Cerveceria Centroamericana') OR alias = 'XelajuTech' THEN '[empleador actual]' ELSE alias END || ' aprendí mucho. Reduje costos 12 %.' AS redacted FROM profiles
-""")
+"""
+
+
+@query("redacted_achievements_a", _REDACTED_A)
 def redacted_achievements_a(spark, sf):
     p = profiles(spark, sf).withColumn("amounts", F.array("current_salary", "desired_salary"))
     return R.redact_a(p, "achievements", "redacted", "employer", "amounts").select("id", "redacted")
 
 
+# ------------------------------------------------------------------ rules from a table
+
+CASE_RULE = ("case_file", "case_file", r"(?<![\p{L}\p{N}])EXP-\d{4,6}(?!\d)", 2, "[EXPEDIENTE]", "has EXP-")
+_SEE = "' Ver EXP-' || lpad(CAST(k AS STRING), 6, '0') || ' y EXP-7.'"
+_SEEN = "' Ver [EXPEDIENTE] y EXP-7.'"
+
+
+def _with_case_files(spark, sf, variant):
+    """Profiles whose achievements name a case file, and the built-in rules of a variant with one more kind."""
+    own = spark.createDataFrame([CASE_RULE], P.SCHEMA)
+    pack = P.load(P.builtin(spark, variant).unionByName(own), variant)
+    seen = raw_profiles(spark, sf).selectExpr("id", f"{_SEE} AS see")
+    return profiles(spark, sf).join(seen, "id").withColumn("achievements", F.concat("achievements", "see")), pack
+
+
+@query("rule_pack_a", f"SELECT id, redacted || seen AS redacted FROM ({_REDACTED_A}) JOIN (WITH {PROFILES} SELECT id, {_SEEN} AS seen FROM profiles) USING (id)")
+def rule_pack_a(spark, sf):
+    """Variant A's rules from a table with a kind of the user's own."""
+    p, pack = _with_case_files(spark, sf, "A")
+    p = p.withColumn("amounts", F.array("current_salary", "desired_salary"))
+    return P.redact(p, "achievements", "redacted", pack, employer="employer", amounts="amounts").select("id", "redacted")
+
+
+@query("rule_pack_b", f"SELECT id, redacted || seen AS redacted FROM ({_REDACTED_B}) JOIN (WITH {PROFILES} SELECT id, {_SEEN} AS seen FROM profiles) USING (id)")
+def rule_pack_b(spark, sf):
+    p, pack = _with_case_files(spark, sf, "B")
+    p = p.withColumn("amounts", F.array("current_salary"))
+    return P.redact(p, "achievements", "redacted", pack, employer="employer", amounts="amounts").select("id", "redacted")
+
+
+@query("rule_pack_c", f"""
+WITH {PROFILES} SELECT id, 'Escribe a [CORREO] o llama al [TELÉFONO]. DPI [DPI], NIT: [NIT]. Gano [SALARIO] al mes. Soy {{{{NOMBRE}}}}, mi jefe, [PERSONA].' || {_SEEN} AS redacted FROM profiles
+""")
+def rule_pack_c(spark, sf):
+    """Variant C's rules from a table: contact data, identifiers, pay, people, the user's own kind."""
+    p = raw_profiles(spark, sf).selectExpr(
+        "id", "name", "'Escribe a u' || CAST(k AS STRING) || '@correo.com o llama al ' || phone || '. DPI 2345 67890 0101, NIT: 1234567-8. Gano Q' || CAST(cur AS STRING) || ' al mes. Soy ' || name || ', mi jefe, Carlos Pérez.' || " + _SEE + " AS text")
+    pack = P.load(P.builtin(spark, "C").unionByName(spark.createDataFrame([CASE_RULE], P.SCHEMA)), "C")
+    return P.redact(p, "text", "redacted", pack, own_name="name").select("id", "redacted")
+
+
 @query("humanized_text", f"""
 WITH {PROFILES} SELECT id, regexp_replace(CASE WHEN id % 2 = 0 THEN 'earned ' || 'a significant amount' || ' at ' || 'my current employer' ELSE 'gané un monto significativo en mi empleador actual' END || '  fin ', '[ \\t]{{2,}}', ' ', 'g') AS text FROM profiles
 """)
