@@ -215,11 +215,12 @@ def _rule_stage(d: DataFrame, make_rule, work: str):
     """One rule on the current text: frame, its spans, and the name of the text masked for the next rule."""
     nxt, fo, found = S.tmp("w"), S.tmp("fold"), S.tmp("found")
     rule = make_rule(work, fo)
+    d = d.select("*", fold(F.col(work)).alias(fo))  # pruned where the rule does not read it
     if isinstance(rule.pattern, str) and not (rule.keep or rule.make or rule.text):
         guard = F.lit(True) if rule.guard is None else rule.guard
         d, (s,) = S.with_spans(d, work, [rule], [found])
-        return d.select("*", F.when(guard, S.mask(F.col(work), rule.pattern)).otherwise(F.col(work)).alias(nxt)).drop(work), s, nxt
-    d, (s,) = S.with_spans(d.select("*", fold(F.col(work)).alias(fo)), work, [rule], [found])
+        return d.select("*", F.when(guard, S.mask(F.col(work), rule.pattern)).otherwise(F.col(work)).alias(nxt)).drop(work, fo), s, nxt
+    d, (s,) = S.with_spans(d, work, [rule], [found])
     d = d.select("*", F.coalesce(F.col(s), S.empty()).alias(s + "f")).drop(s, fo)
     return S.apply_tags(d, work, s + "f", nxt, _filler).drop(work), s + "f", nxt
 
