@@ -56,7 +56,9 @@ def test_long_pre_token(own, library):
 def test_piece_encoder_equals_library():
     texts = odd_texts()
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    assert added
+    texts = texts + [f"x {added[0]} y", added[0], f"a{added[0]}b  c\n{added[-1]} d e", f"plain words then {added[0]}."]
     enc = orcids.PieceEncoder(JSON, limit=200)
     got = [x for i in range(0, len(texts), 100) for x in enc.encode(texts[i : i + 100])]
     for t, raw in zip(texts, got):
@@ -65,7 +67,6 @@ def test_piece_encoder_equals_library():
 
 def brute_orc(docs):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     out, at = [], 0
     for i, t in docs:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]

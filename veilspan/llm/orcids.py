@@ -32,13 +32,13 @@ SIGNS = ",.;:!?"
 class PieceEncoder:
     """The tokenizers library, asked once for every piece between lone blanks and remembered in two
     bounded generations. Such a blank always begins a new pre-token, so the pieces' ids put together are
-    the text's; texts with other blank runs go to the library whole."""
+    the text's; texts with other blank runs, or with the literal of an added token, go to the library whole."""
 
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()  # a token's characters stand for a byte each
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -73,7 +73,8 @@ class PieceEncoder:
             self.tails = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        literal = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        parts = [[""] if i in literal else t.split(" ") for i, t in enumerate(texts)]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         here = {p for x in parts for p in x[1:]} - self.young.keys()
@@ -81,7 +82,7 @@ class PieceEncoder:
         self.young.update((p, self.old[p]) for p in kept)
         beside = {p for p in here - kept if beside_blank(p)}
         self.learn(here - kept - beside)
-        odd = [i for i, x in enumerate(parts) if not beside.isdisjoint(x[1:]) or (len(x) > 1 and x[0] and x[0][-1].isspace())]
+        odd = [i for i, x in enumerate(parts) if i in literal or not beside.isdisjoint(x[1:]) or (len(x) > 1 and x[0] and x[0][-1].isspace())]
         whole = dict(zip(odd, self.ask([texts[i] for i in odd])))
         heads = list({x[0] for x in parts})
         first = dict(zip(heads, self.ask(heads)))
