@@ -64,12 +64,13 @@ def test_mixing_keeps_columns_and_order(spark):
 
 def test_templates_generalise_variable_fields(spark):
     names = "ana bob cyd dan eva fay gil hal".split()
-    docs = [(i, f"own line of text number alpha {n}\nlogged in user {n} from the main office in town\npage {i} of 90") for i, n in enumerate(names)]
+    docs = [(i, f"one field too many {n} {n[::-1]}\nlogged in user {n} from the main office in town\npage {i} of 90") for i, n in enumerate(names)]
     got = {r.doc_id: r for r in linedrop.drop_recurring(edge.plain(spark, docs), min_docs=5).collect()}
-    # the fourth token differs everywhere: a variable field found from the leaf; digits are variable from the start
+    # the fourth token differs everywhere: a variable field found from the leaf; digits are variable from the start;
+    # two fields in six tokens are over the fifth that may vary
     assert got[0].text == docs[0][1] and got[0].lines_dropped == 0
     for i, n in enumerate(names[1:], 1):
-        assert got[i].text == f"own line of text number alpha {n}" and got[i].lines_dropped == 2
+        assert got[i].text == f"one field too many {n} {n[::-1]}" and got[i].lines_dropped == 2
 
 
 def test_too_short_or_too_rare_lines_stay(spark):
@@ -77,6 +78,29 @@ def test_too_short_or_too_rare_lines_stay(spark):
     assert all(r.lines_dropped == 0 for r in linedrop.drop_recurring(edge.plain(spark, docs), min_docs=5).collect())
 
 
+def test_one_document_counts_once(spark):
+    own = "\n".join(f"the section about {w} was reviewed by the whole board today" for w in "alpha beta gamma delta epsilon zeta".split())
+    docs = [(0, own), (1, "an unrelated text"), (2, own.split("\n")[0]), (3, own.split("\n")[1])]
+    got = linedrop.drop_recurring(edge.plain(spark, docs)).collect()
+    assert {r.doc_id: r.text for r in got} == dict(docs) and all(r.lines_dropped == 0 for r in got)
+    more = docs + [(i, f"the section about {w} was reviewed by the whole board today") for i, w in enumerate("eta theta iota".split(), 4)]
+    kept = {r.doc_id: r.text for r in linedrop.drop_recurring(edge.plain(spark, more)).collect()}
+    assert kept == {0: own.split("\n")[0], 1: "an unrelated text", **{i: "" for i in range(2, 7)}}
+
+
+@pytest.mark.parametrize("n", [500, 50_000])
+def test_a_template_recurs_alike_at_every_size(spark, n):
+    name = "translate(cast(pmod(xxhash64(id, {}), 1000) AS string), '0123456789', 'abcdefghij')"
+    line = f"concat('posted by ', {name.format(1)}, ' on behalf of the council from ', {name.format(2)}, ' and filed with it')"
+    df = spark.range(n).selectExpr("id AS doc_id", f"{line} AS text")
+    assert linedrop.drop_recurring(df).where("lines_dropped = 1").count() == n - 1
+
+
+def test_short_lines_are_generalised(spark):
+    docs = [(i, f"posted by {w} in lima") for i, w in enumerate("ana bob cyd dan eva".split())]
+    assert sum(r.lines_dropped for r in linedrop.drop_recurring(edge.plain(spark, docs)).collect()) == 4
+
+
 def test_lines_on_awkward_rows(spark):
     df = edge.table(spark)
     got = linedrop.drop_recurring(df, min_docs=2)
