@@ -1,6 +1,8 @@
 """The trained operators: held-out accuracy, awkward rows, nothing to learn from."""
+import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -80,3 +82,14 @@ def test_every_language_tag_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langkernel.score(docs, langkernel.fit(docs)).collect()}
     assert {got[i] for i, _, _ in rows} == {f"t{i:02d}" for i in range(80)}
+
+
+def test_no_language_with_enough_texts_is_left_out_of_the_thresholds():
+    word = ["".join(c) for c in itertools.islice(itertools.product("abcdefg", repeat=5), 0, 4100, 100)]
+    texts = [toxicity.parts_of([word[i]]) for i in range(41) for _ in range(15 if i < 40 else 3)]
+    tags = [f"t{i}" for i in range(41) for _ in range(15 if i < 40 else 3)]
+    net = toxicity.train(texts, np.arange(len(tags)) % 2, epochs=1)
+    toxicity.learn_languages(net, texts, tags)
+    assert sorted(net.languages) == sorted(["", *(f"t{i}" for i in range(40))])
+    scorer = toxicity.Scorer(net)
+    assert [scorer.raw(word[i])[1] for i in range(41)] == [f"t{i}" for i in range(40)] + [""]
