@@ -2,6 +2,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from oracle_check import compare, connect
 
@@ -38,6 +39,24 @@ def test_hot_text_over_many_partitions(spark):
     assert got[0].group_size == 200 and got[0].keep_id == 597 and not got[0].kept and got[597].kept and got[1].kept
 
 
+def test_every_level_is_sorted_runs(spark):
+    df = edge.plain(spark, [(i, "same" if i % 3 == 0 else f"t{i % 50}") for i in range(600)]).repartition(17)
+    for level in exactdedup.levels(df, fan_in=3):
+        got = level.selectExpr("spark_partition_id() AS part", "monotonically_increasing_id() AS at", "*").collect()
+        runs = [(r.part, r.shard, r.node, bytes(r.digest), r.n_bytes, r.check) for r in sorted(got, key=lambda r: (r.part, r["at"]))]
+        assert runs == sorted(set(runs)) and sum(r.n for r in got) == 600
+    assert len({r[1:3] for r in runs}) == len({r[1] for r in runs}) and len(runs) == len({"same" if i % 3 == 0 else f"t{i % 50}" for i in range(600)})
+
+
+def test_a_run_goes_on_over_batches():
+    entries = [(0, 0, bytes([i // 5]), 1, i // 5, i, 1) for i in range(23)]
+    schema = pa.schema([("shard", pa.int32()), ("node", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int32()), ("check", pa.int64()), ("best", pa.int64()), ("n", pa.int64())])
+    for size in (1, 2, 3, 7, 23):
+        cut = [pa.RecordBatch.from_pylist([dict(zip(schema.names, e)) for e in entries[i : i + size]], schema=schema) for i in range(0, 23, size)]
+        got = [tuple(r.values()) for b in exactdedup.folded(cut + [cut[0].slice(0, 0)]) for r in b.to_pylist()]
+        assert got == [(0, 0, bytes([k]), 1, k, 5 * k, 5 if k < 4 else 3) for k in range(5)]
+
+
 def test_empty_tables(spark):
     none = edge.table(spark, [])
     assert exactdedup.exact_groups(none).collect() == []
