@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "calls", "people", "facts")
+MODULES = ("texts", "calls", "people", "facts", "tables")
 
 
 def load_all() -> None:
