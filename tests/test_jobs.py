@@ -132,7 +132,8 @@ def test_requirements_quality(spark):
 
 
 def _event(call, seq, second, type_, **kw):
-    return json.dumps({"call": call, "seq": seq, "ts": f"2026-01-01T00:00:{second:02d}Z", "type": type_, **kw})
+    ts = f"2026-01-{1 + second // 86400:02d}T{second // 3600 % 24:02d}:{second // 60 % 60:02d}:{second % 60:02d}Z"
+    return json.dumps({"call": call, "seq": seq, "ts": ts, "type": type_, **kw})
 
 
 def test_event_stream_folds_like_the_batch(spark, tmp_path):
@@ -154,6 +155,47 @@ def test_event_stream_folds_like_the_batch(spark, tmp_path):
     assert not got["b"]["ok"]
 
 
+def _run(spark, src, out, name, lines):
+    (src / name).write_text("\n".join(lines))
+    d = ST.fold_calls_by_state(ST.read_event_lines(spark, str(src)))
+    q = d.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", f"{out}-cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return [r.asDict() for r in spark.read.parquet(str(out)).collect()]
+
+
+def test_a_silent_call_is_one_row_and_late_events_are_counted(spark, tmp_path):
+    src, out, h = tmp_path / "in", tmp_path / "out", 3600
+    src.mkdir()
+    a = [_event("a", 0, 0, "status", phase="generating"), _event("a", 2, h, "delta", text="la"), _event("a", 1, 2, "delta", text="Ho")]
+    open_call = [_event("c", 0, 5, "delta", text="no end")]
+    assert _run(spark, src, out, "1.txt", a + open_call) == []  # an hour of silence closes nothing
+    end = [_event("a", 3, 2 * h, "done", content="", stats={"eval_count": 20, "eval_duration_ms": 2000}), _event("a", 4, 2 * h + 9, "delta", text="!"), _event("b", 0, 2 * h, "error", message="x")]
+    got = {r["call"]: r for r in _run(spark, src, out, "2.txt", end + [_event("z", 0, 2 * h + 300, "status")])}
+    assert set(got) == {"a", "b"} and got["b"]["ok"] is False
+    batch = {r["call"]: r.asDict() for r in ST.fold_calls(ST.parse_event_lines(spark.createDataFrame([(x,) for x in a + end[:1] + end[2:]], "value string"))).collect()}
+    for call in "ab":
+        assert {k: got[call][k] for k in batch[call]} == batch[call]
+        assert got[call]["kind"] == "call" and got[call]["after_end"] == (1 if call == "a" else 0)
+    _run(spark, src, out, "3.txt", [_event("a", 5, 2 * h + 400, "delta", text="?"), _event("a", 6, 2 * h + 401, "delta", text="?")])
+    rows = _run(spark, src, out, "4.txt", [_event("y", 0, 4 * h, "status")])
+    assert sorted((r["call"], r["kind"], r["after_end"]) for r in rows) == [("a", "call", 1), ("a", "late", 2), ("b", "call", 0)]
+    rows = _run(spark, src, out, "5.txt", [_event("y", 1, 30 * h, "status")])
+    (never,) = [r for r in rows if r["call"] == "c"]
+    assert never["content"] == "no end" and never["ok"] and never["total_ms"] == 0 and sum(r["call"] == "a" for r in rows) == 2
+
+
+def test_rows_that_change_sides_on_a_rerun(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "t.txt").write_text("one\ntwo\n")
+    sides = [str(tmp_path / "sent"), str(tmp_path / "held")]
+    for n, cond in enumerate(["value = 'one'", "false", "true", "nullif(value, 'one') <> 'two'"]):  # each run is batch 0 again
+        s = spark.readStream.text(str(src)).selectExpr("value", f"{cond} AS blocked")
+        ST.split_sinks(s, "blocked", *sides, str(tmp_path / f"cp{n}")).awaitTermination(120)
+        sent, held = ([r["value"] for r in spark.read.parquet(p).collect()] for p in sides)
+        assert (sorted(sent), sorted(held)) == [(["two"], ["one"]), (["one", "two"], []), ([], ["one", "two"]), (["two"], ["one"])][n]
+
+
 def test_continuous_redaction_splits_sinks(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
