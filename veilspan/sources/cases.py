@@ -124,6 +124,25 @@ def rescore(calls: DataFrame, inputs: DataFrame) -> DataFrame:
     )
 
 
+def with_unit(calls: DataFrame, inputs: DataFrame, version: str) -> DataFrame:
+    """Successful calls with `unit`: a digest of the call, its output, the whole input record and the version of the rules."""
+    record = inputs.select(F.col("id").alias("_id"), F.sha2(F.to_json(F.struct(*inputs.columns)), 256).alias("_record"))
+    own = F.to_json(F.struct("model", "input", "task", "run", "content", "_record", F.lit(version).alias("version")))
+    return calls.where("ok").join(record, F.col("input") == F.col("_id")).select(*calls.columns, F.sha2(own, 256).alias("unit"))
+
+
+def rescore_changed(calls: DataFrame, inputs: DataFrame, stored: DataFrame, version: str) -> DataFrame:
+    """The scores of all successful calls: those in `stored` (a former result of this function) whose unit is unchanged, and
+    new ones for the rest. `state` tells `kept` from `rescored`; units that are gone are left out, of equal units one stays.
+
+    Only digests meet the stored scores, and only calls without one are scored."""
+    cols = ["unit", "model", "input", "task", "run", "note_quality", "requirements_quality"]
+    now = with_unit(calls, inputs, version).dropDuplicates(["unit"])
+    kept = stored.select(*cols).dropDuplicates(["unit"]).join(now.select("unit"), "unit", "left_semi")
+    todo = now.join(stored.select("unit"), "unit", "left_anti")
+    return kept.withColumn("state", F.lit("kept")).unionByName(rescore(todo, inputs).select(*cols).withColumn("state", F.lit("rescored")))
+
+
 def write_results(df: DataFrame, path: str, run_date: str, fmt: str = "parquet") -> None:
     """Append one run under its date partition; a repeated run of a date replaces only that date."""
     (
