@@ -21,9 +21,12 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), one on this machine."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, one on this machine if the session runs on this machine
+    alone (tests); on a cluster that is an error, since executors could not see it."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="veilspan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{what}-{uuid.uuid4().hex}"
