@@ -142,3 +142,26 @@ def test_band_keys_of_unrelated_sets_differ():
     rng = np.random.default_rng(7)
     keys = np.concatenate([setsketch.band_keys(setsketch.registers(rng.integers(0, 1 << 63, 300).astype(np.uint64))) for _ in range(400)])
     assert len(np.unique(keys)) == len(keys)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_differences_from_the_head_lose_no_pair(spark, percent):
+    """Members around a head, half of their changes from a small pool: all alike pairs of different labels are found."""
+    rnd = random.Random(percent)
+    like = alike(percent)
+    head = frozenset(range(200))
+    pools = [(rnd.sample(range(200), 40), rnd.sample(range(1000, 1060), 40)) for _ in range(3)]
+    sets = {0: head}
+    for node in range(1, 150):
+        gone, come = pools[node % 3]
+        out = rnd.sample(gone, rnd.randint(0, 25)) + rnd.sample(range(200), rnd.randint(0, 4))
+        sets[node] = (head - set(out)) | set(rnd.sample(come, rnd.randint(0, 25))) | {rnd.randrange(10**6, 10**9) for _ in range(rnd.randint(0, 5))}
+    label = {n: 0 if like(s, head) else n for n, s in sets.items()}
+    outside = [n for n in sets if label[n]]
+    label |= {n: outside[0] for n in outside[:10]}
+    members = spark.createDataFrame([(0, n, len(s), label[n]) for n, s in sets.items()], "head long, node long, n long, label long")
+    table = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, set array<long>")
+    found = {tuple(r) for r in setsketch.across(setsketch.differing(members, table, percent), percent, None)[0].collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and label[a] != label[b] and like(sets[a], sets[b])}
+    every = {(a, b) for a in sets for b in sets if a < b and label[a] != label[b]}
+    assert len(want) > 20 and want <= found and len(found) < len(every) * 0.8

@@ -181,16 +181,22 @@ def stars(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def across(entries: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
     """For entries (key, node, n, label): pairs (a, b) of a bucket whose labels differ, and the keys of crowded buckets (more
     than `most` nodes outside the commonest label), whose pairs are not given. One of the two is outside the commonest
-    label, so a large component is never paired with itself."""
+    label, so a large component is never paired with itself. Entries of `differing` also bring (d, at): a pair whose
+    differences can't share enough from these places on is no candidate here."""
     by = entries.groupBy("key", "label").agg(F.count("*").alias("rows"))
     of = by.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("common"), (F.sum("rows") - F.max("rows")).alias("others")).where("others > 0")
     of = written(of, "sketch-buckets")
     fit = of if most is None else of.where(F.col("others") <= most)
     all_rows = entries.join(fit.select("key", "common"), "key")
-    few = all_rows.where("label <> common").select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-    many = all_rows.select("key", "common", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
+    own = [c for c in entries.columns if c != "key"]
+    few = all_rows.where("label <> common").select("key", *[F.col(c).alias("x" if c == "node" else f"x_{c}") for c in own])
+    many = all_rows.select("key", "common", *[F.col(c).alias("y" if c == "node" else f"y_{c}") for c in own])
     once = (F.col("y_label") == F.col("common")) | (F.col("x") < F.col("y"))
-    pairs = few.join(many, "key").where((F.col("x_label") != F.col("y_label")) & once & alike(F.col("x_n"), F.col("y_n"), percent))
+    met = (F.col("x_label") != F.col("y_label")) & once & alike(F.col("x_n"), F.col("y_n"), percent)
+    if "at" in own:
+        left = F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
+        met &= 2 * left * (100 + percent) >= (F.col("x_d") + F.col("y_d")) * (100 + percent) - (F.col("x_n") + F.col("y_n")) * (100 - percent)
+    pairs = few.join(many, "key").where(met)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), of.join(fit, "key", "left_anti").select("key")
 
 
@@ -208,14 +214,27 @@ def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int)
     return written(texts.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "sketch-sets")
 
 
-def differing(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """For (head, node, n, label): entries under each shingle that only one of head and node has. Of two nodes that
-    are alike, with one of them not alike to the head, both differ from the head in some same shingle: else their
-    difference were the sum of their differences from the head, and that of one alone is too much."""
+def differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For (head, node, n, label): entries under the shingles that only one of head and node has, with their number d and
+    each one's place `at` among them, rarest first.
+
+    Two nodes differ in d_x + d_y - 2s shingles, s of which both differ from the head in; that they are alike asks for a
+    least s. The first place they share then leaves s places in both lists (`across`). Of two nodes of different
+    components one is not alike to the head, so s is more than half of d_y + c(n_head - n_y), c = (100 - percent) / (100 +
+    percent): members of the head's own component are entered only under the places that leave as many. No link is lost."""
     s, t = sets.toDF("node", "set"), sets.toDF("head", "head_set")
+    home = members.where("head = node").select("head", F.col("label").alias("home"))
     either = F.array_union(F.array_except("set", "head_set"), F.array_except("head_set", "set"))
-    apart = members.join(s, "node").join(t, "head").select("head", "node", "n", "label", F.explode(either).alias("shingle"))
-    return apart.select(F.xxhash64("head", "shingle").alias("key"), "node", "n", "label")
+    own = ["head", "node", "n", "label", "head_n", "inside"]
+    apart = members.join(home, "head").join(s, "node").join(t, "head").select(
+        "head", "node", "n", "label", F.size("head_set").cast("long").alias("head_n"), (F.col("label") == F.col("home")).alias("inside"), F.explode(either).alias("shingle"))
+    apart = written(apart.select(*own, F.xxhash64("head", "shingle").alias("key")), "sketch-apart")
+    often = apart.groupBy("key").agg(F.count("*").alias("often"))
+    # one node's own shingles, never more than two sets hold
+    ranked = apart.join(often, "key").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    placed = ranked.select(*own, F.size("keys").cast("long").alias("d"), F.posexplode("keys").alias("at", "k"))
+    left = 2 * (F.col("d") - F.col("at")) * (100 + percent) > F.col("d") * (100 + percent) + (F.col("head_n") - F.col("n")) * (100 - percent)
+    return placed.where(~F.col("inside") | left).select(F.col("k.key").alias("key"), "node", "n", "label", "d", F.col("at").cast("long").alias("at"))
 
 
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -254,7 +273,7 @@ def groups(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     if not crowded.isEmpty():
         members = written(entries.join(crowded, "key", "left_semi").select("head", "node", "n", "label").distinct(), "sketch-members")
         some = members.select("node").union(members.select("head")).distinct()
-        split = written(differing(members, whole_sets(some, nodes, docs, width)), "sketch-differing")
+        split = written(differing(members, whole_sets(some, nodes, docs, width), percent), "sketch-differing")
         rest = rest.unionByName(across(split, percent, None)[0]).distinct()
     far = compared(rest, nodes, docs, width, percent)
     return rows, nodes, components(near.unionByName(far))
