@@ -122,6 +122,31 @@ def criterion_matrix(flags: DataFrame, source: str, criteria: list[str]) -> Data
     )
 
 
+def criterion_rates(flags: DataFrame, source: str, criteria: list[str]) -> DataFrame:
+    """The matrix in long form: (source, criterion, passed, n, rate), the criterion `overall` pooling all of them.
+
+    A NULL flag was not judged and counts nowhere; a criterion without a judged answer has n = 0 and a NULL rate.
+    """
+    counts = [F.struct(F.lit(c).alias("criterion"), F.count_if(F.col(c)).alias("passed"), F.count(F.col(c)).alias("n")) for c in criteria]
+    per = flags.groupBy(source).agg(F.array(*counts).alias("rows"))
+
+    def total(field: str) -> Column:
+        return F.aggregate(F.col("rows")[field], F.lit(0).cast("long"), lambda a, n: a + n).alias(field)
+
+    every = F.concat("rows", F.array(F.struct(F.lit("overall").alias("criterion"), total("passed"), total("n"))))
+    d = per.select(source, F.inline(every))
+    return d.withColumn("rate", F.when(F.col("n") > 0, F.col("passed") / F.col("n")))
+
+
+def case_detail(cases: DataFrame, unit: list[str], source: str, sources: list[str], criteria: list[str], words: str, scores: list[str]) -> DataFrame:
+    """One row per unit; for every source words, criteria passed and the mean of the judge's scores, NULL where it has none."""
+    passed = sum((F.col(c).cast("int") for c in criteria[1:]), F.col(criteria[0]).cast("int"))
+    mean = sum((F.col(c) for c in scores[1:]), F.col(scores[0])) / len(scores)
+    d = cases.select(*unit, source, F.col(words).alias("words"), passed.alias("rules"), mean.alias("judge"))
+    own = [F.max(F.when(F.col(source) == s, F.col(f))).alias(f"{f}_{s}") for s in sources for f in ("words", "rules", "judge")]
+    return d.groupBy(*unit).agg(*own)
+
+
 def token_cost(prompt: Column, output: Column, thoughts: Column) -> Column:
     """Price of summed tokens."""
     return prompt / 1e6 * V.PRICE_IN_PER_M + (output + thoughts) / 1e6 * V.PRICE_OUT_PER_M

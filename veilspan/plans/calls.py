@@ -291,6 +291,42 @@ def case_detail_pivot(spark, sf):
     return p.na.fill(0, ["en", "es", "fr", "de"])
 
 
+_LONG = " UNION ALL ".join(f"SELECT source, '{n}' AS criterion, {c} AS flag FROM judged" for n, c in (("quality", "a"), ("clean", "b"), ("short", "short")))
+
+
+@query("criterion_rates", f"""
+WITH {_RATED}, judged AS (SELECT source, CASE WHEN doc_id % 10 <> 0 THEN a END AS a, b, short FROM rated), f AS ({_LONG}),
+g AS (SELECT source, criterion, count(*) FILTER (WHERE flag) AS passed, count(flag) AS n FROM f GROUP BY source, criterion
+ UNION ALL SELECT source, 'overall', count(*) FILTER (WHERE flag), count(flag) FROM f GROUP BY source)
+SELECT source, criterion, CAST(passed AS BIGINT) AS passed, CAST(n AS BIGINT) AS n, round(CASE WHEN n > 0 THEN passed / n END, 6) AS rate FROM g
+""")
+def criterion_rates(spark, sf):
+    """Pass rate of every source by criterion and over all of them; one answer in ten was not judged for quality."""
+    r = rated(spark, sf).withColumnsRenamed({"a": "quality", "b": "clean"}).withColumn("quality", F.when(F.col("doc_id") % 10 != 0, F.col("quality")))
+    return B.criterion_rates(r, "source", ["quality", "clean", "short"]).withColumn("rate", F.round("rate", 6))
+
+
+_SOURCES = ("local", "nube", "plantilla")
+_DETAIL = ", ".join(f"max(CASE WHEN source = '{s}' THEN {f} END) AS {f}_{s}" for s in _SOURCES for f in ("words", "rules", "judge"))
+
+
+@query("case_detail", f"""
+WITH t AS (SELECT conv_id, CAST(floor(turn / 3) AS BIGINT) AS answer, CASE CAST(turn % 3 AS INT) WHEN 0 THEN 'local' WHEN 1 THEN 'nube' ELSE 'plantilla' END AS source, text, length(text) AS n, turn FROM conversations),
+c AS (SELECT conv_id, answer, source, CAST(len(regexp_extract_all(text, '[^ \t\n\r]+')) AS INT) AS words, CAST(n >= 40 AS INT) + CAST(n <= 400 AS INT) + CAST(ends_with(text, '.') AS INT) AS rules,
+ (n % 5 + 1 + (n + turn) % 5 + 1) / 2 AS judge FROM t)
+SELECT conv_id, answer, {_DETAIL} FROM c GROUP BY conv_id, answer
+""")
+def case_detail(spark, sf):
+    """Every three turns of a conversation as the answers of three sources: words, rules passed and judge mean side by side."""
+    n = F.length("text")
+    source = F.get(F.array(*[F.lit(s) for s in _SOURCES]), (F.col("turn") % 3).cast("int"))
+    t = table(spark, sf, "conversations").select(
+        "conv_id", F.floor(F.col("turn") / 3).alias("answer"), source.alias("source"), F.size(F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r]+"), F.lit(0))).alias("words"),
+        (n >= 40).alias("long_enough"), (n <= 400).alias("short_enough"), F.endswith("text", F.lit(".")).alias("ended"),
+        (n % 5 + 1).alias("tone"), ((n + F.col("turn")) % 5 + 1).alias("fit"))
+    return B.case_detail(t, ["conv_id", "answer"], "source", list(_SOURCES), ["long_enough", "short_enough", "ended"], "words", ["tone", "fit"])
+
+
 PERMS = ", ".join(f"({i}, {p}, '{s}')" for i, perm in enumerate(V.PERMUTATIONS) for p, s in enumerate(perm))
 
 
