@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, cotraining, linedrop, mixing, setsketch
+from veilspan.llm import bpe, cotraining, linedrop, mixing, setsketch, simhash
 from veilspan.llm.common import documents, written
 
 
@@ -26,11 +26,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays.
+    """SimHash: one document of each component of fingerprints within 4 bits stays. An exact check follows: of those that share
+    five-word shingles at Jaccard 0.8 or more one stays, too, since 4 of 64 bits find a twelfth of such pairs.
 
-    Not by SimHash: 4 of 64 bits find a twelfth of the pairs at 0.8 or more, and anchors can't cover the 14 bits that most
-    of them differ in. Candidates come from sketch registers, each is checked on its whole sets."""
-    return setsketch.keep_one(docs, width=5, percent=80)
+    Both name the smallest row of each of their components in all of `docs`; a document stays if both name it, so no two that
+    either links stay together. Only the names travel, the texts are not written in between."""
+    stay = written(simhash.representatives(docs, width=4, bits=4), "simhash-stay")
+    return simhash.only(setsketch.keep_one(docs, width=5, percent=80), stay).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,20 @@ def test_run_equals_its_stages(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert Counter(r.doc_id for r in docs.collect()) == Counter(r.doc_id for r in pipeline.run(spark, SF).collect())
+
+
+def test_near_stage_links_by_fingerprint(spark):
+    """Texts that SimHash links though they share no shingle set at 0.8: same words, the tail of one in another order."""
+    near = dict(importlib.import_module("corpus_pipeline").STAGES)["near-dedup"]
+    word = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(600)]
+    loop = " ".join(word[:40])
+    docs = [(1, loop + " " + loop), (2, " ".join([loop] * 3)), (3, " ".join(word[300:380])), (4, None), (5, "")]
+    prints = [edge.simhash(t) for _, t in docs]
+    links = {(a, b) for a in range(5) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4}
+    kept = {r.doc_id for r in near(spark, edge.plain(spark, docs), "").collect()}
+    assert (4, 3) in links and not any(docs[a][0] in kept and docs[b][0] in kept for a, b in links)
+    # far in shingles, equal in fingerprint: a long run of one shingle outvotes what follows it
+    one = "same " * 400
+    pair = [(1, one + " ".join(word[:150])), (2, one + " ".join(word[200:350]))]
+    assert (edge.simhash(pair[0][1]) ^ edge.simhash(pair[1][1])).bit_count() <= 4
+    assert [r.doc_id for r in near(spark, edge.plain(spark, pair), "").collect()] == [1]

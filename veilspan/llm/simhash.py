@@ -32,6 +32,7 @@ from veilspan.llm.common import column, ids_and_texts, written
 from veilspan.llm.components import components
 
 CHUNK = 1 << 20
+LEAST = -(1 << 63)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 LANE = (256 * np.arange(8, dtype=np.int64))[None, :]
 
@@ -186,12 +187,20 @@ def near_groups(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size", "near")
 
 
-def keep_one(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """The row with the smallest doc_id of every component (of equal ids the one whose text hashes lowest;
-    of rows alike in both, one), with all columns of `docs`. A NULL id counts as the smallest."""
+def representatives(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
+    """(__id, __th) of the row with the smallest doc_id of every component (of equal ids the one whose text hashes lowest). A
+    NULL id counts as the smallest."""
     rows, of = groups(docs, width, bits)
-    least = -(1 << 63)
-    per_fp = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(least)).alias("__id"), F.col("th").alias("__th"))).alias("row"))
-    stay = of.select("fp", "root").join(per_fp, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.__id", "row.__th")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(least)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return keyed.join(stay, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    per_fp = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("__id"), F.col("th").alias("__th"))).alias("row"))
+    return of.select("fp", "root").join(per_fp, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.__id", "row.__th")
+
+
+def only(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of `docs` that `stay` names, repeats included."""
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return keyed.join(stay, ["__id", "__th"], "left_semi")
+
+
+def keep_one(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
+    """The representatives' rows (of rows alike in id and text, one), with all columns of `docs`."""
+    return only(docs, representatives(docs, width, bits)).dropDuplicates(["__id", "__th"]).select(*docs.columns)
