@@ -130,3 +130,14 @@ def test_lines_on_awkward_rows(spark):
     assert [r.text for r in out if r.doc_id == 1] == [None]
     kept = [r.text for r in out if r.text == edge.PROSE * 3]
     assert len(kept) == 1  # the smallest doc_id's line stays
+
+
+def test_lines_after_a_documents_first_count_for_their_tokens(spark):
+    names = "ana bob cyd dan eva fay".split()
+    odd = [" ".join(n[::-1] + c for c in "qwxyz") for n in names]  # every document's first line of the leaf
+    docs = [(i, f"posted by {odd[i]}\nposted by {n} in lima town hall\nposted by {n} in lima town again") for i, n in enumerate(names)]
+    got = {r.doc_id: r.text for r in linedrop.drop_recurring(edge.plain(spark, docs)).collect()}
+    # six documents hold each token that is alike, though two lines of each do
+    assert got == {0: docs[0][1], **{i: f"posted by {odd[i]}" for i in range(1, 6)}}
+    few = [(i, t) for i, t in docs if i < 4]
+    assert {r.doc_id: r.text for r in linedrop.drop_recurring(edge.plain(spark, few)).collect()} == dict(few)
