@@ -7,6 +7,7 @@ from veilspan.functions.regexes import _WS
 from veilspan.functions.text import js_trim, squeeze
 from veilspan.operators import quality as Q
 from veilspan.operators import render as T
+from veilspan.plans import texts as X
 
 PROFILE = "id long, name string, employer string, current_role string, desired_role string, target_company string, years int, achievements string, offer string"
 
@@ -42,3 +43,11 @@ def test_names_and_keywords_against_the_source(spark):
     got = d.select(Q.unknown_names(F.col("l"), F.col("c")).alias("u"), F.transform(Q.keyword_counts(F.col("o")), lambda x: F.concat_ws(":", x["word"], x["less"])).alias("k")).collect()
     assert got[0].u == ["Ñandú"] and got[0].k == ["arboles:-2", "excel:-3", "nandues:-1"] or got[0].k == ["excel:-3", "arboles:-2", "nandues:-1"]
     assert got[1].k == []
+
+
+def test_own_name_reads_two_words_and_folds_the_text_once(spark):
+    texts = ["Ana  Pérez, ANA-PEREZ y ana perez", "uno", "", None, "Á a B", "aa b aa b", "- & xy & xy", "é\nñu É ñu", "uno uno dos", "¡Ñandú! Óscar " * 3]
+    d = X.own_name_hits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    # rows 4 and 8 begin with one word twice
+    assert {r.doc_id: r.hits for r in d.collect()} == {0: 3, 5: 2, 6: 2, 7: 2, 9: 3}
+    assert plan(d).count("regexp_extract_all(") == 1 and plan(d).count("regexp_extract(") <= 4

@@ -311,9 +311,17 @@ FROM t WHERE len(w) >= 2 AND w[1] <> w[2] AND length(w[1] || w[2]) >= 3
 """)
 def own_name_ngram(spark, sf):
     """Occurrences of a declared two-word name: here the first two words of each text."""
-    d = docs(spark, sf, "doc_id", "text")
-    first = F.regexp_extract_all("text", F.lit(V.C_TOKEN), F.lit(0))
-    d = d.select("doc_id", "text", F.slice(first, 1, 2).alias("ab"))
-    d = d.where(F.size("ab") == 2).select("doc_id", "text", F.array_join("ab", " ").alias("name"), D.fold(F.get("ab", F.lit(0))).alias("a"), D.fold(F.get("ab", F.lit(1))).alias("b"))
-    d = d.where((F.col("a") != F.col("b")) & (F.length(F.concat("a", "b")) >= 3))
-    return d.select("doc_id", F.regexp_count(D.fold(F.col("text")), D.own_name_pattern(F.col("name"))).cast("bigint").alias("hits"))
+    return own_name_hits(docs(spark, sf, "doc_id", "text"))
+
+
+_OTHER = V.C_TOKEN.replace("[", "[^", 1)  # what stands between words
+_FIRST_TWO = rf"\A{_OTHER[:-1]}*+({V.C_TOKEN}+){_OTHER}+({V.C_TOKEN}+)"
+
+
+def own_name_hits(d: DataFrame) -> DataFrame:
+    """(doc_id, hits): a text's first two words are read off its head and staged, so that neither the test nor the pattern cuts the text again."""
+    d = d.select("doc_id", "text", *[F.regexp_extract("text", _FIRST_TWO, i + 1).alias(n) for i, n in enumerate("ab")])
+    a, b = D.fold(F.col("a")), D.fold(F.col("b"))
+    d = keep_rows(d, (F.col("b") != "") & (a != b) & (F.length(F.concat(a, b)) >= 3))
+    d = d.select("doc_id", D.fold(F.col("text")).alias("folded"), D.own_name_pattern(F.concat_ws(" ", "a", "b")).alias("name"))
+    return d.select("doc_id", F.regexp_count("folded", F.col("name")).cast("bigint").alias("hits"))
