@@ -93,3 +93,36 @@ def test_no_language_with_enough_texts_is_left_out_of_the_thresholds():
     assert sorted(net.languages) == sorted(["", *(f"t{i}" for i in range(40))])
     scorer = toxicity.Scorer(net)
     assert [scorer.raw(word[i])[1] for i in range(41)] == [f"t{i}" for i in range(40)] + [""]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Words that only one toxic text in 40 holds, and one behind 120,000 characters: all are learned, in several tasks."""
+    odd = ["".join(c) for c in itertools.islice(itertools.product("bcdfg", repeat=6), 0, 15000, 375)]
+    rows = [(i, f"good day to all {odd[i // 2 % 40] if i % 2 else 'people'} here", "en", i % 2) for i in range(8000)]
+    rows += [(10_000 + i, "a calm word " * 10_000 + "zzyzzyx", "en", 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "cut", lambda table, *a, cut=toxicity.cut: seen.append(table.count()) or cut(table, *a))
+    net = toxicity.fit(docs, marks, epochs=2, per_task=1500)
+    fold = lambda i: __import__("zlib").crc32(str(i).encode()) % 5
+    assert seen == [sum(fold(r[0]) > 1 for r in rows)]
+    scorer = toxicity.Scorer(net)
+    assert all(scorer.score(f"good day {w}") > 0.5 for w in [*odd, "zzyzzyx"]) and scorer.score("good day to all people here") < 0.5
+
+
+def test_long_texts_are_cut_for_training_without_a_change(monkeypatch):
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(0, toxicity.BUCKETS, (n, toxicity.PARTS)) for n in (0, 1, 2, 7, 40, 41)]
+    state = toxicity.start(rnd.normal(0, 1, toxicity.BUCKETS))
+    whole, under = toxicity.strongest(state, texts)
+    for row, ids in enumerate(texts[1:], 1):
+        pad = np.full((2, toxicity.PARTS), toxicity.PAD)
+        x = state.emb[np.concatenate([pad, ids, pad])].sum(axis=1)
+        for v, w in enumerate(toxicity.WIDTHS):
+            z = [sum(x[a + j] @ state.params[v][j] for j in range(w)) for a in range(3 - w, len(ids) + 2)]
+            assert np.allclose(np.max(z, axis=0), whole[row, v * toxicity.FILTERS : (v + 1) * toxicity.FILTERS], atol=1e-5)
+    monkeypatch.setattr(toxicity, "STRETCH", 5)
+    monkeypatch.setattr(toxicity, "GROUP", 12)
+    again, there = toxicity.strongest(state, texts)
+    assert np.allclose(whole, again, atol=1e-5) and all((a == b).all() for a, b in zip(under, there))
