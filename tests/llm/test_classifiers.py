@@ -103,7 +103,7 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "cut", lambda table, *a, cut=toxicity.cut: seen.append(table.count()) or cut(table, *a))
+    monkeypatch.setattr(toxicity, "counted", lambda table, counted=toxicity.counted: seen.append(table.count()) or counted(table))
     net = toxicity.fit(docs, marks, epochs=2, per_task=1500)
     fold = lambda i: __import__("zlib").crc32(str(i).encode()) % 5
     assert seen == [sum(fold(r[0]) > 1 for r in rows)]
@@ -116,6 +116,9 @@ def test_long_texts_are_cut_for_training_without_a_change(monkeypatch):
     texts = [rnd.integers(0, toxicity.BUCKETS, (n, toxicity.PARTS)) for n in (0, 1, 2, 7, 40, 41)]
     state = toxicity.start(rnd.normal(0, 1, toxicity.BUCKETS))
     whole, under = toxicity.strongest(state, texts)
+    scorer = toxicity.Scorer(state.network())
+    logits = [scorer.raw_of(t)[0] for t in texts]
+    assert np.allclose(logits, np.maximum(whole, 0) @ state.params[-2] + state.params[-1], atol=1e-4)
     for row, ids in enumerate(texts[1:], 1):
         pad = np.full((2, toxicity.PARTS), toxicity.PAD)
         x = state.emb[np.concatenate([pad, ids, pad])].sum(axis=1)

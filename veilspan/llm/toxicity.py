@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import column, fold_of, held_out, written
+from veilspan.llm.common import column, fold_of, held_out, shared_folder, written
 
 BUCKETS, DIM, FILTERS, WIDTHS, PARTS = 1 << 15, 12, 8, (1, 2, 3), 4
 PAD = BUCKETS  # a zero row around every text
@@ -96,14 +96,32 @@ class Scorer:
         if n_lang:
             own[:, -n_lang:] = self.table[parts[:, 0], -n_lang:]
         seq = own[at]
+        return self.strongest(seq), seq[:, sum(WIDTHS) * FILTERS :].sum(axis=0)
+
+    def strongest(self, seq: np.ndarray) -> np.ndarray:
+        """Every filter's maximum over words whose rows of the table are given."""
         best, c = [], 0
         for width in WIDTHS:
-            padded = np.zeros((len(at) + 2 * (width - 1), width * FILTERS), np.float32)
-            padded[width - 1 : width - 1 + len(at)] = seq[:, c : c + width * FILTERS]
+            padded = np.zeros((len(seq) + 2 * (width - 1), width * FILTERS), np.float32)
+            padded[width - 1 : width - 1 + len(seq)] = seq[:, c : c + width * FILTERS]
             z = sum(padded[j : len(padded) - width + 1 + j, j * FILTERS : (j + 1) * FILTERS] for j in range(width))
             best.append(np.maximum(z.max(axis=0), 0))
             c += width * FILTERS
-        return np.concatenate(best), seq[:, c:].sum(axis=0)
+        return np.concatenate(best)
+
+    def raw_of(self, parts: np.ndarray) -> tuple[float, str | None]:
+        """`raw` of a text that is cut into parts already."""
+        n_lang, edge = len(self.net.languages), max(WIDTHS) - 1
+        best, tongue = np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(n_lang, np.float32)
+        for k in range(0, len(parts), GROUP):
+            some = parts[max(0, k - edge) : k + GROUP]
+            best = np.maximum(best, self.strongest(self.table[some].sum(axis=1)))
+            tongue += self.table[parts[k : k + GROUP, 0], -n_lang:].sum(axis=0) if n_lang else 0
+        return self.judged(best, tongue)
+
+    def judged(self, best: np.ndarray, tongue: np.ndarray) -> tuple[float, str | None]:
+        logit = float(best @ self.net.out + self.net.bias)
+        return logit, self.net.languages[int(tongue.argmax())] if self.net.languages and tongue.any() else None
 
     def raw(self, text: str) -> tuple[float, str | None]:
         best, tongue, carry = np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(len(self.net.languages), np.float32), []
@@ -118,8 +136,7 @@ class Scorer:
             at = stop
             if not text:
                 break
-        logit = float(best @ self.net.out + self.net.bias)
-        return logit, self.net.languages[int(tongue.argmax())] if self.net.languages and tongue.any() else None
+        return self.judged(best, tongue)
 
     def score(self, text: str) -> float:
         logit, tongue = self.raw(text)
@@ -292,18 +309,22 @@ def unpacked(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
     return texts, np.array(column(batch, "class"), int)
 
 
-def cut(rows: DataFrame, per_task: int, most: int) -> DataFrame:
-    """Every row's parts, in about one file for `per_task` rows and at most `most`, in an order that mixes the classes."""
-    n = max(1, min(most, rows.count() // per_task))
+def cut(docs: DataFrame, known: DataFrame, per_task: int, most: int) -> DataFrame:
+    """Parts of every text in `docs` with a class in `known`, in about one file for `per_task` rows and at most `most`, in an order that
+    mixes the classes. Texts travel once: they are dealt by the key that the classes are joined on."""
+    n = max(1, min(most, docs.select("doc_id").join(known, "doc_id").count() // per_task))
 
     def run(batches):
         for b in batches:
             parts = [parts_of(words(t)).astype(np.uint16).tobytes() for t in column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.binary())], names=["class", "lang", "parts"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(parts, pa.binary())], names=["class", "checked", "lang", "parts"])
 
-    mixed = F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("text"))
-    spread = rows.repartition(n, mixed).sortWithinPartitions(mixed, "doc_id")
-    return written(spread.select("class", "lang", "text").mapInArrow(run, "class int, lang string, parts binary"), "toxic-parts")
+    rows = docs.repartition(n, "doc_id").join(known, "doc_id")
+    mixed = rows.sortWithinPartitions(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("text")), "doc_id")
+    table = mixed.select("class", (fold_of(F.col("doc_id")) == 1).alias("checked"), "lang", "text")
+    schema, path = "class int, checked boolean, lang string, parts binary", shared_folder(docs.sparkSession, "toxic-parts")
+    table.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def counted(table: DataFrame) -> DataFrame:
@@ -413,9 +434,10 @@ def calibrate(net: Network, rows: DataFrame, least: int = 15) -> None:
     def run(batches):
         scorer = Scorer(shared.value)
         for b in batches:
-            raw = [scorer.raw(t) for t in column(b, "text")]
+            texts, label = unpacked(b)
+            raw = [scorer.raw_of(p) for p in texts]
             level = [int(round(min(RANGE, max(-RANGE, logit)) * FINE)) for logit, _ in raw]
-            yield pa.RecordBatch.from_arrays([pa.array([t or "" for _, t in raw], pa.string()), pa.array(level, pa.int32()), b.column(0)], names=["tongue", "level", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array([t or "" for _, t in raw], pa.string()), pa.array(level, pa.int32()), pa.array(label, pa.int32())], names=["tongue", "level", "class"])
 
     def threshold(part):
         part = part.sort_values("level")
@@ -423,7 +445,7 @@ def calibrate(net: Network, rows: DataFrame, least: int = 15) -> None:
         best = best_threshold(part["level"].to_numpy() / FINE, clean, toxic)
         return part.iloc[:1][["tongue"]].assign(threshold=best, clean=clean.sum(), toxic=toxic.sum())
 
-    raw = rows.select("class", "text").mapInArrow(run, "tongue string, level int, class int")
+    raw = rows.select("class", "parts").mapInArrow(run, "tongue string, level int, class int")
     grid = raw.groupBy("tongue", "level").agg(F.count_if(F.col("class") == 0).alias("clean"), F.count_if(F.col("class") == 1).alias("toxic"))
     cells = "tongue string, level int, clean long, toxic long"
     grid = written(grid.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in cells.split(", ")]), "toxic-grid")
@@ -440,9 +462,10 @@ def calibrate(net: Network, rows: DataFrame, least: int = 15) -> None:
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = 6, rate: float = 0.01, seed: int = 5, per_task: int = 4000, tasks: int = 128) -> Network | None:
     """On every labelled row outside fold 0, whole texts: fold 1 sets the thresholds, the others train."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("class"))
+    known = known.where(fold_of(F.col("doc_id")) != 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.join(known.where(fold_of(F.col("doc_id")) != 0), "doc_id")
-    table = cut(rows.where(fold_of(F.col("doc_id")) != 1), per_task, tasks)
+    every = cut(rows.where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)), known, per_task, tasks)
+    table = every.where(~F.col("checked"))
     tags = table.groupBy("class", "lang").count().collect()  # two rows for every language
     total = np.array([sum(r["count"] for r in tags if r["class"] == c) for c in (0, 1)])
     if not total.all():
@@ -461,7 +484,7 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 6, rate: float = 0.01,
         state = pass_over(table, state, weights(total), rate, seed + 1 + k)
     net = state.network()
     name_languages(net, texts_of, own)
-    calibrate(net, rows.where(fold_of(F.col("doc_id")) == 1))
+    calibrate(net, every.where("checked"))
     return net
 
 
