@@ -67,6 +67,34 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert got(setsketch.near_groups(edge.plain(spark, data).repartition(5), percent=80)) == brute(data, 80)
 
 
+def test_nodes_of_several_crowded_buckets_come_under_few_heads(spark, monkeypatch):
+    """Near copies of one text, many below the bound: each is compared with about one head, not with one for every bucket."""
+    rnd = random.Random(3)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(150):
+        one = list(base)
+        for at in rnd.sample(range(200), rnd.randint(1, 8)):
+            one[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(one))
+    seen, real = [], setsketch.differing
+    monkeypatch.setattr(setsketch, "CROWDED", 0)
+    monkeypatch.setattr(setsketch, "differing", lambda m, *rest: seen.append((m.count(), m.select("node").distinct().count())) or real(m, *rest))
+    data = list(enumerate(texts))
+    assert got(setsketch.near_groups(edge.plain(spark, data).repartition(5), percent=85)) == brute(data, 85)
+    [(rows, nodes)] = seen
+    assert nodes > 100 and rows < 1.2 * nodes
+
+
+def test_texts_that_no_pair_wants_do_not_travel(spark):
+    data = [(None if i == 7 else i % 900, f"text {i} " * 20) for i in range(1000)]
+    docs = edge.plain(spark, data)
+    rows = setsketch.known(docs).where("id IS NULL OR id IN (3, 44, 500)").selectExpr("id % 2 AS node", "id AS w_id", "th AS w_th")
+    found = {(r.id, r.text) for r in setsketch.marked(docs, rows).select("id", "text").collect()}
+    want = {(i, t) for i, t in data if i in (None, 3, 44, 500)}
+    assert len(want) == 6 and want <= found and len(found) < 12
+    assert setsketch.marked(docs, rows.limit(0)).count() == 0
+
+
 def test_pipeline_stage_keeps_the_first_of_each_group(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     data = sorted((r.doc_id, r.text) for r in docs.collect())

@@ -40,6 +40,7 @@ REGISTERS, BASE, RATE = 256, 1.001, 20.0
 TOP = (1 << 16) - 1
 ROWS, BANDS = 7, 36
 CROWDED = 16
+SLOTS = 1 << 24
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,8 +201,21 @@ def across(entries: DataFrame, percent: int, most: int | None) -> tuple[DataFram
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), of.join(fit, "key", "left_anti").select("key")
 
 
+def marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (id, th, text) of `docs` whose identifier and text hash fall into a slot of one of `rows` (w_id, w_th). The slots
+    are bits of SLOTS / 64 words at most, a table that is broadcast whatever the size of `rows`."""
+
+    def slot(*key: str) -> Column:
+        return F.xxhash64(*key).bitwiseAND(SLOTS - 1)
+
+    taken = rows.select(slot("w_id", "w_th").alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+    taken = taken.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    texts = known(docs).withColumn("slot", slot("id", "th")).withColumn("word", F.shiftright("slot", 6))
+    return texts.join(F.broadcast(taken), "word").where(F.bit_get("bits", F.col("slot").bitwiseAND(63).cast("int")) == 1).select("id", "th", "text")
+
+
 def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, set) of the nodes in `wanted`, each read from its first row's text."""
+    """(node, set) of the nodes in `wanted`, each read from its first row's text. Texts that can't be wanted stay where they are."""
 
     def sets(batches):
         for b in batches:
@@ -210,7 +224,7 @@ def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int)
 
     rows = wanted.join(nodes, "node").select("node", F.col("first.id").alias("w_id"), F.col("first.th").alias("w_th"))
     rows = written(rows, "sketch-wanted")  # where few, its size lets Spark broadcast it
-    texts = known(docs).join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("node", "text")
+    texts = marked(docs, rows).join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("node", "text")
     return written(texts.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "sketch-sets")
 
 
@@ -220,10 +234,11 @@ def differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Two nodes differ in d_x + d_y - 2s shingles, s of which both differ from the head in; that they are alike asks for a
     least s. The first place they share then leaves s places in both lists (`across`). Of two nodes of different
-    components one is not alike to the head, so s is more than half of d_y + c(n_head - n_y), c = (100 - percent) / (100 +
-    percent): members of the head's own component are entered only under the places that leave as many. No link is lost."""
+    components one is not alike to the head (those that are go to the check as pairs with it, `stars` and `gathered`), so s is
+    more than half of d_y + c(n_head - n_y), c = (100 - percent) / (100 + percent): members of the head's own component are
+    entered only under the places that leave as many. No link is lost."""
     s, t = sets.toDF("node", "set"), sets.toDF("head", "head_set")
-    home = members.where("head = node").select("head", F.col("label").alias("home"))
+    home = members.select(F.col("node").alias("head"), F.col("label").alias("home")).distinct()
     either = F.array_union(F.array_except("set", "head_set"), F.array_except("head_set", "set"))
     own = ["head", "node", "n", "label", "head_n", "inside"]
     apart = members.join(home, "head").join(s, "node").join(t, "head").select(
@@ -237,6 +252,18 @@ def differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.where(~F.col("inside") | left).select(F.col("k.key").alias("key"), "node", "n", "label", "d", F.col("at").cast("long").alias("at"))
 
 
+def gathered(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (head, node, n, label) of crowded buckets under fewer heads, and the pairs (a, b) of these heads and their new
+    members. A head's members all go to the head with most members that it has met itself, so nodes that meet in several
+    buckets come under one head instead of one for each, and no two that met are parted."""
+    size = members.groupBy("head").agg(F.count("*").alias("rows"))
+    to = members.join(size, "head").groupBy("node").agg(F.max_by("head", F.struct("rows", "head")).alias("to")).toDF("head", "to")
+    fewer = written(members.join(to, "head").select(F.col("to").alias("head"), "node", "n", "label").distinct(), "sketch-gathered")
+    own = members.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("home")).distinct()
+    pairs = fewer.join(own, "head").where((F.col("label") != F.col("home")) & alike(F.col("n"), F.col("head_n"), percent))
+    return fewer, pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+
+
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the similarity."""
 
@@ -272,9 +299,10 @@ def groups(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     crowded = written(crowded, "sketch-crowded")
     if not crowded.isEmpty():
         members = written(entries.join(crowded, "key", "left_semi").select("head", "node", "n", "label").distinct(), "sketch-members")
+        members, direct = gathered(members, percent)
         some = members.select("node").union(members.select("head")).distinct()
         split = written(differing(members, whole_sets(some, nodes, docs, width), percent), "sketch-differing")
-        rest = rest.unionByName(across(split, percent, None)[0]).distinct()
+        rest = rest.unionByName(direct).unionByName(across(split, percent, None)[0]).distinct()
     far = compared(rest, nodes, docs, width, percent)
     return rows, nodes, components(near.unionByName(far))
 
