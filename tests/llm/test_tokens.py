@@ -65,6 +65,23 @@ def test_piece_encoder_equals_library():
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_remembered_pieces_are_never_listed():
+    """A batch costs its own pieces, however many are remembered."""
+
+    class Remembered(dict):
+        def listed(self):
+            raise AssertionError("all remembered pieces were listed")
+
+        keys = __iter__ = items = values = listed
+
+    enc, tok = orcids.PieceEncoder(JSON), Tokenizer.from_file(JSON)
+    enc.young, enc.old = Remembered(), Remembered()
+    texts = ["one two, three. été", "two three one, naïve?!", " one  two ", "日本 two", "two"]
+    for _ in range(2):
+        for t, raw in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def brute_orc(docs):
     tok = Tokenizer.from_file(JSON)
     out, at = [], 0

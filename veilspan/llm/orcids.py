@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -52,24 +54,26 @@ class PieceEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ask_pieces(self, pieces: list[str], at_once: int = 2000) -> Iterator[bytes]:
-        """Ids of pieces that follow a blank: many in one text, cut apart again by their bytes."""
+        """Ids of pieces that follow a blank and hold none: many in one text, cut apart again by their bytes."""
         for k in range(0, len(pieces), at_once):
-            some = pieces[k : k + at_once]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in some])
+            text = " " + " ".join(pieces[k : k + at_once])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            bytes_of = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            ends = np.append(np.flatnonzero(bytes_of == 32)[1:], len(bytes_of))
             cut = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip([0, *cut], cut))
 
     def learn(self, new: set[str]) -> None:
         """Ask for pieces; signs after a last letter are a pre-token of their own and asked apart."""
-        stems = {p: x for p in new if (x := p.rstrip(SIGNS)) and x != p and x[-1].isalpha()}
-        ask = list(((new - stems.keys()) | set(stems.values())) - self.young.keys())
-        self.young.update(zip(ask, self.ask_pieces(ask)))
-        tails = list({p[len(x) :] for p, x in stems.items()} - self.tails.keys())
-        self.tails.update(zip(tails, self.ask(tails)))
-        self.young.update((p, self.young[x] + self.tails[p[len(x) :]]) for p, x in stems.items())
-        if len(self.tails) > 10_000:
+        young, tails = self.young, self.tails
+        stems = {p: x for p in new if p[-1] in SIGNS and (x := p.rstrip(SIGNS)) and x[-1].isalpha()}
+        ask = [p for p in {*(new - stems.keys()), *stems.values()} if p not in young]
+        young.update(zip(ask, self.ask_pieces(ask)))
+        ends = [t for t in {p[len(x) :] for p, x in stems.items()} if t not in tails]
+        tails.update(zip(ends, self.ask(ends)))
+        young.update((p, young[x] + tails[p[len(x) :]]) for p, x in stems.items())
+        if len(tails) > 10_000:
             self.tails = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -77,16 +81,27 @@ class PieceEncoder:
         parts = [[""] if i in literal else t.split(" ") for i, t in enumerate(texts)]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        here = {p for x in parts for p in x[1:]} - self.young.keys()
-        kept = here & self.old.keys()
-        self.young.update((p, self.old[p]) for p in kept)
-        beside = {p for p in here - kept if beside_blank(p)}
-        self.learn(here - kept - beside)
-        odd = [i for i, x in enumerate(parts) if i in literal or not beside.isdisjoint(x[1:]) or (len(x) > 1 and x[0] and x[0][-1].isspace())]
+        # every piece is looked up once; only those that nobody remembers are looked at again
+        flat = [p for x in parts for p in x[1:]]
+        found = list(map(self.young.get, flat))
+        gaps = list(compress(range(len(flat)), map(not_, found)))
+        new = {flat[k] for k in gaps}
+        kept = {p: ids for p in new if (ids := self.old.get(p)) is not None}
+        self.young.update(kept)
+        beside = {p for p in new if beside_blank(p)}
+        self.learn(new - kept.keys() - beside)
+        bounds = np.cumsum([0, *(len(x) - 1 for x in parts)])
+        odd = literal | {i for i, x in enumerate(parts) if len(x) > 1 and x[0] and x[0][-1].isspace()}
+        if beside:
+            odd.update((np.searchsorted(bounds, [k for k in gaps if flat[k] in beside], "right") - 1).tolist())
+        for k in gaps:
+            found[k] = self.young.get(flat[k])
+        odd = sorted(odd)
         whole = dict(zip(odd, self.ask([texts[i] for i in odd])))
         heads = list({x[0] for x in parts})
         first = dict(zip(heads, self.ask(heads)))
-        return [whole[i] if i in whole else first[x[0]] + b"".join(map(self.young.__getitem__, x[1:])) for i, x in enumerate(parts)]
+        cuts = bounds.tolist()
+        return [whole[i] if i in whole else first[x[0]] + b"".join(found[a:b]) for i, (x, a, b) in enumerate(zip(parts, cuts, cuts[1:]))]
 
 
 @lru_cache(maxsize=1)
