@@ -74,6 +74,21 @@ def test_blocks_do_not_change_a_toxicity_score(monkeypatch):
     assert abs(toxicity.Scorer(net).score(text) - whole) < 1e-6
 
 
+def test_texts_scored_together_score_as_alone(monkeypatch):
+    base = ["good day to all of you", "you vile idiot", "nice words here", "vile and mean idiot"] * 8
+    texts, tags = [toxicity.parts_of(toxicity.words(t)) for t in base], ["en", "de"] * 16
+    net = toxicity.train(texts, np.arange(32) % 2, epochs=2)
+    toxicity.learn_languages(net, texts, tags)
+    net.threshold = {"en": 0.3, "de": -0.2}
+    odd = ["", " ", "1 2 _", "idiot", "Übel ärger", "日本 語", "vile " * 400, *base]
+    monkeypatch.setattr(toxicity, "BLOCK", 900)  # one is read in blocks
+    alone = [toxicity.Scorer(net).score(t) for t in odd]
+    for size in (1, 40, 1 << 19):
+        monkeypatch.setattr(toxicity, "AT_ONCE", size)
+        assert toxicity.Scorer(net).scores(odd) == alone
+    assert toxicity.Scorer(net).scores([]) == []
+
+
 def test_every_language_tag_is_learned(spark):
     """80 tags of a word each, the rarest ones at a tenth of the others: all of them are named."""
     rnd = random.Random(7)

@@ -23,6 +23,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ BUCKETS, DIM, FILTERS, WIDTHS, PARTS = 1 << 15, 12, 8, (1, 2, 3), 4
 PAD = BUCKETS  # a zero row around every text
 BLOCK = 1 << 20  # characters
 WORD = re.compile(r"[^\W\d_]+")
+SIGNS = [zlib.crc32(x) for x in (b"=", b"3", b"4", b"5")]  # what a part's hash begins with: the whole word, its first letters
+AT_ONCE = 1 << 19  # characters of the texts that are scored together
 
 
 class Parts(dict):
@@ -43,8 +47,10 @@ class Parts(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > 200_000:
             self.clear()
-        names = [f"={word}", *(f"{k}{word[:k]}" for k in (3, 4, 5))]
-        self[word] = parts = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names], np.uint32).tobytes()
+        raw = word.encode("utf-8", "surrogatepass")
+        heads = [raw[:k] for k in (3, 4, 5)] if len(raw) == len(word) else [word[:k].encode("utf-8", "surrogatepass") for k in (3, 4, 5)]
+        crcs = [zlib.crc32(x, sign) % BUCKETS for x, sign in zip((raw, *heads), SIGNS)]
+        self[word] = parts = pack("=4I", *crcs)
         return parts
 
 
@@ -59,6 +65,14 @@ def parts_of(tokens: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(map(PARTS_OF.__getitem__, tokens)), np.uint32).reshape(-1, PARTS).astype(np.int64)
 
 
+def summed(table: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The rows of the table that a word's parts name, added up."""
+    out = table.take(parts[:, 0], axis=0)
+    for j in range(1, PARTS):
+        out += table.take(parts[:, j], axis=0)
+    return out
+
+
 @dataclass
 class Network:
     emb: np.ndarray  # (BUCKETS + 1) × DIM
@@ -92,7 +106,7 @@ class Scorer:
         index: dict[str, int] = {}
         at = np.fromiter((index.setdefault(w, len(index)) for w in tokens), np.int64, len(tokens))
         parts = parts_of(list(index))
-        own = self.table[parts].sum(axis=1)
+        own = summed(self.table, parts)
         if n_lang:
             own[:, -n_lang:] = self.table[parts[:, 0], -n_lang:]
         seq = own[at]
@@ -115,7 +129,7 @@ class Scorer:
         best, tongue = np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(n_lang, np.float32)
         for k in range(0, len(parts), GROUP):
             some = parts[max(0, k - edge) : k + GROUP]
-            best = np.maximum(best, self.strongest(self.table[some].sum(axis=1)))
+            best = np.maximum(best, self.strongest(summed(self.table, some)))
             tongue += self.table[parts[k : k + GROUP, 0], -n_lang:].sum(axis=0) if n_lang else 0
         return self.judged(best, tongue)
 
@@ -138,9 +152,52 @@ class Scorer:
                 break
         return self.judged(best, tongue)
 
+    def raw_together(self, texts: list[str]) -> list[tuple[float, str | None]]:
+        """`raw` of several texts of a block at most: two blank rows lie before each, so one pass gives all windows."""
+        tokens = [words(t) for t in texts]
+        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(tokens)), 1)}
+        edge, n_lang, c = max(WIDTHS) - 1, len(self.net.languages), sum(WIDTHS) * FILTERS
+        own = np.zeros((len(index) + 1, self.table.shape[1]), np.float32)  # row 0: blank
+        if index:
+            parts = parts_of(list(index))
+            own[1:] = summed(self.table, parts)
+            own[1:, c:] = self.table[parts[:, 0], c:]
+        begin = np.cumsum([0, *(len(x) + edge for x in tokens)])
+        at = np.zeros(begin[-1] + edge, np.int64)
+        for x, k in zip(tokens, begin.tolist()):
+            at[k + edge : k + edge + len(x)] = list(map(index.__getitem__, x))
+        seq = own[at]
+        windows, k = np.empty((begin[-1], FILTERS * len(WIDTHS)), np.float32), 0
+        for v, width in enumerate(WIDTHS):
+            cols = windows[:, v * FILTERS : (v + 1) * FILTERS]
+            cols[:] = seq[: len(cols), k : k + FILTERS]
+            for j in range(1, width):
+                cols += seq[j : len(cols) + j, k + j * FILTERS : k + (j + 1) * FILTERS]
+            k += width * FILTERS
+        best = np.maximum(np.maximum.reduceat(windows, begin[:-1], axis=0), 0)
+        tongue = [seq[a + edge : b, c:].sum(axis=0) if n_lang and b - a > edge else np.zeros(n_lang, np.float32) for a, b in zip(begin.tolist(), begin[1:].tolist())]
+        return [self.judged(b, t) for b, t in zip(best, tongue)]
+
+    def scores(self, texts: list[str]) -> list[float]:
+        """`score` of many texts: those of a block at most are read in groups of AT_ONCE characters."""
+        out, group, size = np.zeros(len(texts)), [], 0
+        for i, t in enumerate(texts):
+            if len(t) > BLOCK:
+                out[i] = self.score(t)
+                continue
+            group.append(i)
+            size += len(t)
+            if size >= AT_ONCE or len(group) == 1024:
+                out[group], group, size = self.risk(self.raw_together([texts[k] for k in group])), [], 0
+        if group:
+            out[group] = self.risk(self.raw_together([texts[k] for k in group]))
+        return out.tolist()
+
+    def risk(self, raw: list[tuple[float, str | None]]) -> list[float]:
+        return [float(1 / (1 + np.exp(-np.clip(logit - self.net.threshold.get(tongue, self.net.general), -30, 30)))) for logit, tongue in raw]
+
     def score(self, text: str) -> float:
-        logit, tongue = self.raw(text)
-        return float(1 / (1 + np.exp(-np.clip(logit - self.net.threshold.get(tongue, self.net.general), -30, 30))))
+        return self.risk([self.raw(text)])[0]
 
 
 STRETCH, GROUP, CHUNK, BATCH = 8192, 1 << 16, 2048, 32  # words of a stretch and of a group; texts that are mixed, of a step
@@ -227,7 +284,7 @@ def strongest(state: State, texts: list[np.ndarray]) -> tuple[np.ndarray, list[n
     each = np.arange(FILTERS)
     for group in stretches(texts):
         ids = np.concatenate([g[3] for g in group])
-        x = state.emb[ids].sum(axis=1)
+        x = summed(state.emb, ids)
         for v, width in enumerate(WIDTHS):
             cols = slice(v * FILTERS, (v + 1) * FILTERS)
             z = sum(x[j : len(x) - width + 1 + j] @ state.params[v][j] for j in range(width))
@@ -495,7 +552,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value) if shared.value else None
         for b in batches:
-            s = [scorer.score(t or "") if scorer else 0.0 for t in column(b, "text")]
+            s = scorer.scores([t or "" for t in column(b, "text")]) if scorer else [0.0] * b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
