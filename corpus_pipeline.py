@@ -30,9 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     five-word shingles at Jaccard 0.8 or more one stays, too, since 4 of 64 bits find a twelfth of such pairs.
 
     Both name the smallest row of each of their components in all of `docs`; a document stays if both name it, so no two that
-    either links stay together. Only the names travel, the texts are not written in between."""
+    either links stay together. The names meet first, so the texts travel once."""
     stay = written(simhash.representatives(docs, width=4, bits=4), "simhash-stay")
-    return simhash.only(setsketch.keep_one(docs, width=5, percent=80), stay).select(*docs.columns)
+    both = written(setsketch.representatives(docs, width=5, percent=80).join(stay, ["__id", "__th"], "left_semi"), "stay")
+    return simhash.only(docs, both).dropDuplicates(["__id", "__th"]).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,15 @@ def test_near_stage_links_by_fingerprint(spark):
     pair = [(1, one + " ".join(word[:150])), (2, one + " ".join(word[200:350]))]
     assert (edge.simhash(pair[0][1]) ^ edge.simhash(pair[1][1])).bit_count() <= 4
     assert [r.doc_id for r in near(spark, edge.plain(spark, pair), "").collect()] == [1]
+
+
+def test_near_stage_moves_the_texts_once(spark):
+    """No names are broadcast here, as with large tables: one exchange for them and one for the rows."""
+    near = dict(importlib.import_module("corpus_pipeline").STAGES)["near-dedup"]
+    docs = edge.plain(spark, [(i, f"a text of its own {i}") for i in range(20)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = near(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -319,15 +319,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The row with the smallest doc_id of every component (of equal ids the one whose text hashes lowest; of rows alike in
-    both, one), with all columns of `docs`. A NULL id counts as the smallest; rows without words are one component."""
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(__id, __th) of the row with the smallest doc_id of every component (of equal ids the one whose text hashes lowest). A
+    NULL id counts as the smallest; rows without words are one component."""
     rows, nodes, of = groups(docs, width, percent)
-    own = {c: f"__{c}_{len(docs.columns)}" for c in ("id", "th")}
+    row = F.min(F.struct(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"))).alias("row")
+    stay = nodes.join(of.toDF("o_node", "root"), F.col("node") == F.col("o_node"), "left").groupBy(F.coalesce("root", "node")).agg(row)
+    return stay.select(F.coalesce("row.__id", F.lit(LEAST)).alias("__id"), "row.__th")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The representatives' rows (of rows alike in id and text, one), with all columns of `docs`."""
+    stay, own = representatives(docs, width, percent), {c: f"__{c}_{len(docs.columns)}" for c in ("id", "th")}
     while set(own.values()) & set(docs.columns):
         own = {c: f"_{v}" for c, v in own.items()}
-    row = F.min(F.struct(F.col("first.id").alias(own["id"]), F.col("first.th").alias(own["th"]))).alias("row")
-    stay = nodes.join(of.toDF("o_node", "root"), F.col("node") == F.col("o_node"), "left").groupBy(F.coalesce("root", "node")).agg(row).select("row.*")
-    stay = stay.withColumn(own["id"], F.coalesce(own["id"], F.lit(LEAST)))
     keyed = docs.withColumns({own["id"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), own["th"]: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return keyed.join(stay, list(own.values()), "left_semi").dropDuplicates(list(own.values())).select(*docs.columns)
+    return keyed.join(stay.toDF(*own.values()), list(own.values()), "left_semi").dropDuplicates(list(own.values())).select(*docs.columns)
