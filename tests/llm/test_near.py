@@ -54,6 +54,19 @@ def test_linked_equals_all_pairs(spark):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_anchors_are_never_broadcast(spark, monkeypatch):
+    """Spark takes them to be as small as the fingerprints, of which each has some 175."""
+    plans, whole = [], simhash.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return whole(edges)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    simhash.linked(spark.createDataFrame([(i << 20,) for i in range(50)], "fp long"))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_near_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())

@@ -157,16 +157,19 @@ def differing(x: Column, y: Column) -> Column:
 
 
 def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
-    """(fp, root): the component of every distinct fingerprint of `nodes` under links of at most `bits` ≤ 4."""
+    """(fp, root): the component of every distinct fingerprint of `nodes` under links of at most `bits` ≤ 4.
+
+    Spark sizes the anchors' tables like the fingerprints they come from, up to 175 times too low, and would broadcast
+    them; the merge hints make both sides meet by a shuffle at every size."""
     same = nodes.select("fp", F.col("fp").alias("label"))
     homes = at_anchors(same).select("key", "fp")
     least = homes.groupBy("key").agg(F.min("fp").alias("least"))
-    stars = homes.join(least, "key").where((F.col("fp") != F.col("least")) & (differing(F.col("fp"), F.col("least")) <= bits))
+    stars = homes.join(least.hint("merge"), "key").where((F.col("fp") != F.col("least")) & (differing(F.col("fp"), F.col("least")) <= bits))
     near = components(stars.select(F.col("fp").alias("a"), F.col("least").alias("b")))
     labelled = written(nodes.select("fp").join(near, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
     h = at_anchors(labelled).toDF("key", "h_fp", "h_label")
     v = at_anchors(labelled, (3, 2)).toDF("key", "v_fp", "v_label")
-    links = h.join(v, "key").where((F.col("h_fp") < F.col("v_fp")) & (F.col("h_label") != F.col("v_label")) & (differing(F.col("h_fp"), F.col("v_fp")) <= bits))
+    links = h.join(v.hint("merge"), "key").where((F.col("h_fp") < F.col("v_fp")) & (F.col("h_label") != F.col("v_label")) & (differing(F.col("h_fp"), F.col("v_fp")) <= bits))
     far = components(links.select(F.col("h_label").alias("a"), F.col("v_label").alias("b")))
     return labelled.join(far, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("root"))
 
