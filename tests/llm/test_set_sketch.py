@@ -193,3 +193,20 @@ def test_differences_from_the_head_lose_no_pair(spark, percent):
     want = {(a, b) for a in sets for b in sets if a < b and label[a] != label[b] and like(sets[a], sets[b])}
     every = {(a, b) for a in sets for b in sets if a < b and label[a] != label[b]}
     assert len(want) > 20 and want <= found and len(found) < len(every) * 0.8
+
+
+def test_keys_of_sets_are_never_broadcast(spark, monkeypatch):
+    """Spark takes exploded band keys, and the shingles that sets differ in, to be as small as what they come from."""
+    plans, whole = {}, setsketch.written
+
+    def seen(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, what)
+
+    monkeypatch.setattr(setsketch, "written", seen)
+    entries = spark.createDataFrame([(k, n, 9) for k in range(3) for n in range(5)], "key long, node long, n long")
+    setsketch.stars(entries, 80)
+    sets = spark.createDataFrame([(i, [1, 2, 3, 10 + i]) for i in range(5)], "node long, set array<long>")
+    members = spark.createDataFrame([(0, i, 4, i) for i in range(5)], "head long, node long, n long, label long")
+    plans["placed"] = setsketch.differing(members, sets, 80)._jdf.queryExecution().executedPlan().toString()
+    assert all("SortMergeJoin" in plans[p] and "Broadcast" not in plans[p] for p in ("sketch-met", "placed"))

@@ -171,7 +171,8 @@ def stars(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of each bucket's head and its other members, and the entries (key, node, n, head) of buckets with more
     than one node. The head is the member that meets most others over all its buckets: the middle of a group of copies."""
     sizes = entries.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = written(entries.join(sizes, "key"), "sketch-met")
+    # a merge hint where Spark sizes keys like the rows or sets they come from, some ten times too low, and would broadcast them
+    met = written(entries.join(sizes.hint("merge"), "key"), "sketch-met")
     met = met.join(met.groupBy("node").agg(F.sum("rows").alias("score")), "node")
     heads = met.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("head"))
     met = written(met.join(heads, "key").select("key", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "sketch-entries")
@@ -246,7 +247,7 @@ def differing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = written(apart.select(*own, F.xxhash64("head", "shingle").alias("key")), "sketch-apart")
     often = apart.groupBy("key").agg(F.count("*").alias("often"))
     # one node's own shingles, never more than two sets hold
-    ranked = apart.join(often, "key").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    ranked = apart.join(often.hint("merge"), "key").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
     placed = ranked.select(*own, F.size("keys").cast("long").alias("d"), F.posexplode("keys").alias("at", "k"))
     left = 2 * (F.col("d") - F.col("at")) * (100 + percent) > F.col("d") * (100 + percent) + (F.col("head_n") - F.col("n")) * (100 - percent)
     return placed.where(~F.col("inside") | left).select(F.col("k.key").alias("key"), "node", "n", "label", "d", F.col("at").cast("long").alias("at"))
